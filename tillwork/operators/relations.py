@@ -174,20 +174,26 @@ class Relations:
     def cart_values(self) -> DataFrame:
         return cart_values(self.items, self.prices)
 
+    def valued(self, sales: DataFrame) -> DataFrame:
+        """``sales`` (rows with a cart id) with the value of their cart.
+
+        A cart's value is worked out once however often it was sold, and only
+        lines of carts in ``sales`` are priced.
+        """
+        lines = self.items.join(sales.select("SHP_CART_ID").distinct(), "SHP_CART_ID", "left_semi")
+        return sales.join(cart_values(lines, self.prices), "SHP_CART_ID", "left").withColumn(
+            "cart_value", F.coalesce("cart_value", F.lit(0))
+        )
+
     @cached_property
     def sold_cart_values(self) -> DataFrame:
         """Value of every sold cart; one without lines is worth 0."""
-        valued = cart_values(self.sold_items, self.prices)
-        return self.sold_carts.join(valued, "SHP_CART_ID", "left").select(
-            "SHP_CART_ID", F.coalesce("cart_value", F.lit(0)).alias("cart_value")
-        )
+        return self.valued(self.sold_carts)
 
     @cached_property
     def session_cart_values(self) -> DataFrame:
-        """Value per (session, sold cart). A cart's value is worked out once."""
-        return self.session_carts.join(self.sold_cart_values, "SHP_CART_ID").select(
-            "session_id", "SHP_CART_ID", "cart_value"
-        )
+        """Value per (session, sold cart)."""
+        return self.valued(self.session_carts)
 
     @cached_property
     def session_values(self) -> DataFrame:

@@ -266,7 +266,7 @@ def revenue_by_hour(r: Relations) -> DataFrame:
     carts = r.tables["shopping_cart"].select("SHP_CART_ID", "SHP_CART_CODE")
     sales = sales.join(carts, "SHP_CART_CODE").drop("SHP_CART_CODE").distinct()
     return (
-        sales.join(r.sold_cart_values, "SHP_CART_ID")
+        r.valued(sales)
         .groupBy(F.date_trunc("hour", "event_timestamp").alias("checkout_hour"))
         .agg(
             F.count_distinct("session_id").alias("sale_sessions"),
