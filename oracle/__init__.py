@@ -1,9 +1,9 @@
 """DuckDB SQL that says the same as the Spark queries, as an independent check."""
 
-from oracle import metrics
+from oracle import jobs, metrics
 from oracle.adapter import with_tables
 
-_MODULES = [metrics]
+_MODULES = [metrics, jobs]
 
 
 def all_sql() -> dict[str, str]:

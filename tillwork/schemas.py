@@ -6,8 +6,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 
+_TYPES = {
+    "STRING": T.StringType(),
+    "TIMESTAMP": T.TimestampType(),
+    "BIGINT": T.LongType(),
+    "INT": T.IntegerType(),
+    "MONEY": T.DecimalType(18, 2),
+}
+
+
 def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+    pairs = (item.split() for item in text.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
 
 
 EVENTS = _schema(
@@ -27,7 +37,7 @@ SHOPPING_CART = _schema(
 )
 SHOPPING_CART_ITEM = _schema("SHP_CART_ID BIGINT, PRODUCT_ID BIGINT, QUANTITY INT")
 PRODUCT_AVAILABILITY = _schema("PRODUCT_AVAIL_ID BIGINT, PRODUCT_ID BIGINT, REGION STRING, QUANTITY INT")
-PRODUCT_PRICE = _schema("PRODUCT_PRICE_ID BIGINT, PRODUCT_AVAIL_ID BIGINT, PRODUCT_PRICE_AMOUNT DECIMAL(18,2)")
+PRODUCT_PRICE = _schema("PRODUCT_PRICE_ID BIGINT, PRODUCT_AVAIL_ID BIGINT, PRODUCT_PRICE_AMOUNT MONEY")
 
 # The event columns the metrics read.
 EVENT_CORE = _schema("event_id STRING, event_timestamp TIMESTAMP, endpoint STRING, session_id STRING")

@@ -344,6 +344,10 @@ class Shop:
         self.folder = folder.rstrip("/")
         self._known: dict[str, DataFrame] = {}
 
+    def use(self, name: str, df: DataFrame) -> None:
+        """Put ``df`` in place of a table, for instance a stream of events."""
+        self._known[name] = df
+
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in BASE_TABLES:
