@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tillwork.functions import requests as rq
 from tillwork.operators.relations import Relations
 from tillwork.operators.requests import dedupe_events, normalize_requests
-from tillwork.plans import runs
+from tillwork.plans import runs, shop_queries
 from tillwork.plans.metrics import METRICS
 from tillwork.session import use_checkpoints
 from tillwork.sources import mirror
@@ -316,3 +316,5 @@ def r04(shop):
     ranked = runs.rank_event_tables(runs.probe_event_tables(candidates))
     return ranked.select("candidate", "row_count", "latest").limit(1)
 
+
+QUERIES.update(shop_queries.QUERIES)

@@ -308,13 +308,17 @@ FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
 TABLES["tax_rate"] = """
 SELECT CAST(n_nationkey * 100 + n AS BIGINT) AS TAX_RATE_ID, 0 AS PRIORITY, CAST(5 + n_nationkey % 4 AS DECIMAL(7,4)) AS RATE,
        'GST' AS TAX_CODE, false AS PIGGYBACK, 'N' || CAST(n_nationkey AS STRING) AS COUNTRY,
-       CASE WHEN n % 2 = 0 THEN 'Z' || CAST(n AS STRING) END AS ZONE, CASE WHEN n % 2 = 1 THEN 'P' || CAST(n AS STRING) END AS STATE
-FROM {nation}, @0to3@ AS four
+       CASE WHEN n_nationkey % 2 = 0 THEN 'Z' || CAST(n AS STRING) END AS ZONE,
+       CASE WHEN n_nationkey % 2 = 1 THEN 'P' || CAST(n AS STRING) END AS STATE
+FROM {nation}, @0to3@ AS four WHERE n_nationkey % 2 = n % 2
 UNION ALL
 SELECT CAST(n_nationkey * 100 + 50 + n AS BIGINT), 1, CAST(9.975 AS DECIMAL(7,4)),
-       CASE WHEN n_nationkey % 5 = 0 THEN 'GST' ELSE 'PST' || CAST(n AS STRING) END, n_nationkey % 2 = 0, 'N' || CAST(n_nationkey AS STRING),
-       CASE WHEN n % 2 = 0 THEN 'Z' || CAST(n AS STRING) END, CASE WHEN n % 2 = 1 THEN 'P' || CAST(n AS STRING) END
-FROM {nation}, @0to3@ AS four WHERE n_nationkey <> 3
+       CASE WHEN n_nationkey % 5 = 0 THEN 'GST' ELSE 'PST' || CAST(n AS STRING) END, n_nationkey % 3 = 0, 'N' || CAST(n_nationkey AS STRING),
+       CASE WHEN n_nationkey % 2 = 0 THEN 'Z' || CAST(n AS STRING) END, CASE WHEN n_nationkey % 2 = 1 THEN 'P' || CAST(n AS STRING) END
+FROM {nation}, @0to3@ AS four WHERE n_nationkey <> 3 AND n_nationkey % 2 = n % 2
+UNION ALL
+SELECT CAST(n_nationkey * 100 + 90 AS BIGINT), 2, CAST(1.5 AS DECIMAL(7,4)), 'ECO', true, 'N' || CAST(n_nationkey AS STRING), NULL, NULL
+FROM {nation} WHERE n_nationkey % 4 = 0
 """
 
 TABLES["shipping_region"] = """
