@@ -1,9 +1,9 @@
 """DuckDB SQL that says the same as the Spark queries, as an independent check."""
 
-from oracle import jobs, metrics
+from oracle import jobs, metrics, shop
 from oracle.adapter import with_tables
 
-_MODULES = [metrics, jobs]
+_MODULES = [metrics, jobs, shop]
 
 
 def all_sql() -> dict[str, str]:

@@ -54,6 +54,8 @@ def with_tables(query: str, extra: dict[str, str] | None = None) -> str:
     if not parts:
         return query.strip()
     body = query.strip()
+    if body[:15].upper() == "WITH RECURSIVE ":
+        return "WITH RECURSIVE " + ",\n".join(parts) + ",\n" + body[15:]
     if body[:5].upper() == "WITH ":
         return "WITH " + ",\n".join(parts) + ",\n" + body[5:]
     return "WITH " + ",\n".join(parts) + "\n" + body

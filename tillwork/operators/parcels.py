@@ -78,14 +78,14 @@ def _units_that_fit(volume_left: int, weight_left: int, volume: int, weight: int
 class _Packing:
     """The boxes of the order at hand. Boxes nothing fits into any more are let go."""
 
-    def __init__(self, order: int, box: Box, least_volume: int, least_weight: int):
+    def __init__(self, order: int, box: Box, least_volume: int, least_weight: int, done: list[tuple]):
         self.order = order
         self.box = box
         self.full = (round(box.length * box.width * box.height * _MILLION), round(box.max_weight * _MILLION))
         self.least = (least_volume, least_weight)
         self.made = 0
         self.open: list[list[int]] = []  # number, volume left, weight left, items
-        self.done: list[tuple] = []
+        self.done = done
         self.sweep_at = _MANY
         self._new()
 
@@ -109,6 +109,7 @@ class _Packing:
                 break
         while units:
             entry = self._new()
+            # The first unit needs no quarter to spare in a box of its own.
             taken = 1 + _units_that_fit(entry[1] - volume, entry[2] - weight, volume, weight)
             taken = min(units, taken)
             self._load(entry, taken, volume, weight)
@@ -117,7 +118,7 @@ class _Packing:
                 self._sweep()
                 self.sweep_at = max(_MANY, 2 * len(self.open))
             if len(self.done) >= _MANY:
-                yield self.take()
+                yield _boxes(self.done)
         self._sweep()
 
     @staticmethod
@@ -140,27 +141,30 @@ class _Packing:
             self._close(entry)
         self.open = []
 
-    def take(self) -> pd.DataFrame:
-        rows, self.done = self.done, []
-        return pd.DataFrame(rows, columns=["ORDER_ID", "BOX_NO", "ITEMS", "WEIGHT"])
+
+def _boxes(done: list[tuple]) -> pd.DataFrame:
+    """The finished boxes as a frame; empties the list."""
+    frame = pd.DataFrame(done, columns=["ORDER_ID", "BOX_NO", "ITEMS", "WEIGHT"])
+    done.clear()
+    return frame
 
 
 def _pack(box: Box):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        done: list[tuple] = []
         current: _Packing | None = None
         for batch in batches:
             for line in batch.itertuples(index=False):
                 if current is None or current.order != line.ORDER_ID:
                     if current is not None:
                         current.finish()
-                        yield current.take()
-                    current = _Packing(line.ORDER_ID, box, line.least_volume, line.least_weight)
+                    current = _Packing(line.ORDER_ID, box, line.least_volume, line.least_weight, done)
                 yield from current.put(line.units, line.volume, line.weight)
-                if len(current.done) >= _MANY:
-                    yield current.take()
+                if len(done) >= _MANY:
+                    yield _boxes(done)
         if current is not None:
             current.finish()
-            yield current.take()
+            yield _boxes(done)
 
     return run
 

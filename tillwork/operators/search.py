@@ -15,12 +15,14 @@ SHORTEST_TERM, LONGEST_TERM = 3, 10
 
 def _stock_entry() -> Column:
     """Stock of a SKU as a map of texts; the discounted price only if there is one."""
+
+    def entry(key: str, value: Column) -> Column:
+        return F.struct(F.lit(key).alias("key"), value.alias("value"))
+
     base = F.array(
-        F.struct(F.lit("sku").alias("key"), F.col("SKU").alias("value")),
-        F.struct(F.lit("qty"), F.col("QUANTITY").cast("string")),
-        F.struct(F.lit("price"), money_text("FINAL_PRICE")),
+        entry("sku", F.col("SKU")), entry("qty", F.col("QUANTITY").cast("string")), entry("price", money_text("FINAL_PRICE"))
     )
-    discount = F.array(F.struct(F.lit("discountPrice"), money_text("DISCOUNTED_PRICE")))
+    discount = F.array(entry("discountPrice", money_text("DISCOUNTED_PRICE")))
     return F.map_from_entries(F.when(F.col("DISCOUNTED"), F.concat(base, discount)).otherwise(base))
 
 
