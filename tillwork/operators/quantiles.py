@@ -24,7 +24,7 @@ def percentile_columns(value: str, wanted: Mapping[str, int], approximate: bool
     The buffer holds one entry per distinct value, so use it for whole seconds or
     request counts, whose number of distinct values is limited by the time the
     events span, not by how many there are. For amounts use
-    :func:`exact_percentiles`. ``approximate`` trades exactness for a sketch.
+    :func:`exact_summary`. ``approximate`` trades exactness for a sketch.
     """
     if approximate:
         return [
@@ -34,8 +34,10 @@ def percentile_columns(value: str, wanted: Mapping[str, int], approximate: bool
     return [F.percentile(value, percent / 100, F.col("n")).alias(name) for name, percent in wanted.items()]
 
 
-def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int]) -> DataFrame:
-    """Percentiles of an amount per key without gathering a key's values.
+def exact_summary(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int]) -> DataFrame:
+    """Count, total, least, most and exact percentiles of an amount per key.
+
+    No key's values are gathered anywhere:
 
     1. Count equal values; this is the only step that moves the whole data.
     2. Add the counts up in coarse buckets that keep the order of the values
@@ -44,26 +46,39 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Ma
        lies; only those buckets are opened and ranked value by value.
 
     Each bucket is ranked in its own task, and holds at most the distinct amounts
-    within one percent of each other.
+    within one percent of each other. Null values are left out. Without keys the
+    result is one row even for no input.
     """
     keys = list(keys)
-    counts = value_counts(df.where(F.col(value).isNotNull()), keys, value)
-    magnitude = F.col(value).cast("double")
+    amount = F.col(value)
+    counts = value_counts(df.where(amount.isNotNull()), keys, value)
+    magnitude = amount.cast("double")
     counts = counts.withColumn("bucket", F.signum(magnitude) * F.floor(F.log1p(F.abs(magnitude)) * 100))
 
-    in_order = Window.partitionBy(*keys).orderBy("bucket")
-    buckets = counts.groupBy(*keys, "bucket").agg(F.sum("n").alias("bucket_n"))
-    buckets = buckets.withColumns(
-        {
-            "through": F.sum("bucket_n").over(in_order.rowsBetween(Window.unboundedPreceding, 0)),
-            "total": F.sum("bucket_n").over(Window.partitionBy(*keys)),
-        }
-    ).withColumn("before", F.col("through") - F.col("bucket_n"))
+    whole = Window.partitionBy(*keys)
+    in_order = whole.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0)
+    buckets = counts.groupBy(*keys, "bucket").agg(
+        F.sum("n").alias("in_bucket"),
+        F.sum(amount * F.col("n")).alias("amount"),
+        F.min(amount).alias("least"),
+        F.max(amount).alias("most"),
+    )
+    buckets = buckets.select(
+        *keys,
+        "bucket",
+        (F.sum("in_bucket").over(in_order) - F.col("in_bucket")).alias("before"),
+        F.sum("in_bucket").over(in_order).alias("through"),
+        F.sum("in_bucket").over(whole).alias("count"),
+        F.sum("amount").over(whole).alias("total"),
+        F.min("least").over(whole).alias("least"),
+        F.max("most").over(whole).alias("most"),
+    )
 
     def ranks(percent: int):
-        scaled = (F.col("total") - 1) * percent
-        low = F.floor(scaled / F.lit(100).cast("decimal(5,0)")).cast("bigint")
+        """Ranks on either side of a percentile, and how far it lies between them (in percent)."""
+        scaled = (F.col("count") - 1) * percent
         rest = scaled % 100
+        low = ((scaled - rest) / 100).cast("bigint")
         return low, F.when(rest > 0, low + 1).otherwise(low), rest
 
     def holds(rank):
@@ -73,23 +88,24 @@ def exact_percentiles(df: DataFrame, keys: Sequence[str], value: str, wanted: Ma
     for percent in wanted.values():
         low, high, _ = ranks(percent)
         needed = needed | holds(low) | holds(high)
-    opened = buckets.where(needed).select(*keys, "bucket", "before", "total")
+    summary = ["count", "total", "least", "most"]
+    opened = buckets.where(needed).select(*keys, "bucket", "before", *summary)
 
     by_value = Window.partitionBy(*keys, "bucket").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = counts.join(opened, [*keys, "bucket"]).withColumn("upto", F.col("before") + F.sum("n").over(by_value))
 
-    picks = []
+    picks = [F.max(name).alias(name) for name in summary]
     for name, percent in wanted.items():
         low, high, rest = ranks(percent)
         picks += [
-            F.min(F.when(F.col("upto") > low, F.col(value))).alias(f"{name}__low"),
-            F.min(F.when(F.col("upto") > high, F.col(value))).alias(f"{name}__high"),
+            F.min(F.when(F.col("upto") > low, amount)).alias(f"{name}__low"),
+            F.min(F.when(F.col("upto") > high, amount)).alias(f"{name}__high"),
             F.max(rest).alias(f"{name}__rest"),
         ]
-    picked = ranked.groupBy(*keys).agg(*picks)
     results = []
     for name in wanted:
         low, high = F.col(f"{name}__low").cast("decimal(30,4)"), F.col(f"{name}__high").cast("decimal(30,4)")
         step = (high - low) * F.col(f"{name}__rest") / 100
         results.append(round_half_up(low + step, 4).alias(name))
-    return picked.select(*keys, *results)
+    picked = ranked.groupBy(*keys).agg(*picks)
+    return picked.select(*keys, F.coalesce("count", F.lit(0)).alias("count"), *summary[1:], *results)

@@ -35,7 +35,7 @@ def query(id: str):
 
 
 def _relation(pick: Callable[[Relations], DataFrame]) -> Query:
-    return lambda shop: pick(Relations(shop))
+    return lambda shop: pick(shop.relations)
 
 
 def _amount(name: str):
@@ -64,9 +64,9 @@ QUERIES.update(
 )
 
 for _id, _metric in METRICS.items():
-    QUERIES[_id] = _metric
+    QUERIES[_id] = lambda shop, metric=_metric: metric(shop.relations)
 
-QUERIES["M16_per_status"] = lambda shop: METRICS["M16"].build(Relations(shop), per_status=True)
+QUERIES["M16_per_status"] = lambda shop: METRICS["M16"].build(shop.relations, per_status=True)
 
 # ------------------------------------------------------ sources, sinks and mirror
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions import endpoints as E
 from tillwork.functions.values import mean_of, percent, ratio, round_half_up, whole_seconds
-from tillwork.operators.quantiles import exact_percentiles, percentile_columns, value_counts
+from tillwork.operators.quantiles import exact_summary, percentile_columns, value_counts
 from tillwork.operators.relations import Relations, line_values
 
 
@@ -349,17 +349,14 @@ def top_products_by_sold_quantity_and_revenue(r: Relations, top: int = 20) -> Da
 
 @metric("M23", "cart_value_distribution")
 def cart_value_distribution(r: Relations) -> DataFrame:
-    summary = r.sold_cart_values.agg(
-        F.count(F.lit(1)).alias("sold_carts"),
-        mean_of(F.sum("cart_value"), F.count(F.lit(1))).alias("avg_cart_value"),
-        round_half_up(F.min("cart_value")).alias("min_cart_value"),
-        round_half_up(F.max("cart_value")).alias("max_cart_value"),
-    )
     wanted = {"median_cart_value": 50, "p75_cart_value": 75, "p90_cart_value": 90, "p95_cart_value": 95}
-    picked = exact_percentiles(r.sold_cart_values, [], "cart_value", wanted)
-    # Both sides are one row, so the percentiles come in as one scalar subquery.
-    both = summary.withColumn("picked", picked.select(F.struct(*wanted)).scalar())
-    return both.select("*", "picked.*").drop("picked")
+    return exact_summary(r.sold_cart_values, [], "cart_value", wanted).select(
+        F.col("count").alias("sold_carts"),
+        mean_of("total", "count").alias("avg_cart_value"),
+        round_half_up("least").alias("min_cart_value"),
+        round_half_up("most").alias("max_cart_value"),
+        *wanted,
+    )
 
 
 # ----------------------------------------------------------------------- the carts
@@ -437,15 +434,11 @@ def successful_carts_per_successful_session(r: Relations) -> DataFrame:
 @metric("M13", "estimated_abandoned_cart_value")
 def estimated_abandoned_cart_value(r: Relations) -> DataFrame:
     classified = _classified(r, r.cart_values, "abandoned")
-    totals = classified.groupBy("cart_status").agg(
-        F.count(F.lit(1)).alias("carts"), F.sum("cart_value").alias("value")
-    )
-    medians = exact_percentiles(classified, ["cart_status"], "cart_value", {"median_cart_value": 50})
-    return totals.join(medians, "cart_status").select(
+    return exact_summary(classified, ["cart_status"], "cart_value", {"median_cart_value": 50}).select(
         "cart_status",
-        "carts",
-        round_half_up("value").alias("total_cart_value"),
-        mean_of("value", "carts").alias("avg_cart_value"),
+        F.col("count").alias("carts"),
+        round_half_up("total").alias("total_cart_value"),
+        mean_of("total", "count").alias("avg_cart_value"),
         "median_cart_value",
     )
 

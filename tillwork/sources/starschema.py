@@ -8,9 +8,26 @@ Everything downstream of these tables is written twice, independently.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import DataFrame, SparkSession
 
-BASE_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+from tillwork.operators.relations import Relations
+
+# Schemas of the parquet files. Given, so that no job is run to infer them.
+BASE_SCHEMAS = {
+    "region": "r_regionkey INT, r_name STRING",
+    "nation": "n_nationkey INT, n_name STRING, n_regionkey INT",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
+    "supplier": "s_suppkey BIGINT, s_name STRING, s_nationkey INT, s_acctbal DOUBLE",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, o_totalprice DOUBLE, "
+    "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_suppkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+    "l_extendedprice DOUBLE, l_discount DOUBLE, l_tax DOUBLE, l_returnflag STRING, l_linestatus STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING",
+}
+BASE_TABLES = tuple(BASE_SCHEMAS)
 
 DIALECTS = {
     "spark": {
@@ -348,6 +365,11 @@ class Shop:
         self.folder = folder.rstrip("/")
         self._known: dict[str, DataFrame] = {}
 
+    @cached_property
+    def relations(self) -> Relations:
+        """The shared relations over these tables; plans only, nothing is held."""
+        return Relations(self)
+
     def use(self, name: str, df: DataFrame) -> None:
         """Put ``df`` in place of a table, for instance a stream of events."""
         self._known[name] = df
@@ -355,7 +377,7 @@ class Shop:
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._known:
             if name in BASE_TABLES:
-                self._known[name] = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+                self._known[name] = self.spark.read.schema(BASE_SCHEMAS[name]).parquet(f"{self.folder}/{name}.parquet")
             else:
                 text = sql_text(name, "spark")
                 needed = {t: self[t] for t in (*BASE_TABLES, *TABLES) if "{" + t + "}" in text}
