@@ -410,10 +410,7 @@ SQL["C32"] = paged(
        AND (FIRST_NAME LIKE '%000%' OR LAST_NAME LIKE '%000%') AND FIRST_NAME LIKE '%E%' AND LAST_NAME LIKE '%1%' AND EMAIL LIKE '%@%' AND COUNTRY LIKE '%N1%'""",
     "CUSTOMER_ID", 0, 30,
 )
-SQL["C33"] = """
-    SELECT h.ORDER_ID, h.STATUS, h.DATE_ADDED,
-           (SELECT count(*) FROM order_status_history x WHERE x.ORDER_ID = h.ORDER_ID AND (x.DATE_ADDED, x.HISTORY_ID) >= (h.DATE_ADDED, h.HISTORY_ID)) AS POSITION
-    FROM order_status_history h"""
+SQL["C33"] = "SELECT ORDER_ID, HISTORY_ID, STATUS, DATE_ADDED FROM order_status_history"
 SQL["C33_current"] = """
     SELECT o.ORDER_ID, coalesce(h.STATUS, 'ORDERED') AS STATUS, coalesce(h.DATE_ADDED, o.DATE_PURCHASED) AS SINCE, coalesce(h.n, 0) AS CHANGES
     FROM shop_order o LEFT JOIN (SELECT *, count(*) OVER (PARTITION BY ORDER_ID) AS n FROM order_status_history

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tillwork.functions.values import blank_to_null
 from tillwork.operators.paging import page_of
@@ -65,9 +64,13 @@ def review_summary(reviews: DataFrame, subject: str = "PRODUCT_ID", reviewer: st
 
 
 def order_history(history: DataFrame) -> DataFrame:
-    """Status changes per order, newest first."""
-    newest = Window.partitionBy("ORDER_ID").orderBy(F.desc("DATE_ADDED"), F.desc("HISTORY_ID"))
-    return history.select("ORDER_ID", "STATUS", "DATE_ADDED", F.row_number().over(newest).alias("POSITION"))
+    """Status changes per order, newest first.
+
+    Sorted, not numbered: a sort by order and date splits even a single very long
+    history over several tasks.
+    """
+    rows = history.select("ORDER_ID", "HISTORY_ID", "STATUS", "DATE_ADDED")
+    return rows.orderBy("ORDER_ID", F.desc("DATE_ADDED"), F.desc("HISTORY_ID"))
 
 
 def current_status(orders: DataFrame, history: DataFrame) -> DataFrame:

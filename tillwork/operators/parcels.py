@@ -192,6 +192,9 @@ def parcels_in_boxes(measured: DataFrame, box: Box) -> DataFrame:
         (volume * _MILLION).cast("bigint").alias("volume"),
         (F.col("WEIGHT") * _MILLION).cast("bigint").alias("weight"),
     )
+    # Equal units of a product lie next to each other anyway: added up before the
+    # shuffle, an order has no more rows than there are different products.
+    lines = lines.groupBy("ORDER_ID", "PRODUCT_ID", "volume", "weight").agg(F.sum("units").alias("units"))
     least = lines.groupBy("ORDER_ID").agg(F.min("volume").alias("least_volume"), F.min("weight").alias("least_weight"))
     ordered = lines.join(least, "ORDER_ID").repartition("ORDER_ID").sortWithinPartitions("ORDER_ID", "PRODUCT_ID")
     return ordered.mapInPandas(_pack(box), _PACKED)

@@ -62,15 +62,25 @@ def session_facts(events: DataFrame) -> DataFrame:
 
 
 def sold_carts(checkout_rows: DataFrame, carts: DataFrame) -> DataFrame:
-    """Ids of the carts whose code was checked out, each once."""
+    """Ids of the carts whose code was checked out, each once, as carts have one row per id."""
     codes = checkout_rows.select(F.col("cart_code").alias("SHP_CART_CODE")).distinct()
-    return carts.select("SHP_CART_ID", "SHP_CART_CODE").join(codes, "SHP_CART_CODE", "left_semi").select("SHP_CART_ID").distinct()
+    return carts.select("SHP_CART_ID", "SHP_CART_CODE").join(codes, "SHP_CART_CODE", "left_semi").select("SHP_CART_ID")
+
+
+def sales(checkout_rows: DataFrame, carts: DataFrame, *columns: str) -> DataFrame:
+    """Distinct ``columns`` of the checkouts with the id of the cart they name.
+
+    The code stays among the distinct keys: the join has already brought equal
+    codes together, so making the rows distinct needs no shuffle of its own.
+    """
+    named = checkout_rows.select(*columns, F.col("cart_code").alias("SHP_CART_CODE"))
+    joined = named.join(carts.select("SHP_CART_ID", "SHP_CART_CODE"), "SHP_CART_CODE")
+    return joined.distinct().drop("SHP_CART_CODE")
 
 
 def session_carts(checkout_rows: DataFrame, carts: DataFrame) -> DataFrame:
     """Distinct (session, cart) pairs."""
-    pairs = checkout_rows.select("session_id", F.col("cart_code").alias("SHP_CART_CODE")).distinct()
-    return pairs.join(carts.select("SHP_CART_ID", "SHP_CART_CODE"), "SHP_CART_CODE").select("session_id", "SHP_CART_ID").distinct()
+    return sales(checkout_rows, carts, "session_id")
 
 
 def product_prices(availability: DataFrame, prices: DataFrame) -> DataFrame:

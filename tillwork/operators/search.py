@@ -32,8 +32,10 @@ def search_documents(tables: Mapping[str, DataFrame], product_stock: DataFrame,
     Attributes, variants and stock are nested in the document. They are gathered
     per product, as the document itself holds them all.
     """
-    attributes = tables["product_attribute"].groupBy("PRODUCT_ID").agg(
-        F.map_from_entries(F.array_sort(F.collect_set(F.struct("OPTION_CODE", "VALUE_NAME")))).alias("attributes")
+    # One value per option: the one entered last.
+    values = tables["product_attribute"].groupBy("PRODUCT_ID", "OPTION_CODE").agg(F.max_by("VALUE_NAME", "ATTRIBUTE_ID").alias("VALUE_NAME"))
+    attributes = values.groupBy("PRODUCT_ID").agg(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("OPTION_CODE", "VALUE_NAME")))).alias("attributes")
     )
     variant = F.map_from_arrays(F.array("OPTION_CODE", F.lit("vsku")), F.array("VALUE_CODE", "SKU"))
     variants = (

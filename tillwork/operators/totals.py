@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tillwork.operators.carts import DISCOUNT_CODE
 
@@ -17,20 +16,19 @@ FIRST_DISCOUNT, FIRST_TAX = 10, 200
 VALUE = "decimal(15,4)"
 
 
-def _row(kind: tuple[str, str, int], value: Column) -> Column:
-    code, type_, order = kind
+_ROW = f"array<struct<CODE:string,ORDER_TOTAL_TYPE:string,SORT_ORDER:int,VALUE:{VALUE}>>"
+
+
+def _row(code: Column, type_: str, order: Column, value: Column) -> Column:
     return F.struct(
-        F.lit(code).alias("CODE"), F.lit(type_).alias("ORDER_TOTAL_TYPE"), F.lit(order).alias("SORT_ORDER"), value.cast(VALUE).alias("VALUE")
+        code.alias("CODE"), F.lit(type_).alias("ORDER_TOTAL_TYPE"), order.cast("int").alias("SORT_ORDER"), value.cast(VALUE).alias("VALUE")
     )
 
 
-def _numbered(rows: DataFrame, by: str, first: int, type_: str) -> DataFrame:
-    """Sort orders counting up within an order; there is one row per code in it."""
-    place = F.row_number().over(Window.partitionBy("ORDER_ID").orderBy(by))
-    return rows.select(
-        "ORDER_ID", F.col(by).alias("CODE"), F.lit(type_).alias("ORDER_TOTAL_TYPE"),
-        (place + (first - 1)).alias("SORT_ORDER"), F.col("VALUE").cast(VALUE).alias("VALUE"),
-    )
+def _fixed_row(kind: tuple[str, str, int], value: Column, present: Column | None = None) -> Column:
+    code, type_, order = kind
+    row = F.array(_row(F.lit(code), type_, F.lit(order), value)).cast(_ROW)
+    return row if present is None else F.when(present, row).otherwise(F.array().cast(_ROW))
 
 
 def order_totals(
@@ -44,50 +42,61 @@ def order_totals(
 ) -> DataFrame:
     """Additional prices, discounts, subtotal, shipping, handling, taxes and total as rows.
 
-    ``extras`` has one row per line and additional price. Every input is summed
-    up per order before anything is joined, so the joins are one row against one
-    row. Free shipping costs 0; handling is charged all the same. Additional
-    prices get their own rows; one-time ones go into the subtotal on request.
+    ``extras`` has one row per line and additional price. Everything is summed up
+    per order and code first, so an order then has a handful of amounts however
+    many lines it has; its rows are made from those in one step. Free shipping
+    costs 0; handling is charged all the same. Additional prices get their own
+    rows; one-time ones go into the subtotal on request.
     """
-    extra = extras.groupBy("ORDER_ID", "CODE").agg(F.sum("VALUE").alias("VALUE"))
-    discount = discounts.groupBy("ORDER_ID").agg(F.sum("VALUE").alias("VALUE")).withColumn("CODE", F.lit(DISCOUNT_CODE))
-    tax = taxes.groupBy("ORDER_ID").agg(F.sum("VALUE").alias("tax"))
-    items = lines.groupBy("ORDER_ID").agg(F.sum(F.col("ITEM_PRICE") * F.col("QUANTITY")).alias("items"))
-    once = extras.where(F.col("TYPE") == "ONE_TIME").groupBy("ORDER_ID").agg(F.sum("VALUE").alias("once"))
-
-    wide = orders.select("ORDER_ID", "SHIPPING", "HANDLING", "FREE_SHIPPING").join(items, "ORDER_ID", "left")
-    wide = wide.join(discount.select("ORDER_ID", F.col("VALUE").alias("off")), "ORDER_ID", "left").join(tax, "ORDER_ID", "left")
+
+    def part(rows: DataFrame, kind: str, code: Column, value: Column) -> DataFrame:
+        return rows.select("ORDER_ID", F.lit(kind).alias("kind"), code.alias("code"), value.cast("decimal(28,6)").alias("value"))
+
+    parts = (
+        part(lines, "item", F.lit(""), F.col("ITEM_PRICE") * F.col("QUANTITY"))
+        .unionByName(part(extras, "extra", F.col("CODE"), F.col("VALUE")))
+        .unionByName(part(discounts, "discount", F.lit(DISCOUNT_CODE), F.col("VALUE")))
+        .unionByName(part(taxes, "tax", F.col("TAX_CODE"), F.col("VALUE")))
+    )
     if one_time_in_subtotal:
-        wide = wide.join(once, "ORDER_ID", "left")
+        parts = parts.unionByName(part(extras.where("TYPE = 'ONE_TIME'"), "once", F.lit(""), F.col("VALUE")))
+    per_code = parts.groupBy("ORDER_ID", "kind", "code").agg(F.sum("value").cast(VALUE).alias("value"))
+    per_order = per_code.groupBy("ORDER_ID").agg(F.array_sort(F.collect_list(F.struct("kind", "code", "value"))).alias("parts"))
+
+    wide = orders.select("ORDER_ID", "SHIPPING", "HANDLING", "FREE_SHIPPING").join(per_order, "ORDER_ID", "left")
     zero = F.lit(0).cast(VALUE)
 
-    def amount(name: str) -> Column:
-        return F.coalesce(F.col(name).cast(VALUE), zero)
+    def of_kind(kind: str) -> Column:
+        return F.coalesce(F.filter("parts", lambda p: p["kind"] == kind), F.array().cast(f"array<struct<kind:string,code:string,value:{VALUE}>>"))
 
-    subtotal = amount("items") - amount("off") + (amount("once") if one_time_in_subtotal else zero)
-    shipping = F.when(F.col("FREE_SHIPPING"), zero).otherwise(amount("SHIPPING"))
+    def sum_of(kind: str) -> Column:
+        return F.aggregate(of_kind(kind), zero, lambda total, p: (total + p["value"]).cast(VALUE))
+
+    def rows_of(kind: str, type_: str, first: int, step: int = 1) -> Column:
+        return F.transform(of_kind(kind), lambda p, i: _row(p["code"], type_, i * step + first, p["value"])).cast(_ROW)
+
+    shipped = F.when(F.col("FREE_SHIPPING"), zero).otherwise(F.col("SHIPPING").cast(VALUE))
     has_shipping = F.col("SHIPPING").isNotNull()
-    handled = has_shipping & (F.col("HANDLING") > 0) & F.lit(handling_charged)
-    wide = wide.withColumns({"subtotal": subtotal, "shipped": shipping, "handled": F.coalesce(handled, F.lit(False))})
-    total = (
-        F.col("subtotal")
-        + F.when(has_shipping, F.col("shipped")).otherwise(zero)
-        + F.when(F.col("handled"), amount("HANDLING")).otherwise(zero)
-        + amount("tax")
-    )
-    rows = F.array(
-        _row(SUBTOTAL, F.col("subtotal")),
-        F.when(has_shipping, _row(SHIPPING, F.col("shipped"))),
-        F.when(F.col("handled"), _row(HANDLING, amount("HANDLING"))),
-        _row(TOTAL, total),
+    handled = F.coalesce(has_shipping & (F.col("HANDLING") > 0) & F.lit(handling_charged), F.lit(False))
+    wide = wide.withColumns(
+        {
+            "subtotal": sum_of("item") - sum_of("discount") + sum_of("once"),
+            "shipped": F.when(has_shipping, shipped).otherwise(zero),
+            "handling": F.when(handled, F.col("HANDLING").cast(VALUE)).otherwise(zero),
+            "handled": handled,
+            "tax": sum_of("tax"),
+        }
     )
-    fixed = wide.select("ORDER_ID", F.explode(rows).alias("row")).where("row IS NOT NULL").select("ORDER_ID", "row.*")
-    extra_rows = extra.select(
-        "ORDER_ID", "CODE", F.lit("PRODUCT").alias("ORDER_TOTAL_TYPE"), F.lit(0).alias("SORT_ORDER"), F.col("VALUE").cast(VALUE).alias("VALUE")
+    rows = F.concat(
+        rows_of("extra", "PRODUCT", 0, step=0),
+        _fixed_row(SUBTOTAL, F.col("subtotal")),
+        rows_of("discount", "SUBTOTAL", FIRST_DISCOUNT),
+        _fixed_row(SHIPPING, F.col("shipped"), has_shipping),
+        _fixed_row(HANDLING, F.col("handling"), F.col("handled")),
+        rows_of("tax", "TAX", FIRST_TAX),
+        _fixed_row(TOTAL, F.col("subtotal") + F.col("shipped") + F.col("handling") + F.col("tax")),
     )
-    discount_rows = _numbered(discount, "CODE", FIRST_DISCOUNT, "SUBTOTAL")
-    tax_rows = _numbered(taxes.groupBy("ORDER_ID", "TAX_CODE").agg(F.sum("VALUE").alias("VALUE")), "TAX_CODE", FIRST_TAX, "TAX")
-    return fixed.unionByName(extra_rows).unionByName(discount_rows).unionByName(tax_rows)
+    return wide.select("ORDER_ID", F.explode(rows).alias("row")).select("ORDER_ID", "row.*")
 
 
 def available_lines(lines: DataFrame, products: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tillwork.functions import endpoints as E
 from tillwork.functions.values import mean_of, percent, ratio, round_half_up, whole_seconds
 from tillwork.operators.quantiles import exact_summary, percentile_columns, value_counts
-from tillwork.operators.relations import Relations, line_values
+from tillwork.operators.relations import Relations, line_values, sales
 
 
 @dataclass(frozen=True)
@@ -262,11 +262,8 @@ def average_item_sold_price(r: Relations) -> DataFrame:
 
 @metric("M08", "revenue_by_hour")
 def revenue_by_hour(r: Relations) -> DataFrame:
-    sales = r.checkouts.distinct().withColumnRenamed("cart_code", "SHP_CART_CODE")
-    carts = r.tables["shopping_cart"].select("SHP_CART_ID", "SHP_CART_CODE")
-    sales = sales.join(carts, "SHP_CART_CODE").drop("SHP_CART_CODE").distinct()
     return (
-        r.valued(sales)
+        r.valued(sales(r.checkouts, r.tables["shopping_cart"], "session_id", "event_timestamp"))
         .groupBy(F.date_trunc("hour", "event_timestamp").alias("checkout_hour"))
         .agg(
             F.count_distinct("session_id").alias("sale_sessions"),
