@@ -2,52 +2,68 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.operators.prices import _at
 from tillwork.session import use_checkpoints
 
-MAX_DEPTH = 100
+MAX_DEPTH = 1000
 
 
 def rebuild_lineage(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     """Depth and path of every category from the parent ids alone.
 
-    Works down the tree one level per round; each round joins only the level
-    found last and is cut off by a checkpoint on shared storage. A category whose
-    chain of parents ends at one that does not exist, or never ends, comes back
-    with an ``ERROR`` and no path.
+    Every category knows a stretch of its path and the next category above it; in
+    each round it takes over the stretch that one knows. Stretches double, so a
+    tree of depth 1000 needs ten rounds. Each round is one join, cut off by a
+    checkpoint on shared storage. A category whose chain of parents ends at one
+    that does not exist, or never ends, comes back with an ``ERROR`` and no path.
     """
     use_checkpoints(categories.sparkSession)
-    nodes = categories.select("CATEGORY_ID", "PARENT_ID").checkpoint()
-    known = nodes.select(F.col("CATEGORY_ID").alias("PARENT_ID"))
-    own = F.concat(F.lit("/"), F.col("CATEGORY_ID").cast("string"), F.lit("/"))
-    roots = nodes.where("PARENT_ID IS NULL").select(
-        "CATEGORY_ID", F.lit(0).alias("DEPTH"), own.alias("LINEAGE"), F.lit(None).cast("string").alias("ERROR")
-    )
-    orphans = nodes.where("PARENT_ID IS NOT NULL").join(known, "PARENT_ID", "left_anti").select(
-        "CATEGORY_ID", F.lit(None).cast("int").alias("DEPTH"), F.lit(None).cast("string").alias("LINEAGE"),
-        F.lit("missing parent").alias("ERROR"),
+    state = categories.select(
+        "CATEGORY_ID",
+        "PARENT_ID",
+        F.col("PARENT_ID").alias("above"),
+        F.lit(0).alias("DEPTH"),
+        F.concat(F.lit("/"), F.col("CATEGORY_ID").cast("string"), F.lit("/")).alias("LINEAGE"),
+        F.lit(None).cast("string").alias("ERROR"),
     )
-    level = roots.unionByName(orphans).checkpoint()
-    found = level
-    for _ in range(max_depth):
-        above = level.select(F.col("CATEGORY_ID").alias("PARENT_ID"), "DEPTH", "LINEAGE", "ERROR")
-        level = nodes.join(above, "PARENT_ID").select(
-            "CATEGORY_ID",
-            (F.col("DEPTH") + 1).alias("DEPTH"),
-            F.concat("LINEAGE", F.col("CATEGORY_ID").cast("string"), F.lit("/")).alias("LINEAGE"),
-            "ERROR",
-        ).checkpoint()
-        if level.isEmpty():
+    for _ in range(max(1, math.ceil(math.log2(max_depth + 1)))):
+        upper = state.select(
+            F.col("CATEGORY_ID").alias("above"),
+            F.col("above").alias("next"),
+            F.col("DEPTH").alias("more"),
+            F.col("LINEAGE").alias("front"),
+            F.col("ERROR").alias("inherited"),
+            F.lit(True).alias("exists"),
+        )
+        climbs = F.col("above").isNotNull()
+        missing = climbs & F.col("exists").isNull()
+        state = (
+            state.join(upper, "above", "left")
+            .select(
+                "CATEGORY_ID",
+                "PARENT_ID",
+                F.when(climbs, F.col("next")).alias("above"),
+                F.when(climbs, F.col("DEPTH") + F.col("more") + 1).otherwise(F.col("DEPTH")).alias("DEPTH"),
+                F.when(climbs, F.concat("front", F.substr("LINEAGE", F.lit(2)))).otherwise(F.col("LINEAGE")).alias("LINEAGE"),
+                F.when(missing, "missing parent").otherwise(F.coalesce("ERROR", "inherited")).alias("ERROR"),
+            )
+            .checkpoint()
+        )
+        if state.where("above IS NOT NULL").isEmpty():
             break
-        found = found.unionByName(level)
-    return (
-        nodes.join(found, "CATEGORY_ID", "left")
-        .withColumn("unreached", F.col("ERROR").isNull() & F.col("LINEAGE").isNull())
-        .withColumn("ERROR", F.when(F.col("unreached"), "cycle").otherwise(F.col("ERROR")))
-        .drop("unreached")
+    error = F.when(F.col("above").isNotNull(), "cycle").otherwise(F.col("ERROR"))
+    found = error.isNull()
+    return state.select(
+        "CATEGORY_ID",
+        "PARENT_ID",
+        F.when(found, F.col("DEPTH")).alias("DEPTH"),
+        F.when(found, F.col("LINEAGE")).alias("LINEAGE"),
+        error.alias("ERROR"),
     )
 
 
@@ -124,12 +140,11 @@ def products_per_manufacturer(products: DataFrame) -> DataFrame:
 
 def store_totals(categories: DataFrame, manufacturers: DataFrame) -> DataFrame:
     """Categories and manufacturers per store."""
-    counted = categories.groupBy("MERCHANT_ID").agg(F.count("CATEGORY_ID").alias("category_count"))
-    makers = manufacturers.groupBy("MERCHANT_ID").agg(F.count("MANUFACTURER_ID").alias("manufacturer_count"))
-    return counted.join(makers, "MERCHANT_ID", "full").select(
-        "MERCHANT_ID",
-        F.coalesce("category_count", F.lit(0)).alias("category_count"),
-        F.coalesce("manufacturer_count", F.lit(0)).alias("manufacturer_count"),
+    both = categories.select("MERCHANT_ID", F.lit(1).alias("category"), F.lit(0).alias("manufacturer")).unionByName(
+        manufacturers.select("MERCHANT_ID", F.lit(0).alias("category"), F.lit(1).alias("manufacturer"))
+    )
+    return both.groupBy("MERCHANT_ID").agg(
+        F.sum("category").alias("category_count"), F.sum("manufacturer").alias("manufacturer_count")
     )
 
 

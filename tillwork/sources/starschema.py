@@ -36,7 +36,7 @@ DIALECTS = {
         "@base64(": "base64(",
         "@utf8(": "CAST(",
         "@utf8)@": " AS BINARY)",
-        "@0to3@": "(SELECT explode(sequence(0, 3)) AS n)",
+        "@0to3@": "explode(sequence(0, 3))",
     },
     "duckdb": {
         "@day@": "date_diff('day', TIMESTAMP '2024-01-01', ts)",
@@ -44,7 +44,7 @@ DIALECTS = {
         "@base64(": "to_base64(",
         "@utf8(": "encode(",
         "@utf8)@": ")",
-        "@0to3@": "(SELECT unnest(range(0, 4)) AS n)",
+        "@0to3@": "unnest(range(0, 4))",
     },
 }
 
@@ -327,12 +327,12 @@ SELECT CAST(n_nationkey * 100 + n AS BIGINT) AS TAX_RATE_ID, 0 AS PRIORITY, CAST
        'GST' AS TAX_CODE, false AS PIGGYBACK, 'N' || CAST(n_nationkey AS STRING) AS COUNTRY,
        CASE WHEN n_nationkey % 2 = 0 THEN 'Z' || CAST(n AS STRING) END AS ZONE,
        CASE WHEN n_nationkey % 2 = 1 THEN 'P' || CAST(n AS STRING) END AS STATE
-FROM {nation}, @0to3@ AS four WHERE n_nationkey % 2 = n % 2
+FROM (SELECT *, @0to3@ AS n FROM {nation}) AS four WHERE n_nationkey % 2 = n % 2
 UNION ALL
 SELECT CAST(n_nationkey * 100 + 50 + n AS BIGINT), 1, CAST(9.975 AS DECIMAL(7,4)),
        CASE WHEN n_nationkey % 5 = 0 THEN 'GST' ELSE 'PST' || CAST(n AS STRING) END, n_nationkey % 3 = 0, 'N' || CAST(n_nationkey AS STRING),
        CASE WHEN n_nationkey % 2 = 0 THEN 'Z' || CAST(n AS STRING) END, CASE WHEN n_nationkey % 2 = 1 THEN 'P' || CAST(n AS STRING) END
-FROM {nation}, @0to3@ AS four WHERE n_nationkey <> 3 AND n_nationkey % 2 = n % 2
+FROM (SELECT *, @0to3@ AS n FROM {nation}) AS four WHERE n_nationkey <> 3 AND n_nationkey % 2 = n % 2
 UNION ALL
 SELECT CAST(n_nationkey * 100 + 90 AS BIGINT), 2, CAST(1.5 AS DECIMAL(7,4)), 'ECO', true, 'N' || CAST(n_nationkey AS STRING), NULL, NULL
 FROM {nation} WHERE n_nationkey % 4 = 0
@@ -346,7 +346,7 @@ TABLES["shipping_weight_tier"] = """
 SELECT 'R' || CAST(r_regionkey AS STRING) AS REGION, CAST(n AS INT) AS POSITION,
        CAST(CASE n WHEN 0 THEN 60 WHEN 1 THEN 200 WHEN 2 THEN 150 ELSE 900 END AS DECIMAL(18,2)) AS MAX_WEIGHT,
        CAST(4 + r_regionkey + 10 * n AS DECIMAL(18,2)) AS PRICE
-FROM {region}, @0to3@ AS four
+FROM (SELECT *, @0to3@ AS n FROM {region}) AS four
 """
 
 
