@@ -450,8 +450,8 @@ SQL["C35"] = f"""
 SQL["C36_terms"] = "SELECT 'default' AS store, language, id, term FROM name_term"
 SQL["C36"] = "SELECT request_id, id, matched_terms FROM hit_rows"
 SQL["C36_suggest"] = """
-    SELECT DISTINCT a.text AS request_id, n.NAME AS suggestion FROM ask_text a JOIN name_term t ON t.term = substr(lower(trim(substr(a.text, 1, 4))), 1, 10) AND t.language = 'en'
-    JOIN product_description n ON n.PRODUCT_ID = t.id AND n.LANGUAGE = 'en'"""
+    SELECT DISTINCT a.text AS request_id, n.NAME AS suggestion FROM ask_text a JOIN product_description n ON n.LANGUAGE = 'en'
+      AND contains(lower(n.NAME), lower(a.text)) AND regexp_matches(lower(n.NAME), '(^|[^a-z0-9])' || split_part(lower(a.text), ' ', 1))"""
 SQL["C37"] = """
     SELECT h.request_id, c.CATEGORY_ID, count(*) AS hit_count FROM hit_rows h JOIN (SELECT DISTINCT PRODUCT_ID, CATEGORY_ID FROM product_category) c ON c.PRODUCT_ID = h.id
     GROUP BY 1, 2"""

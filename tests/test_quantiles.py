@@ -4,8 +4,10 @@ import random
 from decimal import Decimal
 
 import pytest
+from pyspark.sql import functions as F
 
 from tillwork.operators.quantiles import exact_summary
+from tillwork.plans.metrics import METRICS
 
 
 def expected(values, percent):
@@ -36,3 +38,18 @@ def test_percentiles_of_skewed_amounts(spark, seed):
 def test_no_input_gives_one_row_without_keys(spark):
     row = exact_summary(spark.createDataFrame([], "v DECIMAL(18,2)"), [], "v", {"p50": 50}).collect()
     assert [tuple(r) for r in row] == [(0, None, None, None, None)]
+
+
+def test_sketches_come_close(spark):
+    df = spark.range(20_000).select((F.col("id") * F.col("id") % 7919 / F.lit(100)).cast("decimal(18,2)").alias("v"))
+    wanted = {"p50": 50, "p95": 95}
+    exact = exact_summary(df, [], "v", wanted).first()
+    rough = exact_summary(df, [], "v", wanted, approximate=True).first()
+    assert tuple(exact)[:4] == tuple(rough)[:4]
+    assert abs(exact.p50 - rough.p50) < 1 and abs(exact.p95 - rough.p95) < 1
+
+
+@pytest.mark.parametrize("id", ["M08", "M13", "M14", "M15", "M21", "M23"])
+def test_the_rough_form_of_a_metric_has_the_same_shape(shop, id):
+    exact, rough = METRICS[id](shop), METRICS[id].build(shop.relations, approximate=True)
+    assert exact.columns == rough.columns and exact.count() == rough.count()

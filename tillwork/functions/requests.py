@@ -28,9 +28,14 @@ ANONYMOUS = "anonymous"
 PAYLOAD_BYTES = 16 * 1024
 
 
-def api_name(uri) -> Column:
-    """``/api/v1/private/cart/7`` gives ``CartApi``."""
-    resource = F.regexp_extract(as_column(uri), API_NAME_PATTERN, 1)
+def api_resource(uri) -> Column:
+    """First part of the path after the version: ``cart`` of ``/api/v1/private/cart/7``."""
+    return F.regexp_extract(as_column(uri), API_NAME_PATTERN, 1)
+
+
+def api_name(resource) -> Column:
+    """``cart`` gives ``CartApi``."""
+    resource = as_column(resource)
     named = F.concat(F.upper(F.substring(resource, 1, 1)), F.substr(resource, F.lit(2)), F.lit("Api"))
     return F.when(F.length(resource) > 0, named).otherwise(UNKNOWN_API)
 
@@ -54,24 +59,27 @@ def json_text_field(text, field: str) -> Column:
     return F.regexp_extract(as_column(text), pattern, 1)
 
 
-def token_user(authorization) -> Column:
-    """User named in the middle part of a bearer token. The signature is not checked."""
+def token_claims(authorization) -> Column:
+    """Text of the middle part of a bearer token. The signature is not checked."""
     header = as_column(authorization)
-    is_bearer = F.lower(F.substring(header, 1, 7)) == "bearer "
+    is_bearer = (F.lower(F.substring(header, 1, 7)) == "bearer ") & (F.length(header) >= 8)
     middle = F.translate(F.get(F.split(F.trim(F.substr(header, F.lit(8))), "\\."), F.lit(1)), "-_", "+/")
-    padded = F.rpad(middle, (F.ceil(F.length(middle) / 4) * 4).cast("int"), F.lit("="))
-    claims = F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string"))
-    found = F.coalesce(*[blank_to_null(json_text_field(claims, claim)) for claim in TOKEN_CLAIMS])
-    return F.when(is_bearer & (F.length(header) >= 8), found)
+    padded = F.concat(middle, F.substr(F.lit("==="), F.lit(1), (4 - F.length(middle) % 4) % 4))
+    return F.when(is_bearer, F.make_valid_utf8(F.try_to_binary(padded, F.lit("base64")).cast("string")))
 
 
-def sign_in_user(uri, body) -> Column:
-    """User named in the body of a login or a registration."""
+def sign_in_body(uri, body) -> Column:
+    """The body if the request is a login or a registration."""
     uri = as_column(uri)
     is_sign_in = F.lit(False)
     for path in SIGN_IN_PATHS:
         is_sign_in = is_sign_in | uri.contains(path)
-    return F.when(is_sign_in, F.coalesce(*[blank_to_null(json_text_field(body, field)) for field in SIGN_IN_FIELDS]))
+    return F.when(is_sign_in, as_column(body))
+
+
+def first_filled(*candidates) -> Column:
+    """The first that is neither null nor blank. Pass plain columns, not costly expressions."""
+    return F.coalesce(*[blank_to_null(c) for c in candidates])
 
 
 def session_id(header, server_session) -> Column:
@@ -92,11 +100,12 @@ def request_id(header, event_id) -> Column:
     return F.coalesce(blank_to_null(header), F.concat_ws("-", *parts))
 
 
-def user_id(principal, authorization, uri, body, session) -> Column:
+def user_id(principal, named: list[Column], session) -> Column:
+    """The signed-in user, else the first of ``named``, else the session as a visitor."""
     principal = as_column(principal)
     signed_in = blank_to_null(F.when(principal != "anonymousUser", principal))
     visitor = F.concat(F.lit("anon:"), blank_to_null(session))
-    return F.coalesce(signed_in, token_user(authorization), sign_in_user(uri, body), visitor, F.lit(ANONYMOUS))
+    return F.coalesce(signed_in, first_filled(*named), visitor, F.lit(ANONYMOUS))
 
 
 def payload(body, content_type, query_string) -> Column:

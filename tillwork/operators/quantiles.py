@@ -18,23 +18,51 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     return df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
 
 
-def percentile_columns(value: str, wanted: Mapping[str, int], approximate: bool = False) -> list:
-    """Aggregates over ``value_counts`` for values with a bounded domain.
+def approximate_summary(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int]) -> DataFrame:
+    """Count, total, least, most and percentiles from a sketch: one aggregation."""
+    amount = F.col(value)
+    sketches = [
+        F.percentile_approx(amount, percent / 100, APPROXIMATE_ACCURACY).cast("double").alias(name) for name, percent in wanted.items()
+    ]
+    return df.groupBy(*keys).agg(
+        F.count(amount).alias("count"),
+        F.sum(amount).alias("total"),
+        F.min(amount).alias("least"),
+        F.max(amount).alias("most"),
+        *sketches,
+    )
+
 
-    The buffer holds one entry per distinct value, so use it for whole seconds or
-    request counts, whose number of distinct values is limited by the time the
-    events span, not by how many there are. For amounts use
-    :func:`exact_summary`. ``approximate`` trades exactness for a sketch.
+def bounded_summary(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int], approximate: bool = False
+) -> DataFrame:
+    """Count, total, least, most and exact percentiles of values from a bounded domain.
+
+    The last step holds one entry per distinct value of a key, so this is for whole
+    seconds and request counts: their number is limited by the time the events span
+    and by the busiest session, not by how many sessions there are. For amounts use
+    :func:`exact_summary`.
     """
     if approximate:
-        return [
-            F.percentile_approx(value, percent / 100, APPROXIMATE_ACCURACY).cast("double").alias(name)
-            for name, percent in wanted.items()
-        ]
-    return [F.percentile(value, percent / 100, F.col("n")).alias(name) for name, percent in wanted.items()]
+        return approximate_summary(df, keys, value, wanted)
+    n = F.col("n")
+    percentiles = [F.percentile(value, percent / 100, n).alias(name) for name, percent in wanted.items()]
+    return (
+        value_counts(df.where(F.col(value).isNotNull()), keys, value)
+        .groupBy(*keys)
+        .agg(
+            F.coalesce(F.sum(n), F.lit(0)).alias("count"),
+            F.sum(F.col(value) * n).alias("total"),
+            F.min(value).alias("least"),
+            F.max(value).alias("most"),
+            *percentiles,
+        )
+    )
 
 
-def exact_summary(df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int]) -> DataFrame:
+def exact_summary(
+    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int], approximate: bool = False
+) -> DataFrame:
     """Count, total, least, most and exact percentiles of an amount per key.
 
     No key's values are gathered anywhere:
@@ -49,6 +77,8 @@ def exact_summary(df: DataFrame, keys: Sequence[str], value: str, wanted: Mappin
     within one percent of each other. Null values are left out. Without keys the
     result is one row even for no input.
     """
+    if approximate:
+        return approximate_summary(df, keys, value, wanted)
     keys = list(keys)
     amount = F.col(value)
     counts = value_counts(df.where(amount.isNotNull()), keys, value)

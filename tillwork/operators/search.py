@@ -11,6 +11,7 @@ from tillwork.functions.values import money_text
 
 # Lengths of the word beginnings that are indexed.
 SHORTEST_TERM, LONGEST_TERM = 3, 10
+_NO_WORD = "[^\\p{L}\\p{Nd}]+"
 
 
 def _stock_entry() -> Column:
@@ -83,7 +84,7 @@ def search_documents(tables: Mapping[str, DataFrame], product_stock: DataFrame,
 
 def _beginnings(text: Column) -> Column:
     """Beginnings of 3 to 10 characters of every run of letters and digits."""
-    words = F.split(F.lower(text), "[^\\p{L}\\p{Nd}]+")
+    words = F.split(F.lower(text), _NO_WORD)
     long_enough = F.filter(words, lambda w: F.length(w) >= SHORTEST_TERM)
     return F.array_distinct(
         F.flatten(
@@ -114,13 +115,15 @@ def keyword_search(terms: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def suggest(documents: DataFrame, terms: DataFrame, requests: DataFrame) -> DataFrame:
-    """Names that begin a word the way the request's text begins, each once per request.
+    """Names that hold the request's text with its first word beginning a word, each once per request.
 
-    The text is cut to the longest indexed beginning, then checked in full.
+    The first word, as far as it is indexed, finds the candidates by an equi join;
+    the whole text is then compared.
     """
     typed = F.lower(F.trim("text"))
+    first_word = F.get(F.filter(F.split(typed, _NO_WORD), lambda w: F.length(w) > 0), F.lit(0))
     asked = requests.select(
-        "request_id", "store", "language", typed.alias("typed"), F.substr(typed, F.lit(1), F.lit(LONGEST_TERM)).alias("term")
+        "request_id", "store", "language", typed.alias("typed"), F.substr(first_word, F.lit(1), F.lit(LONGEST_TERM)).alias("term")
     )
     hits = asked.join(terms, ["store", "language", "term"]).select("request_id", "typed", "language", "id")
     names = documents.select("id", "language", F.col("name").alias("suggestion"))

@@ -1,4 +1,8 @@
-"""The shop's metrics. Each is a function from the shared relations to a frame."""
+"""The shop's metrics. Each is a function from the shared relations to a frame.
+
+Percentiles and distinct counts are exact. The metrics that have them take
+``approximate=True`` to use sketches instead.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions import endpoints as E
 from tillwork.functions.values import mean_of, percent, ratio, round_half_up, whole_seconds
-from tillwork.operators.quantiles import exact_summary, percentile_columns, value_counts
+from tillwork.operators.quantiles import bounded_summary, exact_summary
 from tillwork.operators.relations import Relations, line_values, sales
 
 
@@ -98,48 +102,30 @@ def _status():
     return F.when(F.col("converted"), "converted").otherwise("not_converted")
 
 
-def _by_conversion(r: Relations, value: str) -> DataFrame:
-    """Sessions counted by (status, value)."""
-    return value_counts(r.sessions.withColumn("session_status", _status()), ["session_status"], value)
+def _by_conversion(r: Relations, value: str, approximate: bool) -> DataFrame:
+    sessions = r.sessions.withColumn("session_status", _status())
+    return bounded_summary(sessions, ["session_status"], value, {"p50": 50, "p95": 95}, approximate)
 
 
 @metric("M14", "session_duration_by_conversion_status")
-def session_duration_by_conversion_status(r: Relations) -> DataFrame:
-    return (
-        _by_conversion(r, "duration_seconds")
-        .groupBy("session_status")
-        .agg(
-            F.sum("n").alias("sessions"),
-            F.sum(F.col("duration_seconds") * F.col("n")).alias("total"),
-            *percentile_columns("duration_seconds", {"p50": 50, "p95": 95}),
-        )
-        .select(
-            "session_status",
-            "sessions",
-            round_half_up(ratio("total", "sessions") / 60).alias("avg_session_duration_minutes"),
-            round_half_up(F.col("p50") / 60).alias("median_session_duration_minutes"),
-            round_half_up(F.col("p95") / 60).alias("p95_session_duration_minutes"),
-        )
+def session_duration_by_conversion_status(r: Relations, approximate: bool = False) -> DataFrame:
+    return _by_conversion(r, "duration_seconds", approximate).select(
+        "session_status",
+        F.col("count").alias("sessions"),
+        round_half_up(ratio("total", "count") / 60).alias("avg_session_duration_minutes"),
+        round_half_up(F.col("p50") / 60).alias("median_session_duration_minutes"),
+        round_half_up(F.col("p95") / 60).alias("p95_session_duration_minutes"),
     )
 
 
 @metric("M15", "request_count_by_conversion_status")
-def request_count_by_conversion_status(r: Relations) -> DataFrame:
-    return (
-        _by_conversion(r, "request_count")
-        .groupBy("session_status")
-        .agg(
-            F.sum("n").alias("sessions"),
-            F.sum(F.col("request_count") * F.col("n")).alias("total"),
-            *percentile_columns("request_count", {"p50": 50, "p95": 95}),
-        )
-        .select(
-            "session_status",
-            "sessions",
-            mean_of("total", "sessions").alias("avg_requests_per_session"),
-            round_half_up("p50", 4).alias("median_requests_per_session"),
-            round_half_up("p95", 4).alias("p95_requests_per_session"),
-        )
+def request_count_by_conversion_status(r: Relations, approximate: bool = False) -> DataFrame:
+    return _by_conversion(r, "request_count", approximate).select(
+        "session_status",
+        F.col("count").alias("sessions"),
+        mean_of("total", "count").alias("avg_requests_per_session"),
+        round_half_up("p50", 4).alias("median_requests_per_session"),
+        round_half_up("p95", 4).alias("p95_requests_per_session"),
     )
 
 
@@ -194,23 +180,15 @@ def last_endpoint_before_abandoned_session(r: Relations, top: int = 10) -> DataF
 
 
 @metric("M21", "time_from_cart_to_purchase")
-def time_from_cart_to_purchase(r: Relations) -> DataFrame:
+def time_from_cart_to_purchase(r: Relations, approximate: bool = False) -> DataFrame:
     waits = r.sessions.where(_bought_after_cart()).select(
         whole_seconds("first_cart_ts", "first_checkout_ts").alias("seconds")
     )
-    return (
-        value_counts(waits, [], "seconds")
-        .agg(
-            F.coalesce(F.sum("n"), F.lit(0)).alias("converted_sessions"),
-            F.sum(F.col("seconds") * F.col("n")).alias("total"),
-            *percentile_columns("seconds", {"p50": 50, "p95": 95}),
-        )
-        .select(
-            "converted_sessions",
-            round_half_up(ratio("total", "converted_sessions") / 60).alias("avg_minutes_from_cart_to_checkout"),
-            round_half_up("p50", 4).alias("median_seconds_from_cart_to_checkout"),
-            round_half_up("p95", 4).alias("p95_seconds_from_cart_to_checkout"),
-        )
+    return bounded_summary(waits, [], "seconds", {"p50": 50, "p95": 95}, approximate).select(
+        F.col("count").alias("converted_sessions"),
+        round_half_up(ratio("total", "count") / 60).alias("avg_minutes_from_cart_to_checkout"),
+        round_half_up("p50", 4).alias("median_seconds_from_cart_to_checkout"),
+        round_half_up("p95", 4).alias("p95_seconds_from_cart_to_checkout"),
     )
 
 
@@ -261,13 +239,15 @@ def average_item_sold_price(r: Relations) -> DataFrame:
 
 
 @metric("M08", "revenue_by_hour")
-def revenue_by_hour(r: Relations) -> DataFrame:
+def revenue_by_hour(r: Relations, approximate: bool = False) -> DataFrame:
+    """``approximate`` counts sessions and carts by sketch instead of one by one."""
+    count_of = F.approx_count_distinct if approximate else F.count_distinct
     return (
         r.valued(sales(r.checkouts, r.tables["shopping_cart"], "session_id", "event_timestamp"))
         .groupBy(F.date_trunc("hour", "event_timestamp").alias("checkout_hour"))
         .agg(
-            F.count_distinct("session_id").alias("sale_sessions"),
-            F.count_distinct("SHP_CART_ID").alias("sold_carts"),
+            count_of("session_id").alias("sale_sessions"),
+            count_of("SHP_CART_ID").alias("sold_carts"),
             F.sum("cart_value").alias("value"),
             F.count(F.lit(1)).alias("rows"),
         )
@@ -345,9 +325,9 @@ def top_products_by_sold_quantity_and_revenue(r: Relations, top: int = 20) -> Da
 
 
 @metric("M23", "cart_value_distribution")
-def cart_value_distribution(r: Relations) -> DataFrame:
+def cart_value_distribution(r: Relations, approximate: bool = False) -> DataFrame:
     wanted = {"median_cart_value": 50, "p75_cart_value": 75, "p90_cart_value": 90, "p95_cart_value": 95}
-    return exact_summary(r.sold_cart_values, [], "cart_value", wanted).select(
+    return exact_summary(r.sold_cart_values, [], "cart_value", wanted, approximate).select(
         F.col("count").alias("sold_carts"),
         mean_of("total", "count").alias("avg_cart_value"),
         round_half_up("least").alias("min_cart_value"),
@@ -429,9 +409,9 @@ def successful_carts_per_successful_session(r: Relations) -> DataFrame:
 
 
 @metric("M13", "estimated_abandoned_cart_value")
-def estimated_abandoned_cart_value(r: Relations) -> DataFrame:
+def estimated_abandoned_cart_value(r: Relations, approximate: bool = False) -> DataFrame:
     classified = _classified(r, r.cart_values, "abandoned")
-    return exact_summary(classified, ["cart_status"], "cart_value", {"median_cart_value": 50}).select(
+    return exact_summary(classified, ["cart_status"], "cart_value", {"median_cart_value": 50}, approximate).select(
         "cart_status",
         F.col("count").alias("carts"),
         round_half_up("total").alias("total_cart_value"),

@@ -126,7 +126,7 @@ def write_result(
     size = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/data").agg(F.sum("length"))
     record["result_size_bytes"] = size.first()[0]
     # One short line of text, about the data and not part of it.
-    spark.createDataFrame([(json.dumps(record),)], "value STRING").write.mode("overwrite").text(f"{path}/meta")
+    spark.range(1).select(F.lit(json.dumps(record)).alias("value")).write.mode("overwrite").text(f"{path}/meta")
     return record
 
 

@@ -616,8 +616,7 @@ def c36(shop):
 @query("C36_suggest")
 def c36_suggest(shop):
     documents = _plain_documents(shop)
-    typed = _requests(shop).withColumn("text", F.substr("text", F.lit(1), F.lit(4)))
-    return search.suggest(documents, search.search_terms(documents), typed)
+    return search.suggest(documents, search.search_terms(documents), _requests(shop))
 
 
 @query("C37")
