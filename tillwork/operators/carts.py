@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions.values import MONEY
 from tillwork.operators.prices import _at, add_surcharge, positive_surcharge
+from tillwork.operators.skew import own_shuffle
 
 # Promotion code, first day it no longer holds, share taken off.
 PROMOTIONS = [("Test1234", "2025-10-31", "0.10")]
@@ -29,7 +30,7 @@ def priced_cart_lines(
         positive_surcharge().alias("_extra"), F.count(F.lit(1)).alias("kept_attributes")
     )
     price = priced.select("PRODUCT_ID", "FINAL_PRICE", "ORIGINAL_PRICE", "DISCOUNTED_PRICE")
-    joined = known.join(price, "PRODUCT_ID", "left").join(extra, ["CART_ID", "PRODUCT_ID"], "left")
+    joined = known.join(own_shuffle(price), "PRODUCT_ID", "left").join(extra, ["CART_ID", "PRODUCT_ID"], "left")
     joined = add_surcharge(joined, F.col("_extra"), discounted_too=True)
     return joined.select(
         "CART_ID",
@@ -124,6 +125,6 @@ def promo_discounts(carts: DataFrame, lines: DataFrame, priced: DataFrame, promo
     )
     price = priced.select("PRODUCT_ID", "FINAL_PRICE")
     value = F.col("FINAL_PRICE") * F.col("RATE") * F.col("QUANTITY")
-    return lines.join(holding, "CART_ID").join(price, "PRODUCT_ID").select(
+    return lines.join(holding, "CART_ID").join(own_shuffle(price), "PRODUCT_ID").select(
         "CART_ID", "PRODUCT_ID", "PROMO_CODE", value.cast("decimal(28,6)").alias("VALUE")
     )

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tillwork.operators.skew import own_shuffle
+
 # What stands in for a missing measure.
 DEFAULT_WEIGHT, DEFAULT_HEIGHT, DEFAULT_LENGTH, DEFAULT_WIDTH = 1, 4, 4, 4
 SIZE = "decimal(18,2)"
@@ -24,7 +26,7 @@ def measured_lines(lines: DataFrame, products: DataFrame, attributes: DataFrame)
         F.coalesce("LENGTH", F.lit(DEFAULT_LENGTH)).cast(SIZE).alias("LENGTH"),
         F.coalesce("WIDTH", F.lit(DEFAULT_WIDTH)).cast(SIZE).alias("WIDTH"),
     )
-    return lines.select("ORDER_ID", "PRODUCT_ID", "QUANTITY").join(measures, "PRODUCT_ID")
+    return lines.select("ORDER_ID", "PRODUCT_ID", "QUANTITY").join(own_shuffle(measures), "PRODUCT_ID")
 
 
 def parcels_per_item(measured: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions import endpoints as E
 from tillwork.functions.values import whole_seconds
+from tillwork.operators.skew import own_shuffle
 
 
 def checkouts(events: DataFrame) -> DataFrame:
@@ -100,7 +101,7 @@ def units() -> F.Column:
 
 def line_values(items: DataFrame, prices: DataFrame) -> DataFrame:
     """Cart lines with units and value; a line without a price is worth 0."""
-    return items.join(prices, "PRODUCT_ID", "left").select(
+    return items.join(own_shuffle(prices), "PRODUCT_ID", "left").select(
         "SHP_CART_ID",
         "PRODUCT_ID",
         units().alias("units"),
@@ -176,9 +177,14 @@ class Relations:
         return self._hold(product_prices(self.tables["product_availability"], self.tables["product_price"]))
 
     @cached_property
-    def sold_items(self) -> DataFrame:
-        """Lines of sold carts only, so later steps move no others."""
-        return self.items.join(self.sold_carts, "SHP_CART_ID", "left_semi")
+    def sold_lines(self) -> DataFrame:
+        """Lines of sold carts, equal products of a cart added up.
+
+        The semi join has brought a cart's lines together, so adding them up takes
+        no shuffle, and a cart of very many lines is small before it is priced.
+        """
+        lines = self.items.join(self.sold_carts, "SHP_CART_ID", "left_semi")
+        return lines.groupBy("SHP_CART_ID", "PRODUCT_ID").agg(F.sum(units()).alias("QUANTITY"))
 
     @cached_property
     def cart_values(self) -> DataFrame:
@@ -188,10 +194,10 @@ class Relations:
         """``sales`` (rows with a cart id) with the value of their cart.
 
         A cart's value is worked out once however often it was sold, and only
-        lines of carts in ``sales`` are priced.
+        lines of sold carts are priced.
         """
-        lines = self.items.join(sales.select("SHP_CART_ID").distinct(), "SHP_CART_ID", "left_semi")
-        return sales.join(cart_values(lines, self.prices), "SHP_CART_ID", "left").withColumn(
+        values = cart_values(self.sold_lines, self.prices)
+        return sales.join(own_shuffle(values), "SHP_CART_ID", "left").withColumn(
             "cart_value", F.coalesce("cart_value", F.lit(0))
         )
 

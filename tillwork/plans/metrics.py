@@ -16,6 +16,7 @@ from tillwork.functions import endpoints as E
 from tillwork.functions.values import mean_of, percent, ratio, round_half_up, whole_seconds
 from tillwork.operators.quantiles import bounded_summary, exact_summary
 from tillwork.operators.relations import Relations, line_values, sales
+from tillwork.operators.skew import own_shuffle
 
 
 @dataclass(frozen=True)
@@ -39,9 +40,14 @@ def metric(id: str, name: str):
     return register
 
 
-def _share_of_total(groups: DataFrame, count: str, total: DataFrame, share: str) -> DataFrame:
-    """Add each row's share of a one-row total, read as a scalar subquery."""
-    return groups.withColumn(share, percent(count, total.scalar()))
+def _largest(groups: DataFrame, label: str, count: str, share: str, top: int) -> DataFrame:
+    """The largest groups with their share of all.
+
+    The total is a scalar subquery over the groups: no window over all of them,
+    and no second pass over what was grouped.
+    """
+    total = groups.agg(F.sum(count)).scalar()
+    return groups.orderBy(F.desc(count), label).limit(top).withColumn(share, percent(count, total))
 
 
 def _by_rank(label: str, order: list[str]):
@@ -143,9 +149,9 @@ def endpoint_popularity_by_conversion_status(r: Relations, top: int = 10, per_st
         .groupBy("session_id", "endpoint")
         .agg(F.count(F.lit(1)).alias("requests"))
     )
-    sales = r.sale_sessions.withColumn("converted", F.lit(True))
+    buyers = r.sale_sessions.withColumn("converted", F.lit(True))
     counted = (
-        used.join(sales, "session_id", "left")
+        used.join(own_shuffle(buyers), "session_id", "left")
         .withColumn("converted", F.coalesce("converted", F.lit(False)))
         .groupBy(_status().alias("session_status"), "endpoint")
         .agg(F.sum("requests").alias("request_count"), F.count("session_id").alias("sessions_using_endpoint"))
@@ -162,10 +168,8 @@ def endpoint_popularity_by_conversion_status(r: Relations, top: int = 10, per_st
 
 @metric("M17", "first_endpoint_entry_point_analysis")
 def first_endpoint_entry_point_analysis(r: Relations, top: int = 10) -> DataFrame:
-    groups = r.sessions.groupBy(F.col("first_endpoint")).agg(F.count(F.lit(1)).alias("sessions"))
-    total = r.sessions.agg(F.count(F.lit(1)))
-    best = groups.orderBy(F.desc("sessions"), "first_endpoint").limit(top)
-    return _share_of_total(best, "sessions", total, "share_of_sessions_pct")
+    groups = r.sessions.groupBy("first_endpoint").agg(F.count(F.lit(1)).alias("sessions"))
+    return _largest(groups, "first_endpoint", "sessions", "share_of_sessions_pct", top)
 
 
 @metric("M18", "last_endpoint_before_abandoned_session")
@@ -174,9 +178,9 @@ def last_endpoint_before_abandoned_session(r: Relations, top: int = 10) -> DataF
     groups = abandoned.groupBy(F.col("last_endpoint").alias("last_endpoint_before_abandonment")).agg(
         F.count(F.lit(1)).alias("abandoned_sessions")
     )
-    total = abandoned.agg(F.count(F.lit(1)))
-    best = groups.orderBy(F.desc("abandoned_sessions"), "last_endpoint_before_abandonment").limit(top)
-    return _share_of_total(best, "abandoned_sessions", total, "share_of_abandoned_sessions_pct")
+    return _largest(
+        groups, "last_endpoint_before_abandonment", "abandoned_sessions", "share_of_abandoned_sessions_pct", top
+    )
 
 
 @metric("M21", "time_from_cart_to_purchase")
@@ -228,7 +232,7 @@ def average_session_value_session_ltv(r: Relations) -> DataFrame:
 @metric("M05", "average_item_sold_price")
 def average_item_sold_price(r: Relations) -> DataFrame:
     """Mean price of a sold unit. A sold cart without lines adds one free unit."""
-    lines = line_values(r.sold_items, r.prices).groupBy("SHP_CART_ID").agg(
+    lines = line_values(r.sold_lines, r.prices).groupBy("SHP_CART_ID").agg(
         F.sum("line_value").alias("value"), F.sum("units").alias("units")
     )
     return (
@@ -301,11 +305,9 @@ def revenue_by_session_intensity_bucket(r: Relations) -> DataFrame:
 @metric("M10", "top_products_by_sold_quantity_and_revenue")
 def top_products_by_sold_quantity_and_revenue(r: Relations, top: int = 20) -> DataFrame:
     """Best sellers by revenue. Sold carts without lines show up as a null product."""
-    per_cart = line_values(r.sold_items, r.prices).groupBy("PRODUCT_ID", "SHP_CART_ID").agg(
-        F.sum("units").alias("units"), F.sum("line_value").alias("value")
-    )
-    with_lines = per_cart.select("PRODUCT_ID", "units", "value", F.lit(1).alias("carts"))
-    without_lines = r.sold_carts.join(r.sold_items.select("SHP_CART_ID"), "SHP_CART_ID", "left_anti").select(
+    priced = line_values(r.sold_lines, r.prices)
+    with_lines = priced.select("PRODUCT_ID", "units", F.col("line_value").alias("value"), F.lit(1).alias("carts"))
+    without_lines = r.sold_carts.join(r.sold_lines.select("SHP_CART_ID"), "SHP_CART_ID", "left_anti").select(
         F.lit(None).cast("bigint").alias("PRODUCT_ID"),
         F.lit(1).cast("bigint").alias("units"),
         F.lit(0).cast("decimal(18,2)").alias("value"),

@@ -13,6 +13,7 @@ from tillwork.operators import carts, categories, listings, orders, parcels, pri
 from tillwork.operators.listings import ProductCriteria
 from tillwork.operators.orders import CustomerCriteria, OrderCriteria
 from tillwork.operators.parcels import Box
+from tillwork.operators.skew import own_shuffle
 from tillwork.operators.taxes import TaxSettings
 from tillwork.sources.starschema import AS_OF, Shop
 
@@ -52,7 +53,7 @@ def _order_lines(shop: Shop) -> DataFrame:
     """Lines of orders with today's price and the product's tax class."""
     price = _priced(shop).select("PRODUCT_ID", F.col("FINAL_PRICE").alias("ITEM_PRICE"))
     lines = shop["cart_line"].select(F.col("CART_ID").alias("ORDER_ID"), "PRODUCT_ID", "QUANTITY")
-    return lines.join(price, "PRODUCT_ID").join(shop["product"].select("PRODUCT_ID", "TAX_CLASS_ID"), "PRODUCT_ID")
+    return lines.join(own_shuffle(price), "PRODUCT_ID").join(shop["product"].select("PRODUCT_ID", "TAX_CLASS_ID"), "PRODUCT_ID")
 
 
 def _shipped_lines(shop: Shop) -> DataFrame:
