@@ -103,7 +103,9 @@ def test_a_product_in_a_third_of_all_lines_is_split(spark, small_partitions):
     items = spark.range(0, rows, 1, 8).select(
         F.col("id").alias("SHP_CART_ID"), product.alias("PRODUCT_ID"), F.lit(2).alias("QUANTITY")
     )
-    prices = spark.range(50_000).select(F.col("id").alias("PRODUCT_ID"), F.lit("1.50").cast("decimal(18,2)").alias("product_price_amount"))
+    products = spark.range(50_000).select(F.col("id").alias("PRODUCT_ID"), F.col("id").alias("PRODUCT_AVAIL_ID"))
+    amounts = products.select("PRODUCT_AVAIL_ID", F.lit("1.50").cast("decimal(18,2)").alias("PRODUCT_PRICE_AMOUNT"))
+    prices = relations.product_prices(products, amounts)
     values = relations.cart_values(items, prices)
     assert tuple(values.agg(F.count("*"), F.sum("cart_value")).first()) == (rows, rows * 3)
     joined = relations.line_values(items, prices)
@@ -112,6 +114,19 @@ def test_a_product_in_a_third_of_all_lines_is_split(spark, small_partitions):
     assert "skew=true" in plan(joined)
 
 
+def test_a_cart_in_a_third_of_all_lines_is_split(spark, small_partitions):
+    rows = 300_000
+    cart = F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50_000)
+    # The quantities are spread so that the hot cart's lines do not compress away.
+    items = spark.range(0, rows, 1, 8).select(
+        cart.alias("SHP_CART_ID"), F.xxhash64("id").alias("PRODUCT_ID"), F.lit(1).alias("QUANTITY")
+    )
+    sold = spark.range(50_000).select(F.col("id").alias("SHP_CART_ID"))
+    lines = items.join(sold, "SHP_CART_ID", "left_semi").groupBy("SHP_CART_ID", "PRODUCT_ID").agg(F.sum("QUANTITY").alias("QUANTITY"))
+    assert len(lines.collect()) == rows
+    assert "skew=true" in plan(lines)
+
+
 def test_a_session_with_a_third_of_all_events(spark):
     rows = 300_000
     session = F.when(F.col("id") % 3 == 0, "").otherwise(F.concat(F.lit("s"), (F.col("id") % 1000).cast("string")))

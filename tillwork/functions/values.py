@@ -18,6 +18,11 @@ def as_column(value) -> Column:
     return value if isinstance(value, Column) else F.col(value)
 
 
+def moment(as_of) -> Column:
+    """The time a job takes as now: a column, a datetime or text."""
+    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
+
+
 def ratio(top, bottom) -> Column:
     """Double division; null instead of an error for a zero divisor."""
     return F.try_divide(as_column(top).cast("double"), as_column(bottom).cast("double"))

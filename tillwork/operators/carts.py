@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.functions.values import MONEY
-from tillwork.operators.prices import _at, add_surcharge, positive_surcharge
+from tillwork.functions.values import moment
+from tillwork.operators.prices import add_surcharge, positive_surcharge
 from tillwork.operators.skew import own_shuffle
 
 # Promotion code, first day it no longer holds, share taken off.
@@ -116,7 +116,7 @@ def promo_discounts(carts: DataFrame, lines: DataFrame, priced: DataFrame, promo
 
     A code counts once it has been added, and as long as the promotion runs.
     """
-    now = _at(as_of)
+    now = moment(as_of)
     added = F.coalesce(F.to_date("PROMO_ADDED"), F.to_date(now))
     holding = (
         carts.where(added <= F.to_date(now))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.operators.prices import _at
+from tillwork.functions.values import moment
 from tillwork.session import use_checkpoints
 
 MAX_DEPTH = 1000
@@ -116,7 +116,7 @@ def category_listing(
 
 def on_sale(as_of) -> Column:
     """Products that are available and whose date has come."""
-    return F.col("AVAILABLE") & (F.col("DATE_AVAILABLE").cast("timestamp") <= _at(as_of))
+    return F.col("AVAILABLE") & (F.col("DATE_AVAILABLE").cast("timestamp") <= moment(as_of))
 
 
 def products_per_category(products: DataFrame, memberships: DataFrame, as_of) -> DataFrame:

@@ -5,23 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.functions.values import MONEY
+from tillwork.functions.values import MONEY, moment
 
 # The region that stands for all regions.
 ALL_REGIONS = "*"
 
 
-def _at(as_of) -> Column:
-    return as_of if isinstance(as_of, Column) else F.lit(as_of).cast("timestamp")
-
-
 def special_applies(as_of) -> Column:
     """Whether the special price of a price row holds at ``as_of``.
 
     With both dates between them, with only an end until then, without dates
     always if it is positive. A start alone gives no discount.
     """
-    now = _at(as_of)
+    now = moment(as_of)
     start, end = F.col("SPECIAL_START").cast("timestamp"), F.col("SPECIAL_END").cast("timestamp")
     undated = start.isNull() & end.isNull() & (F.col("SPECIAL_AMOUNT") > 0)
     dated = (start.isNull() | (start < now)) & (end > now)
@@ -30,7 +26,7 @@ def special_applies(as_of) -> Column:
 
 def has_discount(as_of) -> Column:
     """The narrower test: both dates are set and ``as_of`` lies between them."""
-    now = _at(as_of)
+    now = moment(as_of)
     inside = (F.col("SPECIAL_START").cast("timestamp") < now) & (F.col("SPECIAL_END").cast("timestamp") > now)
     return F.coalesce(inside, F.lit(False))
 
