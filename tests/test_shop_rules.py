@@ -396,3 +396,24 @@ def test_sku_lookup(spark):
     skus = spark.createDataFrame([("a",), ("a-red",), ("zzz",), ("a",)], "SKU STRING")
     got = sorted(tuple(r) for r in listings.sku_lookup(skus, products, variants).select("SKU", "PRODUCT_ID", "FOUND").collect())
     assert got == [("a", 1, True), ("a-red", 1, True), ("zzz", None, False)]
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """The packing function loads in an interpreter that cannot import this package."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    stored = tmp_path / "function"
+    stored.write_bytes(cloudpickle.dumps(parcels._pack(BOX)))
+    script = (
+        "import sys, pickle, pandas as pd\n"
+        "run = pickle.load(open(sys.argv[1], 'rb'))\n"
+        "line = pd.DataFrame([(1, 1, 2, 1000000, 1000000, 1000000, 1000000)], "
+        "columns=['ORDER_ID', 'PRODUCT_ID', 'volume', 'weight', 'units', 'least_volume', 'least_weight'])\n"
+        "assert 'tillwork' not in sys.modules and sum(len(f) for f in run([line])) == 1\n"
+    )
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    subprocess.run([sys.executable, "-c", script, str(stored)], check=True, cwd=tmp_path, env=env)

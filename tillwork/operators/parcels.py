@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.operators.skew import own_shuffle
 
+# The packing function travels to the executors as it is, so that they need no
+# copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # What stands in for a missing measure.
 DEFAULT_WEIGHT, DEFAULT_HEIGHT, DEFAULT_LENGTH, DEFAULT_WIDTH = 1, 4, 4, 4
 SIZE = "decimal(18,2)"
