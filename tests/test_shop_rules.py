@@ -412,7 +412,7 @@ def test_executors_need_no_copy_of_the_package(tmp_path):
         "import sys, pickle, pandas as pd\n"
         "run = pickle.load(open(sys.argv[1], 'rb'))\n"
         "line = pd.DataFrame([(1, 1, 2, 1000000, 1000000, 1000000, 1000000)], "
-        "columns=['ORDER_ID', 'PRODUCT_ID', 'volume', 'weight', 'units', 'least_volume', 'least_weight'])\n"
+        "columns=['ORDER_ID', 'PRODUCT_ID', 'units', 'volume', 'weight', 'least_volume', 'least_weight'])\n"
         "assert 'tillwork' not in sys.modules and sum(len(f) for f in run([line])) == 1\n"
     )
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
