@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import circulant_minhash, suffix_dedup
+from tillwork.llm import circulant_minhash, line_crf, suffix_dedup, zstd_toxicity
 from tillwork.llm.common import table
 
 
@@ -15,6 +15,16 @@ def op10_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"))
 
 
+def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return line_crf.score(docs, line_crf.fit(docs, labels))
+
+
+def op4_zstd_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    return zstd_toxicity.score(docs, zstd_toxicity.fit(docs, labels))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return cleaned.select(
@@ -27,7 +37,9 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_line_crf": op1_line_crf,
     "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_zstd_toxicity": op4_zstd_toxicity,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
