@@ -4,16 +4,35 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import circulant_minhash, line_crf, suffix_dedup, zstd_toxicity
+from tillwork.llm import byte_bpe, circulant_minhash, line_crf, packing, suffix_dedup, zstd_toxicity
 from tillwork.llm.common import table
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = byte_bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
+    return byte_bpe.decode(encoded, RANKS).select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("raw", 256).alias("decoded_sha256"),
+    )
+
+
+def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return packing.pack(table(spark, folder, "documents"), PACKING)
+
+
 def op10_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"))
 
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+#: The tokenizer of the packing operator, the same vocabulary as ranks, and the ranks' pattern.
+PACKING = (public_tokenizers.path("byte_bpe_50k.json"), RANKS, public_tokenizers.PATTERN)
+
 
 def op1_line_crf(spark: SparkSession, folder: str) -> DataFrame:
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -40,6 +59,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_zstd_toxicity": op4_zstd_toxicity,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op9_packing": op9_packing,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
