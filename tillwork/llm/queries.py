@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import byte_bpe, circulant_minhash, line_crf, packing, suffix_dedup, zstd_toxicity
+from tillwork.llm import byte_bpe, circulant_minhash, line_crf, packing, suffix_dedup, weighted_sampling, zstd_toxicity
 from tillwork.llm.common import table
 
 
@@ -44,6 +44,10 @@ def op4_zstd_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return zstd_toxicity.score(docs, zstd_toxicity.fit(docs, labels))
 
 
+def op2_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted_sampling.fingerprints(table(spark, folder, "documents"))
+
+
 def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     cleaned = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
     return cleaned.select(
@@ -57,6 +61,7 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
+    "op2_weighted_sampling": op2_weighted_sampling,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_zstd_toxicity": op4_zstd_toxicity,
     "op6_byte_bpe": op6_byte_bpe,
