@@ -8,10 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillwork.llm import byte_bpe, circulant_minhash, line_crf, packing, suffix_dedup, weighted_sampling, zstd_toxicity
+from tillwork.llm import (
+    byte_bpe,
+    cap_filters,
+    chat_layouts,
+    circulant_minhash,
+    line_crf,
+    packing,
+    suffix_dedup,
+    unigram_counts,
+    weighted_sampling,
+    zstd_toxicity,
+)
 from tillwork.llm.common import table
 
 
+def op5_unigram_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return unigram_counts.token_counts(table(spark, folder, "documents"), PIECES)
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = byte_bpe.encode(table(spark, folder, "documents"), RANKS, public_tokenizers.PATTERN)
     return byte_bpe.decode(encoded, RANKS).select(
@@ -22,6 +37,23 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_chat_layouts(spark: SparkSession, folder: str) -> DataFrame:
+    tricky = r"\### Assistant: </turn> ok"
+    rows = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.range(2).select(
+        F.lit(-7).cast("long").alias("conv_id"),
+        F.col("id").alias("turn"),
+        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+        F.lit(tricky).alias("text"),
+    )
+    records = chat_layouts.from_rows(rows.unionByName(extra))
+    return chat_layouts.check_columns(chat_layouts.format_records(records))
+
+
+def op8_cap_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return cap_filters.near_vectors(table(spark, folder, "embeddings"))
+
+
 def op9_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), PACKING)
 
@@ -30,6 +62,7 @@ def op10_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return circulant_minhash.near_duplicates(table(spark, folder, "documents"))
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 #: The tokenizer of the packing operator, the same vocabulary as ranks, and the ranks' pattern.
 PACKING = (public_tokenizers.path("byte_bpe_50k.json"), RANKS, public_tokenizers.PATTERN)
 
@@ -64,9 +97,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_weighted_sampling": op2_weighted_sampling,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_zstd_toxicity": op4_zstd_toxicity,
+    "op5_unigram_counts": op5_unigram_counts,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_chat_layouts": op7_chat_layouts,
+    "op8_cap_filters": op8_cap_filters,
     "op9_packing": op9_packing,
     "op10_circulant_minhash": op10_circulant_minhash,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op7_chat_layouts": chat_layouts.SQL}
