@@ -75,7 +75,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
 _SKETCH = pa.schema(
     [
         ("doc_id", pa.int64()),
-        ("text_crc", pa.int64()),
+        ("text_key", pa.int64()),
         ("n_shingles", pa.int64()),
         ("digest", pa.binary()),
         ("bands", pa.list_(pa.int64())),
@@ -94,7 +94,7 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch(
             [
                 batch["doc_id"],
-                batch["text_crc"],
+                batch["text_key"],
                 pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([hashlib.md5(s.tobytes()).digest() if len(s) else None for s in sets], pa.binary()),
                 pa.array(bands, pa.list_(pa.int64())),
@@ -118,8 +118,8 @@ def _similar(rows: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Record
 
 def _texts(docs: DataFrame, classes: DataFrame, nodes: DataFrame) -> DataFrame:
     """The text of each wanted class, by the document that stands for it."""
-    wanted = nodes.distinct().join(classes, "node").select("node", "doc_id", "text_crc")
-    on = wanted["doc_id"].eqNullSafe(docs["doc_id"]) & (wanted["text_crc"] == docs["text_crc"])
+    wanted = nodes.distinct().join(classes, "node").select("node", "doc_id", "text_key")
+    on = wanted["doc_id"].eqNullSafe(docs["doc_id"]) & (wanted["text_key"] == docs["text_key"])
     return wanted.join(docs, on).groupBy("node").agg(F.min("text").alias("text"))
 
 
@@ -133,23 +133,14 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return both.mapInArrow(partial(_similar, percent=SIMILAR), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``; other columns are ignored.
-
-    Null and empty texts, and texts without words, have an empty set and are linked with nothing.
-    Equal sets are one class before anything is compared, so a group of copies costs one row. A class
-    is first compared with the leader (the smallest class) of most of its bands; then every pair that
-    shares a band, could still be similar by the sizes of its sets and isn't connected yet is compared, so
-    no link between components is lost. Rows may repeat: ``component_id`` is the smallest id that is not null
-    in the component. A row without an id has that of its component too (null if there is none), and is
-    kept only if there is none. An empty table gives no rows.
-    """
+def _resolved(docs: DataFrame) -> DataFrame:
+    """``doc_id, text_key, n_shingles, digest, root, component_id`` of each row; root is null for empty sets."""
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
-    ).withColumn("text_crc", F.crc32("text"))
+    ).withColumn("text_key", F.xxhash64("text"))
     sketches = stage(
         docs.mapInArrow(
-            _sketch, "doc_id long, text_crc long, n_shingles long, digest binary, bands array<long>"
+            _sketch, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
         ).withColumn("row", F.monotonically_increasing_id())
     )
     classes = stage(
@@ -157,7 +148,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(
             F.min("row").alias("node"),
-            F.min_by(F.struct("doc_id", "text_crc", "n_shingles"), "row").alias("first"),
+            F.min_by(F.struct("doc_id", "text_key", "n_shingles"), "row").alias("first"),
             F.min("doc_id").alias("least_id"),
         )
         .select("node", "digest", "first.*", "least_id")
@@ -208,14 +199,50 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         )
     )
     smallest = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    known_id = placed.join(own_shuffle(smallest), "root").select("digest", "component_id")
+    known_id = placed.join(own_shuffle(smallest), "root").select("digest", "root", "component_id")
     return (
-        sketches.select("doc_id", "n_shingles", "digest")
+        sketches.select("doc_id", "text_key", "n_shingles", "digest")
         .join(own_shuffle(known_id), "digest", "left")
-        .select(
-            "doc_id",
-            "n_shingles",
-            F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
+        .withColumn(
+            "component_id", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
         )
+    )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` for each row of ``docs(doc_id, text)``; other columns are ignored.
+
+    Null and empty texts, and texts without words, have an empty set and are linked with nothing.
+    Equal sets are one class before anything is compared, so a group of copies costs one row. A class
+    is first compared with the leader (the smallest class) of most of its bands; then every pair that
+    shares a band, could still be similar by the sizes of its sets and isn't connected yet is compared, so
+    no link between components is lost. Rows may repeat: ``component_id`` is the smallest id that is not null
+    in the component. A row without an id has that of its component too (null if there is none), and is
+    kept only if there is none. An empty table gives no rows.
+    """
+    return (
+        _resolved(docs)
+        .select("doc_id", "n_shingles", "component_id")
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )
+
+
+def survivors(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay when one row of each group does: that of the smallest id.
+
+    Rows without words are groups of their own; of rows with equal id and text, one stays. Rows without an id give
+    way to those with one.
+    """
+    found = _resolved(docs)
+    chosen = (
+        found.where("digest is not null")
+        .groupBy("root")
+        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("first"))
+        .select("first.doc_id", "first.text_key")
+        .unionByName(found.where("digest is null").select("doc_id", "text_key"))
+        .distinct()
+        .select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__chosen"))
+    )
+    keyed = docs.withColumn("__key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    on = keyed["doc_id"].cast("long").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__chosen"))
+    return keyed.join(own_shuffle(chosen), on, "left_semi").dropDuplicates(["doc_id", "__key"]).drop("__key")

@@ -261,3 +261,13 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
         .mapInArrow(partial(_score_rows, model=model), "doc_id long, held_out boolean, score double")
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     )
+
+
+def _chosen_rows(rows: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches(rows, 2 << 20):
+        yield batch.filter(pa.array(scores(model, batch["text"].to_pylist()) >= threshold))
+
+
+def good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
+    """The rows of ``docs`` with a score of ``threshold`` at least, as they are."""
+    return docs.mapInArrow(partial(_chosen_rows, model=model, threshold=threshold), docs.schema)

@@ -11,6 +11,7 @@ that agree for ``LENGTH`` bytes stand next to each other there.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -252,7 +253,7 @@ def _window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _strip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strip(rows: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
     """Texts with their contexts' repeated windows to the bytes that are left."""
     for batch in batches(rows, PIECE):
         size, gone, spans, kept = [], [], [], []
@@ -268,27 +269,33 @@ def _strip(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             gone.append(int(covered.sum()))
             spans.append(_runs(covered))
             kept.append(raw[~covered].tobytes())
+        if as_text:  # a character that lost some of its bytes goes altogether
+            rest = pa.array([x.decode("utf-8", "ignore") for x in kept], pa.string())
+        else:
+            rest = pa.array(kept, pa.binary())
         yield pa.record_batch(
             [
                 batch["doc_id"],
                 pa.array(size, pa.int64()),
                 pa.array(gone, pa.int64()),
                 pa.array(spans, _RUNS),
-                pa.array(kept, pa.binary()),
+                rest,
                 *[batch[name] for name in batch.schema.names if name.startswith("_with_")],
             ],
-            names=["doc_id", "n_bytes", "n_removed", "spans", "kept_bytes"]
+            names=["doc_id", "n_bytes", "n_removed", "spans", "kept_text" if as_text else "kept_bytes"]
             + [name for name in batch.schema.names if name.startswith("_with_")],
         )
 
 
-def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept_bytes`` for each row of ``docs(doc_id, text)``.
 
     Removed is each byte covered by a string of ``LENGTH`` bytes that starts anywhere else too, in this or
     another row; strings are judged on the input. ``spans`` are the maximal removed runs (start, length).
     A null text is empty; texts shorter than ``LENGTH`` bytes lose nothing; rows that repeat, also with the
     same or no id, repeat each other's text. ``carry`` names further columns to hand through as ``_with_<name>``.
+    With ``as_text``, ``kept_text`` stands in the place of ``kept_bytes``, without characters that lost bytes. An empty
+    table gives no rows.
     """
     docs = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -362,6 +369,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     ).drop("id", "hash", "text_hash")
     given = "".join(f", `_with_{c}` {docs.schema[f'_with_{c}'].dataType.simpleString()}" for c in carry)
     return both.mapInArrow(
-        _strip,
-        "doc_id long, n_bytes long, n_removed long, spans array<struct<s int, n int>>, kept_bytes binary" + given,
+        partial(_strip, as_text=as_text),
+        "doc_id long, n_bytes long, n_removed long, spans array<struct<s int, n int>>, "
+        + ("kept_text string" if as_text else "kept_bytes binary")
+        + given,
     )

@@ -173,3 +173,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
         .mapInArrow(partial(_score_rows, model=model), "doc_id long, held_out boolean, score double")
         .withColumn("predicted", (F.col("score") >= threshold).cast("int"))
     )
+
+
+def _clean_rows(rows: Iterator[pa.RecordBatch], model: Model, threshold: float) -> Iterator[pa.RecordBatch]:
+    distances = Distances(model)
+    for batch in batches(rows):
+        yield batch.filter(pa.array(scores(model, batch["text"].to_pylist(), distances) < threshold))
+
+
+def clean(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` with a score below ``threshold``, as they are."""
+    return docs.mapInArrow(partial(_clean_rows, model=model, threshold=threshold), docs.schema)
