@@ -22,11 +22,13 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates."""
+    prepare(spark)
     return circulant_minhash.survivors(docs)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the bytes of passages that stand elsewhere too; ``n_chars`` is counted anew."""
+    prepare(spark)
     left = suffix_dedup.remove_repeats(docs, carry=("lang", "source"), as_text=True)
     return left.select(
         "doc_id",
