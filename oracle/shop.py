@@ -291,8 +291,8 @@ _TREE = """
 SHARED["tree_now"] = _TREE.format(src="category")
 SHARED["moved_category"] = "SELECT CATEGORY_ID, CASE WHEN CATEGORY_ID = 3 THEN 101 ELSE PARENT_ID END AS PARENT_ID FROM category"
 SHARED["tree_moved"] = _TREE.format(src="moved_category")
-SQL["C14"] = "SELECT * FROM tree_now"
-SQL["C14_move"] = "SELECT * FROM tree_moved"
+SQL["C14"] = "SELECT *, CAST(NULL AS VARCHAR) AS ERROR FROM tree_now"
+SQL["C14_move"] = "SELECT *, CAST(NULL AS VARCHAR) AS ERROR FROM tree_moved"
 SQL["C15"] = "SELECT c.CATEGORY_ID, a.CATEGORY_ID AS ANCESTOR_ID FROM category c JOIN category a ON contains(c.LINEAGE, '/' || a.CATEGORY_ID || '/')"
 SQL["C15_subtree"] = """
     SELECT a.CATEGORY_ID AS ROOT_ID, c.CATEGORY_ID, c.LINEAGE, c.SORT_ORDER FROM category a JOIN category c ON c.LINEAGE LIKE a.LINEAGE || '%'

@@ -52,7 +52,11 @@ def test_several_versions_of_a_key_in_one_batch(spark):
 
 def test_slice_includes_the_stored_cursor(spark):
     df = frame(spark, (1, DAY[1], "a"), (2, DAY[2], "b"), (3, DAY[3], "c"), (4, None, "d"))
-    assert [r[0] for r in content(mirror.incremental_slice(df, "at", DAY[2]))] == [2, 3]
+    dated = df.where("at IS NOT NULL")
+    assert [r[0] for r in content(mirror.incremental_slice(dated, "at", DAY[2]))] == [2, 3]
+    assert sorted(r[0] for r in mirror.incremental_slice(df, "at", DAY[2], null_cursors="take").collect()) == [2, 3, 4]
+    with pytest.raises(Exception, match="has no at"):
+        mirror.incremental_slice(df, "at", DAY[2]).collect()
     assert mirror.incremental_slice(df, "at", None).count() == 4
     assert mirror.next_cursor(df, "at").first()[0] == DAY[3]
     assert [r.id for r in mirror.range_slice(df, "at", DAY[1], DAY[3]).collect()] == [2, 1]

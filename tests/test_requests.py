@@ -137,3 +137,11 @@ def test_schema_check_names_what_is_wrong(spark):
     df = spark.createDataFrame([], "event_id STRING, received_at STRING")
     with pytest.raises(SchemaMismatch, match="received_at is string, not timestamp.*uri is missing"):
         check(df, RAW_REQUESTS)
+
+
+@pytest.mark.parametrize("size", [5_000, 100_000, 10_000_000])
+def test_json_text_field_of_any_length(spark, size):
+    value = "ab\\\\" * (size // 4)
+    texts = [f'{{"username":"{value}","x":1}}', f'{{"username":"{value}', f'{{"username":"{value}\\']
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(rq.json_text_field("t", "username").alias("v"))
+    assert [r.n for r in df.select(F.length("v").alias("n")).collect()] == [len(value)] * 3

@@ -134,6 +134,15 @@ def test_lineage_of_a_deep_tree_with_broken_parts(spark):
     }
 
 
+def test_lineage_of_a_chain_of_any_depth(spark):
+    chain = [(i, i - 1 or None) for i in range(1, 5001)]
+    rows = categories.rebuild_lineage(tree(spark, *chain, (6001, 6003), (6002, 6001), (6003, 6002)))
+    got = {r.CATEGORY_ID: (r.DEPTH, r.ERROR) for r in rows.drop("LINEAGE").collect()}
+    assert all(got[i] == (i - 1, None) for i in range(1, 5001))
+    assert [got[i] for i in (6001, 6002, 6003)] == [(None, "cycle")] * 3
+    assert rows.where("CATEGORY_ID = 5000").first().LINEAGE == "/" + "/".join(map(str, range(1, 5001))) + "/"
+
+
 def test_moving_a_subtree(spark):
     moved = categories.move_category(tree(spark, (1, None), (2, 1), (3, 2), (9, None)), 2, 9)
     assert {r.CATEGORY_ID: r.LINEAGE for r in moved.collect()} == {1: "/1/", 9: "/9/", 2: "/9/2/", 3: "/9/2/3/"}

@@ -53,9 +53,10 @@ def json_text_field(text, field: str) -> Column:
     """The first string that follows ``"field":`` anywhere in the text, or ''.
 
     Deliberately a pattern and not a JSON parser: the text may be cut off or
-    nested, and the first occurrence counts.
+    nested, and the first occurrence counts. Possessive repeats keep the matcher from
+    recursing once per character, so values may have any length.
     """
-    pattern = f'(?s)"{field}"[^:]*:[^"]*"((?:\\\\.|[^"\\\\])*)'
+    pattern = f'(?s)"{field}"[^:]*:[^"]*"([^"\\\\]*+(?:\\\\.[^"\\\\]*+)*+)'
     return F.regexp_extract(as_column(text), pattern, 1)
 
 

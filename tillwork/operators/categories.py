@@ -2,25 +2,23 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillwork.functions.values import moment
 from tillwork.session import use_checkpoints
 
-MAX_DEPTH = 1000
-
 
-def rebuild_lineage(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def rebuild_lineage(categories: DataFrame) -> DataFrame:
     """Depth and path of every category from the parent ids alone.
 
     Every category knows a stretch of its path and the next category above it; in
-    each round it takes over the stretch that one knows. Stretches double, so a
-    tree of depth 1000 needs ten rounds. Each round is one join, cut off by a
-    checkpoint on shared storage. A category whose chain of parents ends at one
-    that does not exist, or never ends, comes back with an ``ERROR`` and no path.
+    each round it takes over the stretch that one knows. Stretches double, so the
+    rounds grow with the logarithm of the depth, and they go on until no category
+    has one above. Each round is one join, cut off by a checkpoint on shared storage.
+    A category that comes back in its own stretch is part of a cycle and climbs no
+    further. It and all below it, and those whose chain of parents ends at one that
+    does not exist, come back with an ``ERROR`` and no path.
     """
     use_checkpoints(categories.sparkSession)
     state = categories.select(
@@ -31,7 +29,7 @@ def rebuild_lineage(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFr
         F.concat(F.lit("/"), F.col("CATEGORY_ID").cast("string"), F.lit("/")).alias("LINEAGE"),
         F.lit(None).cast("string").alias("ERROR"),
     )
-    for _ in range(max(1, math.ceil(math.log2(max_depth + 1)))):
+    while True:
         upper = state.select(
             F.col("CATEGORY_ID").alias("above"),
             F.col("above").alias("next"),
@@ -42,28 +40,32 @@ def rebuild_lineage(categories: DataFrame, max_depth: int = MAX_DEPTH) -> DataFr
         )
         climbs = F.col("above").isNotNull()
         missing = climbs & F.col("exists").isNull()
+        own = F.concat(F.lit("/"), F.col("CATEGORY_ID").cast("string"), F.lit("/"))
+        returns = climbs & F.coalesce(F.contains("front", own), F.lit(False))
         state = (
             state.join(upper, "above", "left")
             .select(
                 "CATEGORY_ID",
                 "PARENT_ID",
-                F.when(climbs, F.col("next")).alias("above"),
+                F.when(climbs & ~returns, F.col("next")).alias("above"),
                 F.when(climbs, F.col("DEPTH") + F.col("more") + 1).otherwise(F.col("DEPTH")).alias("DEPTH"),
                 F.when(climbs, F.concat("front", F.substr("LINEAGE", F.lit(2)))).otherwise(F.col("LINEAGE")).alias("LINEAGE"),
-                F.when(missing, "missing parent").otherwise(F.coalesce("ERROR", "inherited")).alias("ERROR"),
+                F.when(missing, "missing parent")
+                .when(returns, "cycle")
+                .otherwise(F.coalesce("ERROR", "inherited"))
+                .alias("ERROR"),
             )
             .checkpoint()
         )
         if state.where("above IS NOT NULL").isEmpty():
             break
-    error = F.when(F.col("above").isNotNull(), "cycle").otherwise(F.col("ERROR"))
-    found = error.isNull()
+    found = F.col("ERROR").isNull()
     return state.select(
         "CATEGORY_ID",
         "PARENT_ID",
         F.when(found, F.col("DEPTH")).alias("DEPTH"),
         F.when(found, F.col("LINEAGE")).alias("LINEAGE"),
-        error.alias("ERROR"),
+        "ERROR",
     )
 
 

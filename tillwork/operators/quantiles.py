@@ -33,33 +33,6 @@ def approximate_summary(df: DataFrame, keys: Sequence[str], value: str, wanted:
     )
 
 
-def bounded_summary(
-    df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int], approximate: bool = False
-) -> DataFrame:
-    """Count, total, least, most and exact percentiles of values from a bounded domain.
-
-    The last step holds one entry per distinct value of a key, so this is for whole
-    seconds and request counts: their number is limited by the time the events span
-    and by the busiest session, not by how many sessions there are. For amounts use
-    :func:`exact_summary`.
-    """
-    if approximate:
-        return approximate_summary(df, keys, value, wanted)
-    n = F.col("n")
-    percentiles = [F.percentile(value, percent / 100, n).alias(name) for name, percent in wanted.items()]
-    return (
-        value_counts(df.where(F.col(value).isNotNull()), keys, value)
-        .groupBy(*keys)
-        .agg(
-            F.coalesce(F.sum(n), F.lit(0)).alias("count"),
-            F.sum(F.col(value) * n).alias("total"),
-            F.min(value).alias("least"),
-            F.max(value).alias("most"),
-            *percentiles,
-        )
-    )
-
-
 def exact_summary(
     df: DataFrame, keys: Sequence[str], value: str, wanted: Mapping[str, int], approximate: bool = False
 ) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tillwork.functions import endpoints as E
 from tillwork.functions.values import mean_of, percent, ratio, round_half_up, whole_seconds
-from tillwork.operators.quantiles import bounded_summary, exact_summary
+from tillwork.operators.quantiles import exact_summary
 from tillwork.operators.relations import Relations, line_values, sales
 from tillwork.operators.skew import own_shuffle
 
@@ -110,7 +110,7 @@ def _status():
 
 def _by_conversion(r: Relations, value: str, approximate: bool) -> DataFrame:
     sessions = r.sessions.withColumn("session_status", _status())
-    return bounded_summary(sessions, ["session_status"], value, {"p50": 50, "p95": 95}, approximate)
+    return exact_summary(sessions, ["session_status"], value, {"p50": 50, "p95": 95}, approximate)
 
 
 @metric("M14", "session_duration_by_conversion_status")
@@ -188,7 +188,7 @@ def time_from_cart_to_purchase(r: Relations, approximate: bool = False) -> DataF
     waits = r.sessions.where(_bought_after_cart()).select(
         whole_seconds("first_cart_ts", "first_checkout_ts").alias("seconds")
     )
-    return bounded_summary(waits, [], "seconds", {"p50": 50, "p95": 95}, approximate).select(
+    return exact_summary(waits, [], "seconds", {"p50": 50, "p95": 95}, approximate).select(
         F.col("count").alias("converted_sessions"),
         round_half_up(ratio("total", "count") / 60).alias("avg_minutes_from_cart_to_checkout"),
         round_half_up("p50", 4).alias("median_seconds_from_cart_to_checkout"),

@@ -63,7 +63,8 @@ def probe_event_tables(candidates: Mapping[str, DataFrame | Callable[[], DataFra
             table = table() if callable(table) else table
             probe = table.agg(F.count(F.lit(1)).alias("row_count"), F.max("event_timestamp").alias("latest"))
             probe = probe.select(F.lit(name).alias("candidate"), F.lit(position).alias("position"), "row_count", "latest")
-            probe.schema  # an unreadable table fails here and is skipped
+            # One row, read here: a table that can't be read fails now and is skipped.
+            probe = probe.sparkSession.createDataFrame(probe.collect(), probe.schema)
         except Exception:
             continue
         probes = probe if probes is None else probes.unionByName(probe)

@@ -97,13 +97,24 @@ def read_table(spark: SparkSession, source: Source, table: str, columns: Sequenc
 # --------------------------------------------------------------------- slicing
 
 
-def incremental_slice(df: DataFrame, cursor: str, last_value=None) -> DataFrame:
+def incremental_slice(df: DataFrame, cursor: str, last_value=None, null_cursors: str = "fail") -> DataFrame:
     """Rows at or past the stored cursor; everything on the first run.
 
     Rows equal to the cursor come again: the merge makes that harmless, and no
-    row written in the same instant is missed.
+    row written in the same instant is missed. A row without a cursor can't be told
+    from an old one: ``null_cursors`` says whether it makes the run ``"fail"`` or comes
+    along every time (``"take"``). It is never left out.
     """
-    return df if last_value is None else df.where(F.col(cursor) >= F.lit(last_value))
+    if null_cursors not in ("fail", "take"):
+        raise ValueError(f"null_cursors is 'fail' or 'take', not {null_cursors!r}")
+    if last_value is None:
+        return df
+    if null_cursors == "take":
+        unknown = F.lit(True)
+    else:
+        unknown = F.raise_error(F.lit(f"a row has no {cursor}; pass null_cursors='take' to take such rows each time"))
+        unknown = unknown.cast("boolean")
+    return df.where(F.when(F.col(cursor).isNull(), unknown).otherwise(F.col(cursor) >= F.lit(last_value)))
 
 
 def next_cursor(df: DataFrame, cursor: str) -> DataFrame:
@@ -248,12 +259,12 @@ class MirroredTable:
         reached = next_cursor(batch, cursor).select(F.col("cursor_value").cast("string")).first()[0]
         self._publish(merged, reached if reached is not None else self.cursor())
 
-    def refresh(self, source_rows: DataFrame, key: str, cursor: str) -> None:
+    def refresh(self, source_rows: DataFrame, key: str, cursor: str, null_cursors: str = "fail") -> None:
         """One incremental run: slice at the stored cursor, merge, publish."""
         last = self.cursor()
         if last is not None:
             last = F.lit(last).cast(source_rows.schema[cursor].dataType)
-        self.merge(incremental_slice(source_rows, cursor, last), key, cursor)
+        self.merge(incremental_slice(source_rows, cursor, last, null_cursors), key, cursor)
 
 
 class FanOutFailed(RuntimeError):
