@@ -13,7 +13,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -25,6 +25,8 @@ WORDS, SIMILAR = 5, 75
 #: At similarity 0.75 a pair shares none of 48 bands of 5 rows in 2 of a million cases.
 BANDS, ROWS = 48, 5
 BLOCK = 1 << 15
+#: Leaders that a class is compared with at first. It decides what is tried early, not what is tried.
+LEADERS = 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -156,17 +158,20 @@ def _resolved(docs: DataFrame) -> DataFrame:
     in_bands = sketches.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(
         F.col("row").alias("node"), "n_shingles", F.explode("bands").alias("key")
     )
-    shared = in_bands.groupBy("key").agg(F.min("node").alias("leader"), F.max("node").alias("other"))
-    members = stage(
-        in_bands.join(own_shuffle(shared.where("leader <> other").select("key", "leader")), "key")
+    # Each band has a leader of its own, so in a large group the leaders of a class differ.
+    shared = in_bands.groupBy("key").agg(
+        F.min_by("node", F.xxhash64("node", "key")).alias("leader"), F.count(F.lit(1)).alias("members")
     )
+    members = stage(in_bands.join(own_shuffle(shared.where("members > 1").select("key", "leader")), "key"))
+    votes = Window.partitionBy("node").orderBy(F.desc("count"), "leader")
     led = (
         members.where("node <> leader")
         .groupBy("node", "leader")
         .count()
-        .groupBy("node")
-        .agg(F.max(F.struct("count", (-F.col("leader")).alias("least"))).alias("best"))
-        .select(F.col("node").alias("a"), (-F.col("best.least")).alias("b"))
+        .withColumn("choice", F.row_number().over(votes))
+        .where(F.col("choice") <= LEADERS)
+        .select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b"))
+        .distinct()
     )
     first = stage(_confirm(docs, classes, stage(led)))
     roots = stage(components(first))
@@ -214,8 +219,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.
     Equal sets are one class before anything is compared, so a group of copies costs one row. A class
-    is first compared with the leader (the smallest class) of most of its bands; then every pair that
-    shares a band, could still be similar by the sizes of its sets and isn't connected yet is compared, so
+    is first compared with some of its bands' leaders; then every pair that shares a band, could still
+    be similar by the sizes of its sets and isn't connected yet is compared, so
     no link between components is lost. Rows may repeat: ``component_id`` is the smallest id that is not null
     in the component. A row without an id has that of its component too (null if there is none), and is
     kept only if there is none. An empty table gives no rows.
