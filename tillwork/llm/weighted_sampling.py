@@ -29,8 +29,20 @@ _SPREAD = mix64(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD1342543DE82EF9
 
 
 def _uniform(seed: np.ndarray, which: int) -> np.ndarray:
-    x = mix64((seed[:, None] ^ _SPREAD) + U64(which * 0x9E3779B97F4A7C15 % 2**64))
-    return ((x >> U64(40)).astype(np.float32) + np.float32(0.5)) * np.float32(2**-24)
+    """Numbers between 0 and 1 for each term and coordinate, from both halves of the term's hash."""
+    spread = (mix64(_SPREAD + U64(which)) >> U64(32)).astype(np.uint32)
+    x = seed.astype(np.uint32)[:, None] ^ spread
+    x *= np.uint32(0x7FEB352D)
+    x ^= x >> np.uint32(15)
+    x += (seed >> U64(32)).astype(np.uint32)[:, None]
+    x *= np.uint32(0x846CA68B)
+    x ^= x >> np.uint32(16)
+    x *= np.uint32(0x7FEB352D)
+    x >>= np.uint32(8)
+    out = x.astype(np.float32)
+    out += np.float32(0.5)
+    out *= np.float32(2**-24)
+    return out
 
 
 def variables(seed: np.ndarray) -> np.ndarray:
