@@ -104,6 +104,24 @@ def test_repeated_passages(docs, none, crowd, monkeypatch):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+@pytest.mark.parametrize("crowd", [1000, 1])
+def test_a_passage_in_many_places(spark, crowd, monkeypatch):
+    """Parts of one passage, of any length, between texts that differ: every window is judged alone."""
+    monkeypatch.setattr(suffix_dedup, "CROWD", crowd)
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdé "))
+
+    def noise(n):
+        return "".join(rng.choice(letters, n))
+
+    passage, texts = noise(700), []
+    for i in range(40):
+        a, b = sorted(rng.integers(0, 700, 2).tolist())
+        texts.append(noise(int(rng.integers(0, 60))) + passage[a:b] + noise(int(rng.integers(0, 60))) + passage[: i * 9])
+    got = suffix_dedup.remove_repeats(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert [bytes(r.kept_bytes) for r in sorted(got, key=lambda r: r.doc_id)] == plain_removal(texts)
+
+
 def test_near_duplicates(docs, none):
     got = sorted((str(r.doc_id), r.n_shingles, r.component_id, r.kept) for r in circulant_minhash.near_duplicates(docs).collect())
     least = {4: 4, 5: 4, 6: 6, 7: 6, None: 6, 1: 1, 2: 2, 3: 3}

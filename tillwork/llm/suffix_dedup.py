@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
 from tillwork.llm.common import U64, batches, mix64, signed, stage
 from tillwork.llm.induced_sort import sorted_suffixes
@@ -28,8 +29,10 @@ SPREAD = LENGTH - GRAM + 1
 PIECE = 1 << 20
 #: Bytes of contexts a shard is meant to hold. It sets the number of shards, not what is done.
 SHARD = 2 << 20
-#: Contexts of one anchor beyond which its windows are dealt out one by one, by their own hash.
+#: Contexts of one anchor beyond which they are cut up and dealt out by their bytes, not sorted in one shard.
 CROWD = 1000
+#: Distances of window and anchor that a part of such a context spans, from one cut to the next.
+WIDTHS = (64, 16, 4, 1)
 
 _BASE = U64(0x5851F42D4C957F2D)
 _INVERSE = U64(pow(0x5851F42D4C957F2D, -1, 1 << 64))
@@ -143,11 +146,11 @@ def _anchor_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts with the contexts wanted of them to rows with the contexts' bytes."""
     for batch in batches(rows, PIECE):
-        out: dict[str, list] = {k: [] for k in ("anchor", "digest", "n", "copies", "bytes")}
+        out: dict[str, list] = {k: [] for k in ("anchor", "digest", "n", "left", "copies", "bytes")}
         for text, wanted in zip(batch["text"].to_pylist(), batch["wanted"].to_pylist(), strict=True):
             raw = text.encode("utf-8")
             for w in wanted:
-                for k in ("anchor", "digest", "n", "copies"):
+                for k in ("anchor", "digest", "n", "left", "copies"):
                     out[k].append(w[k])
                 out["bytes"].append(raw[w["first"] : w["first"] + w["n"] + LENGTH - 1])
         yield pa.record_batch(
@@ -155,6 +158,7 @@ def _cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 pa.array(out["anchor"], pa.int64()),
                 pa.array(out["digest"], pa.int64()),
                 pa.array(out["n"], pa.int32()),
+                pa.array(out["left"], pa.int32()),
                 pa.array(out["copies"], pa.int64()),
                 pa.array(out["bytes"], pa.binary()),
             ],
@@ -230,27 +234,80 @@ def _sort_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _window_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Contexts of crowded anchors to a row for each window: its own hash beside that of its anchor."""
-    for batch in batches(rows, 1 << 18):
-        parts = batch["bytes"].to_pylist()
-        n = batch["n"].to_numpy()
-        starts = np.append(0, np.cumsum([len(p) for p in parts])[:-1])
-        row = np.repeat(np.arange(len(parts)), n)
-        s = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        at = starts[row] + s
-        window = _Hashes(np.frombuffer(b"".join(parts), np.uint8)).part(at, at + LENGTH)
-        take = pa.array(row)
+_PARTS_SQL = (
+    "from_core long, from_whole long, shift int, core long, whole long, lo int, hi int, copies long, bytes binary"
+)
+
+
+def _split(rows: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Parts of contexts to smaller ones, cut where the distance of window and anchor is a multiple of ``width``.
+
+    A part holds the windows whose anchor is ``lo`` to ``hi`` bytes from their start, and their bytes. Its core is what
+    all windows at such distances have in common, so equal windows lie in parts with equal cores.
+    """
+    for batch in batches(rows, 1 << 20):
+        out: dict[str, list] = {k: [] for k in ("row", "shift", "core", "whole", "lo", "hi", "bytes")}
+        columns = [batch[k].to_pylist() for k in ("core", "lo", "hi", "bytes")]
+        for row, (core, low, high, raw) in enumerate(zip(*columns, strict=True)):
+            for block in range(low // width, high // width + 1):
+                lo, hi = max(low, block * width), min(high, block * width + width - 1)
+                part = raw[high - hi : high - lo + LENGTH]
+                middle = part[hi - block * width :][: LENGTH - width + 1]
+                out["row"].append(row)
+                out["shift"].append(high - hi)
+                out["core"].append(xxh3_64_intdigest(middle + block.to_bytes(2, "little"), core % (1 << 64)))
+                out["whole"].append(xxh3_64_intdigest(part + lo.to_bytes(2, "little") + hi.to_bytes(2, "little")))
+                out["lo"].append(lo)
+                out["hi"].append(hi)
+                out["bytes"].append(part)
+        take = pa.array(out["row"], pa.int64())
         yield pa.record_batch(
             [
-                batch["anchor"].take(take),
-                batch["digest"].take(take),
-                pa.array(s.astype(np.int32)),
+                batch["core"].take(take),
+                batch["whole"].take(take),
+                pa.array(out["shift"], pa.int32()),
+                pa.array(signed(np.array(out["core"], U64))),
+                pa.array(signed(np.array(out["whole"], U64))),
+                pa.array(out["lo"], pa.int32()),
+                pa.array(out["hi"], pa.int32()),
                 batch["copies"].take(take),
-                pa.array(signed(window)),
+                pa.array(out["bytes"], pa.binary()),
             ],
-            names=["anchor", "digest", "s", "copies", "window"],
+            names=["from_core", "from_whole", "shift", "core", "whole", "lo", "hi", "copies", "bytes"],
+        )
+
+
+def _crowded_repeats(parts: DataFrame) -> DataFrame:
+    """``core, whole, runs`` of those ``parts(core, whole, lo, hi, copies, bytes)`` that hold repeated windows.
+
+    Parts are cut into four, again and again. Equal ones become one with the sum of their copies; one that has
+    its core to itself is settled by that sum, and only the others are cut further. So a part costs
+    a few rows where it begins to differ from the others, instead of one row for each of its windows.
+    """
+    links, settled = [], []
+    for width in WIDTHS:
+        if parts.isEmpty():
+            break
+        cut = stage(parts.select("core", "whole", "lo", "hi", "copies", "bytes").mapInArrow(partial(_split, width=width), _PARTS_SQL))
+        links.append(cut.select("from_core", "from_whole", "shift", "core", "whole"))
+        equal = stage(
+            cut.groupBy("core", "whole", "lo", "hi").agg(F.sum("copies").alias("copies"), F.any_value("bytes").alias("bytes"))
         )
+        cores = equal.groupBy("core").agg((F.min("whole") != F.max("whole")).alias("mixed"))
+        known = stage(equal.join(own_shuffle(cores), "core"))
+        once = F.array(F.struct(F.lit(0).alias("s"), (F.col("hi") - F.col("lo") + 1).alias("n")))
+        settled.append(known.where("not mixed and copies > 1").select("core", "whole", once.alias("runs")))
+        parts = known.where("mixed")
+    found = parts.sparkSession.createDataFrame([], "core long, whole long, runs array<struct<s int, n int>>")
+    for link, here in zip(reversed(links), reversed(settled), strict=True):
+        moved = F.transform("runs", lambda r: F.struct((r["s"] + F.col("shift")).alias("s"), r["n"].alias("n")))
+        found = (
+            link.join(own_shuffle(here.unionByName(found)), ["core", "whole"])
+            .select(F.col("from_core").alias("core"), F.col("from_whole").alias("whole"), moved.alias("runs"))
+            .groupBy("core", "whole")
+            .agg(F.flatten(F.collect_list("runs")).alias("runs"))
+        )
+    return found
 
 
 def _strip(rows: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordBatch]:
@@ -311,14 +368,14 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     differing = (
         repeated.where("differ")
         .groupBy("anchor", "digest", "n")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*key, "first")).alias("at"))
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*key, "first", "left")).alias("at"))
     )
     differing = stage(differing)
     crowds = differing.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > CROWD)
     wanted = (
         differing.join(own_shuffle(crowds.select("anchor", F.lit(True).alias("crowded"))), "anchor", "left")
         .groupBy(F.col("at.doc_id").alias("doc_id"), F.col("at.text_hash").alias("text_hash"))
-        .agg(F.collect_list(F.struct("anchor", "digest", "n", "copies", F.col("at.first").alias("first"))).alias("wanted"))
+        .agg(F.collect_list(F.struct("anchor", "digest", "n", "copies", "at.first", "at.left")).alias("wanted"))
     )
     holders = docs.select(*key, "text").join(
         wanted.withColumnRenamed("doc_id", "id"),
@@ -327,7 +384,7 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     # Equal rows hold the same contexts; each context is cut from one of them only.
     cut = stage(
         holders.select("text", "wanted")
-        .mapInArrow(_cut, "anchor long, digest long, n int, copies long, bytes binary")
+        .mapInArrow(_cut, "anchor long, digest long, n int, left int, copies long, bytes binary")
         .dropDuplicates(["anchor", "digest"])
         .join(own_shuffle(crowds.select("anchor", F.lit(True).alias("crowded"))), "anchor", "left")
     )
@@ -339,17 +396,15 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
         .repartition(shards, "anchor")
         .mapInArrow(_sort_shard, _FOUND_SQL)
     )
-    windows = stage(
-        cut.where("crowded")
-        .drop("crowded")
-        .mapInArrow(_window_rows, "anchor long, digest long, s int, copies long, window long")
-    )
-    twice = windows.groupBy("anchor", "window").agg(F.sum("copies").alias("times")).where("times > 1")
-    counted = (
-        windows.join(own_shuffle(twice.select("anchor", "window")), ["anchor", "window"])
-        .groupBy("anchor", "digest")
-        .agg(F.collect_list(F.struct("s", F.lit(1).alias("n"))).alias("runs"))
+    crowded = cut.where("crowded").select(
+        F.col("anchor").alias("core"),
+        F.col("digest").alias("whole"),
+        (F.col("left") - F.col("n") + 1).alias("lo"),
+        F.col("left").alias("hi"),
+        "copies",
+        "bytes",
     )
+    counted = _crowded_repeats(crowded).toDF("anchor", "digest", "runs")
     found = stage(sorted_.unionByName(counted))
     hits = (
         repeated.where("differ")
