@@ -63,7 +63,10 @@ SHARED = {
         JOIN category a ON c.LINEAGE LIKE a.LINEAGE || '%'""",
     "oline": """
         SELECT l.CART_ID AS ORDER_ID, l.PRODUCT_ID, l.QUANTITY, e.FINAL_PRICE AS ITEM_PRICE, p.TAX_CLASS_ID, p.AVAILABLE
-        FROM cart_line l JOIN eff e ON e.PRODUCT_ID = l.PRODUCT_ID JOIN product p ON p.PRODUCT_ID = l.PRODUCT_ID""",
+        FROM cart_line l LEFT JOIN eff e ON e.PRODUCT_ID = l.PRODUCT_ID LEFT JOIN product p ON p.PRODUCT_ID = l.PRODUCT_ID""",
+    "oline_cart": "SELECT * FROM oline WHERE AVAILABLE",
+    "order_head": "SELECT * FROM shop_order",
+    "order_head_cart": "SELECT * REPLACE (CAST(NULL AS DECIMAL(18,2)) AS SHIPPING) FROM shop_order",
     "pricedline": """
         SELECT l.CART_ID, l.SKU, p.PRODUCT_ID, l.QUANTITY, p.PRODUCT_ID IS NULL AS OBSOLETE, coalesce(a.n, 0) AS KEPT_ATTRIBUTES,
                e.FINAL_PRICE + coalesce(a.extra, 0) AS ITEM_PRICE, e.PRODUCT_PRICE_AMOUNT + coalesce(a.extra, 0) AS ORIGINAL_PRICE,
@@ -81,6 +84,7 @@ SHARED = {
                CAST(e.FINAL_PRICE * CAST(0.1 AS DECIMAL(5,4)) * l.QUANTITY AS DECIMAL(28,6)) AS VALUE
         FROM cart_line l JOIN shopping_cart c ON c.SHP_CART_ID = l.CART_ID JOIN effattr e ON e.PRODUCT_ID = l.PRODUCT_ID
         WHERE c.PROMO_CODE = 'Test1234' AND CAST(c.DATE_MODIFIED AS DATE) <= CAST({NOW} AS DATE) AND {NOW} < TIMESTAMP '2025-10-31'""",
+    "cutline_cart": "SELECT * FROM cutline WHERE PRODUCT_ID IN (SELECT PRODUCT_ID FROM product WHERE AVAILABLE)",
     "mline": """
         SELECT l.CART_ID AS ORDER_ID, l.PRODUCT_ID, l.QUANTITY,
                CAST(coalesce(p.WEIGHT, 1) + coalesce(a.extra, 0) AS DECIMAL(18,2)) AS WEIGHT, CAST(coalesce(p.HEIGHT, 4) AS DECIMAL(18,2)) AS HEIGHT,
@@ -109,9 +113,9 @@ SHARED = {
         UNION ALL SELECT ORDER_ID, 'storePickUp', 2, PICKUP_PRICE FROM rquote""",
     "taxbase": """
         SELECT ORDER_ID, cls, CAST(sum(amount) AS DECIMAL(28,2)) AS amount FROM (
-          SELECT ORDER_ID, coalesce(TAX_CLASS_ID, 1) AS cls, ITEM_PRICE * QUANTITY AS amount FROM oline
+          SELECT ORDER_ID, coalesce(TAX_CLASS_ID, 1) AS cls, coalesce(ITEM_PRICE * QUANTITY, 0) AS amount FROM oline
           UNION ALL
-          SELECT ORDER_ID, 1, CASE WHEN SHIPPING > 0 THEN SHIPPING + CASE WHEN HANDLING > 0 THEN HANDLING ELSE 0 END ELSE 0 END FROM shop_order)
+          SELECT ORDER_ID, 1, CASE WHEN SHIPPING > 0 THEN SHIPPING + CASE WHEN HANDLING > 0 THEN HANDLING ELSE 0 END ELSE 0 END FROM order_head)
         GROUP BY ORDER_ID, cls""",
     "taxplan": """
         SELECT b.ORDER_ID, b.cls, b.amount, t.RATE, t.TAX_CODE, t.PIGGYBACK,
@@ -152,6 +156,13 @@ SHARED = {
     "asked_sku": "SELECT SKU FROM cart_line UNION SELECT SKU FROM product_variant",
 }
 
+# Taxes of carts: the same steps over their lines, without shipping.
+for _name in ("taxbase", "taxplan", "taxstep", "tax_rows"):
+    _text = SHARED[_name]
+    for _word in ("oline", "order_head", "taxbase", "taxplan", "taxstep"):
+        _text = _text.replace(f" {_word}", f" {_word}_cart")
+    SHARED[f"{_name}_cart"] = _text
+
 SQL: dict[str, str] = {}
 
 
@@ -258,27 +269,31 @@ SQL["C12_carts"] = """
     FROM cart_line l JOIN product p ON p.PRODUCT_ID = l.PRODUCT_ID GROUP BY l.CART_ID"""
 
 _TOTAL = "CAST(CAST({} AS DECIMAL(15,4)) AS DOUBLE)"
-SQL["C13"] = f"""
-    WITH items AS (SELECT ORDER_ID, sum(CAST(ITEM_PRICE * QUANTITY AS DECIMAL(28,4))) AS v FROM oline GROUP BY ORDER_ID),
-    off AS (SELECT CART_ID AS ORDER_ID, CAST(sum(VALUE) AS DECIMAL(15,4)) AS v FROM cutline GROUP BY CART_ID),
-    taxed AS (SELECT ORDER_ID, sum(VALUE) AS v FROM tax_rows GROUP BY ORDER_ID),
-    base AS (SELECT o.ORDER_ID, coalesce(i.v, 0) - coalesce(f.v, 0) AS subtotal, CASE WHEN o.FREE_SHIPPING THEN 0 ELSE o.SHIPPING END AS shipping,
-                    CASE WHEN o.HANDLING > 0 THEN o.HANDLING END AS handling, coalesce(t.v, 0) AS taxes
-             FROM shop_order o LEFT JOIN items i ON i.ORDER_ID = o.ORDER_ID LEFT JOIN off f ON f.ORDER_ID = o.ORDER_ID LEFT JOIN taxed t ON t.ORDER_ID = o.ORDER_ID)
-    SELECT ORDER_ID, 'order.total.subtotal' AS CODE, 'SUBTOTAL' AS ORDER_TOTAL_TYPE, CAST(5 AS BIGINT) AS SORT_ORDER, {_TOTAL.format('subtotal')} AS VALUE FROM base
-    UNION ALL SELECT ORDER_ID, 'order.total.shipping', 'SHIPPING', 100, {_TOTAL.format('shipping')} FROM base
-    UNION ALL SELECT ORDER_ID, 'order.total.handling', 'HANDLING', 120, {_TOTAL.format('handling')} FROM base WHERE handling IS NOT NULL
-    UNION ALL SELECT ORDER_ID, 'order.total.total', 'TOTAL', 500, {_TOTAL.format('subtotal + shipping + coalesce(handling, 0) + taxes')} FROM base
-    UNION ALL SELECT ORDER_ID, 'order.total.discount', 'SUBTOTAL', 10, {_TOTAL.format('v')} FROM off
-    UNION ALL SELECT ORDER_ID, TAX_CODE, 'TAX', 199 + row_number() OVER (PARTITION BY ORDER_ID ORDER BY TAX_CODE), {_TOTAL.format('VALUE')} FROM tax_rows
-    UNION ALL SELECT l.ORDER_ID, e.PRODUCT_PRICE_CODE, 'PRODUCT', 0, {_TOTAL.format('sum(e.FINAL_PRICE)')}
-              FROM oline l JOIN extra_price e ON e.PRODUCT_ID = l.PRODUCT_ID GROUP BY l.ORDER_ID, e.PRODUCT_PRICE_CODE"""
-SQL["C13_cart"] = f"""
-    WITH items AS (SELECT ORDER_ID, sum(ITEM_PRICE * QUANTITY) AS v FROM oline WHERE AVAILABLE GROUP BY ORDER_ID),
-    once AS (SELECT l.ORDER_ID, sum(e.FINAL_PRICE) AS v FROM oline l JOIN extra_price e ON e.PRODUCT_ID = l.PRODUCT_ID
-             WHERE l.AVAILABLE AND e.PRODUCT_PRICE_TYPE = 'ONE_TIME' GROUP BY l.ORDER_ID)
-    SELECT o.ORDER_ID, CAST(coalesce(i.v, 0) + coalesce(n.v, 0) AS DOUBLE) AS VALUE
-    FROM shop_order o LEFT JOIN items i ON i.ORDER_ID = o.ORDER_ID LEFT JOIN once n ON n.ORDER_ID = o.ORDER_ID"""
+
+
+def _totals(suffix: str = "") -> str:
+    """Totals of orders, or with ``_cart`` those of carts: each from its own lines, promotions and taxes."""
+    total = _TOTAL.format
+    return f"""
+    WITH items AS (SELECT ORDER_ID, sum(CAST(ITEM_PRICE * QUANTITY AS DECIMAL(28,4))) AS v, count(*) FILTER (ITEM_PRICE IS NULL) AS unpriced
+                   FROM oline{suffix} GROUP BY ORDER_ID),
+    off AS (SELECT CART_ID AS ORDER_ID, sum(CAST(VALUE AS DECIMAL(15,4))) AS v FROM cutline{suffix} GROUP BY CART_ID),
+    taxed AS (SELECT ORDER_ID, sum(VALUE) AS v FROM tax_rows{suffix} GROUP BY ORDER_ID),
+    base AS (SELECT o.ORDER_ID, coalesce(i.v, 0) - coalesce(f.v, 0) AS subtotal, CASE WHEN o.SHIPPING IS NOT NULL AND o.FREE_SHIPPING THEN 0 ELSE o.SHIPPING END AS shipping,
+                    CASE WHEN o.SHIPPING IS NOT NULL AND o.HANDLING > 0 THEN o.HANDLING END AS handling, coalesce(t.v, 0) AS taxes, coalesce(i.unpriced, 0) AS unpriced
+             FROM order_head{suffix} o LEFT JOIN items i ON i.ORDER_ID = o.ORDER_ID LEFT JOIN off f ON f.ORDER_ID = o.ORDER_ID LEFT JOIN taxed t ON t.ORDER_ID = o.ORDER_ID)
+    SELECT ORDER_ID, 'order.total.subtotal' AS CODE, 'SUBTOTAL' AS ORDER_TOTAL_TYPE, CAST(5 AS BIGINT) AS SORT_ORDER, {total('subtotal')} AS VALUE, CAST(NULL AS BIGINT) AS UNPRICED_LINES FROM base
+    UNION ALL SELECT ORDER_ID, 'order.total.shipping', 'SHIPPING', 100, {total('shipping')}, NULL FROM base WHERE shipping IS NOT NULL
+    UNION ALL SELECT ORDER_ID, 'order.total.handling', 'HANDLING', 120, {total('handling')}, NULL FROM base WHERE handling IS NOT NULL
+    UNION ALL SELECT ORDER_ID, 'order.total.total', 'TOTAL', 500, {total('subtotal + coalesce(shipping, 0) + coalesce(handling, 0) + taxes')}, unpriced FROM base
+    UNION ALL SELECT CART_ID, 'order.total.discount', 'SUBTOTAL', 9 + row_number() OVER (PARTITION BY CART_ID ORDER BY PRODUCT_ID, VALUE), {total('VALUE')}, NULL FROM cutline{suffix}
+    UNION ALL SELECT ORDER_ID, TAX_CODE, 'TAX', 199 + row_number() OVER (PARTITION BY ORDER_ID ORDER BY TAX_CODE), {total('VALUE')}, NULL FROM tax_rows{suffix}
+    UNION ALL SELECT l.ORDER_ID, e.PRODUCT_PRICE_CODE, 'PRODUCT', 0, {total('sum(e.FINAL_PRICE)')}, NULL
+              FROM oline{suffix} l JOIN extra_price e ON e.PRODUCT_ID = l.PRODUCT_ID GROUP BY l.ORDER_ID, e.PRODUCT_PRICE_CODE"""
+
+
+SQL["C13"] = _totals()
+SQL["C13_cart"] = _totals("_cart")
 
 # ----------------------------------------------------------------- categories
 

@@ -165,17 +165,19 @@ LINE = "ORDER_ID BIGINT, PRODUCT_ID BIGINT, QUANTITY BIGINT, ITEM_PRICE DECIMAL(
 def test_order_totals(spark):
     got = totals.order_totals(
         spark.createDataFrame([(1, D("7.00"), D("2.00"), False), (2, D("7.00"), D("2.00"), True), (3, None, None, False)], ORDER),
-        spark.createDataFrame([(1, 1, 2, D("10.00"), 1), (1, 2, 1, D("5.00"), 1), (2, 1, 1, D("10.00"), 1)], LINE),
-        spark.createDataFrame([(1, "setup", "ONE_TIME", D("3.00")), (1, "setup", "ONE_TIME", D("3.00")), (1, "care", "MONTHLY", D("1.00"))], "ORDER_ID BIGINT, CODE STRING, TYPE STRING, VALUE DECIMAL(18,2)"),
-        spark.createDataFrame([(1, "X", D("1.50")), (1, "X", D("0.50"))], "ORDER_ID BIGINT, CODE STRING, VALUE DECIMAL(18,2)"),
+        spark.createDataFrame([(1, 1, 2, D("10.00"), 1), (1, 2, 1, D("5.00"), 1), (2, 1, 1, D("10.00"), 1), (2, 3, 4, None, 1)], LINE),
+        spark.createDataFrame([(1, "setup", D("3.00")), (1, "setup", D("3.00")), (1, "care", D("1.00"))], "ORDER_ID BIGINT, CODE STRING, VALUE DECIMAL(18,2)"),
+        spark.createDataFrame([(1, 2, D("0.50")), (1, 1, D("1.50")), (9, 1, D("9.00"))], "ORDER_ID BIGINT, PRODUCT_ID BIGINT, VALUE DECIMAL(18,2)"),
         spark.createDataFrame([(1, "QST", D("2.00")), (1, "GST", D("1.00"))], "ORDER_ID BIGINT, TAX_CODE STRING, VALUE DECIMAL(18,2)"),
     )
+    unpriced = got.where("ORDER_TOTAL_TYPE = 'TOTAL'").orderBy("ORDER_ID").collect()
+    assert [r.UNPRICED_LINES for r in unpriced] == [0, 1, 0]
     rows = {}
     for r in got.orderBy("ORDER_ID", "SORT_ORDER", "CODE").collect():
         rows.setdefault(r.ORDER_ID, []).append((r.SORT_ORDER, r.CODE, float(r.VALUE)))
     assert rows == {
         1: [
-            (0, "care", 1.0), (0, "setup", 6.0), (5, "order.total.subtotal", 23.0), (10, "order.total.discount", 2.0),
+            (0, "care", 1.0), (0, "setup", 6.0), (5, "order.total.subtotal", 23.0), (10, "order.total.discount", 1.5), (11, "order.total.discount", 0.5),
             (100, "order.total.shipping", 7.0), (120, "order.total.handling", 2.0), (200, "GST", 1.0), (201, "QST", 2.0), (500, "order.total.total", 35.0),
         ],
         2: [(5, "order.total.subtotal", 10.0), (100, "order.total.shipping", 0.0), (120, "order.total.handling", 2.0), (500, "order.total.total", 12.0)],

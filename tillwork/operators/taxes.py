@@ -47,7 +47,10 @@ def tax_address(orders: DataFrame, s: TaxSettings) -> DataFrame:
 
 
 def taxable_amounts(orders: DataFrame, lines: DataFrame, s: TaxSettings) -> DataFrame:
-    """Amount per order and tax class; shipping and handling go to the default class."""
+    """Amount per order and tax class; shipping and handling go to the default class.
+
+    A line without a price counts as 0.
+    """
     default = F.lit(s.default_class).cast("bigint")
     charged = F.coalesce(F.col("SHIPPING") > 0, F.lit(False))
     handling = F.when(F.col("HANDLING") > 0, F.col("HANDLING")).otherwise(F.lit(0))
@@ -55,7 +58,7 @@ def taxable_amounts(orders: DataFrame, lines: DataFrame, s: TaxSettings) -> Data
     of_orders = orders.select("ORDER_ID", default.alias("TAX_CLASS_ID"), shipping.cast(AMOUNT).alias("amount"))
     of_lines = lines.select(
         "ORDER_ID", F.coalesce("TAX_CLASS_ID", default).alias("TAX_CLASS_ID"),
-        (F.col("ITEM_PRICE") * F.col("QUANTITY")).cast(AMOUNT).alias("amount"),
+        F.coalesce(F.col("ITEM_PRICE") * F.col("QUANTITY"), F.lit(0)).cast(AMOUNT).alias("amount"),
     )
     return of_lines.unionByName(of_orders).groupBy("ORDER_ID", "TAX_CLASS_ID").agg(F.sum("amount").cast(AMOUNT).alias("amount"))
 

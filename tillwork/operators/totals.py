@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tillwork.operators.carts import DISCOUNT_CODE
@@ -38,15 +38,16 @@ def order_totals(
     discounts: DataFrame,
     taxes: DataFrame,
     handling_charged: bool = True,
-    one_time_in_subtotal: bool = False,
 ) -> DataFrame:
     """Additional prices, discounts, subtotal, shipping, handling, taxes and total as rows.
 
-    ``extras`` has one row per line and additional price. Everything is summed up
+    ``extras`` has one row per line and additional price, ``discounts`` one per promoted
+    line, and each of these becomes a row, numbered by product. Everything else is summed up
     per order and code first, so an order then has a handful of amounts however
     many lines it has; its rows are made from those in one step. Free shipping
     costs 0; handling is charged all the same. Additional prices get their own
-    rows; one-time ones go into the subtotal on request.
+    rows and never enter the subtotal, one-time ones neither. A line without a price counts
+    as 0; ``UNPRICED_LINES`` of the total row says how many there are.
     """
 
     def part(rows: DataFrame, kind: str, code: Column, value: Column) -> DataFrame:
@@ -55,12 +56,11 @@ def order_totals(
     parts = (
         part(lines, "item", F.lit(""), F.col("ITEM_PRICE") * F.col("QUANTITY"))
         .unionByName(part(extras, "extra", F.col("CODE"), F.col("VALUE")))
-        .unionByName(part(discounts, "discount", F.lit(DISCOUNT_CODE), F.col("VALUE")))
+        .unionByName(part(discounts, "discount", F.lit(DISCOUNT_CODE), F.col("VALUE").cast(VALUE)))
         .unionByName(part(taxes, "tax", F.col("TAX_CODE"), F.col("VALUE")))
+        .unionByName(part(lines.where("ITEM_PRICE IS NULL"), "unpriced", F.lit(""), F.lit(1)))
     )
-    if one_time_in_subtotal:
-        parts = parts.unionByName(part(extras.where("TYPE = 'ONE_TIME'"), "once", F.lit(""), F.col("VALUE")))
-    per_code = parts.groupBy("ORDER_ID", "kind", "code").agg(F.sum("value").cast(VALUE).alias("value"))
+    per_code = parts.groupBy("ORDER_ID", "kind", "code").agg(F.coalesce(F.sum("value"), F.lit(0)).cast(VALUE).alias("value"))
     per_order = per_code.groupBy("ORDER_ID").agg(F.array_sort(F.collect_list(F.struct("kind", "code", "value"))).alias("parts"))
 
     wide = orders.select("ORDER_ID", "SHIPPING", "HANDLING", "FREE_SHIPPING").join(per_order, "ORDER_ID", "left")
@@ -80,7 +80,7 @@ def order_totals(
     handled = F.coalesce(has_shipping & (F.col("HANDLING") > 0) & F.lit(handling_charged), F.lit(False))
     wide = wide.withColumns(
         {
-            "subtotal": sum_of("item") - sum_of("discount") + sum_of("once"),
+            "subtotal": sum_of("item") - sum_of("discount"),
             "shipped": F.when(has_shipping, shipped).otherwise(zero),
             "handling": F.when(handled, F.col("HANDLING").cast(VALUE)).otherwise(zero),
             "handled": handled,
@@ -90,13 +90,29 @@ def order_totals(
     rows = F.concat(
         rows_of("extra", "PRODUCT", 0, step=0),
         _fixed_row(SUBTOTAL, F.col("subtotal")),
-        rows_of("discount", "SUBTOTAL", FIRST_DISCOUNT),
         _fixed_row(SHIPPING, F.col("shipped"), has_shipping),
         _fixed_row(HANDLING, F.col("handling"), F.col("handled")),
         rows_of("tax", "TAX", FIRST_TAX),
         _fixed_row(TOTAL, F.col("subtotal") + F.col("shipped") + F.col("handling") + F.col("tax")),
     )
-    return wide.select("ORDER_ID", F.explode(rows).alias("row")).select("ORDER_ID", "row.*")
+    unpriced = F.when(F.col("CODE") == TOTAL[0], F.col("unpriced")).alias("UNPRICED_LINES")
+    summed = (
+        wide.select("ORDER_ID", sum_of("unpriced").cast("bigint").alias("unpriced"), F.explode(rows).alias("row"))
+        .select("ORDER_ID", "row.*", "unpriced")
+        .select("ORDER_ID", "CODE", "ORDER_TOTAL_TYPE", "SORT_ORDER", "VALUE", unpriced)
+    )
+    return summed.unionByName(_discount_rows(orders, discounts))
+
+
+def _discount_rows(orders: DataFrame, discounts: DataFrame) -> DataFrame:
+    """A row per promoted line. They are numbered by a window, which spills, not gathered."""
+    nth = F.row_number().over(Window.partitionBy("ORDER_ID").orderBy("PRODUCT_ID", "VALUE"))
+    row = _row(F.lit(DISCOUNT_CODE), "SUBTOTAL", nth - 1 + FIRST_DISCOUNT, F.col("VALUE"))
+    return (
+        discounts.join(orders.select("ORDER_ID"), "ORDER_ID", "left_semi")
+        .select("ORDER_ID", row.alias("row"))
+        .select("ORDER_ID", "row.*", F.lit(None).cast("bigint").alias("UNPRICED_LINES"))
+    )
 
 
 def available_lines(lines: DataFrame, products: DataFrame) -> DataFrame:

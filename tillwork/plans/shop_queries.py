@@ -50,10 +50,12 @@ def _priced_with_attributes(shop: Shop) -> DataFrame:
 
 
 def _order_lines(shop: Shop) -> DataFrame:
-    """Lines of orders with today's price and the product's tax class."""
+    """Lines of orders with today's price, null if there is none, and the product's tax class."""
     price = _priced(shop).select("PRODUCT_ID", F.col("FINAL_PRICE").alias("ITEM_PRICE"))
     lines = shop["cart_line"].select(F.col("CART_ID").alias("ORDER_ID"), "PRODUCT_ID", "QUANTITY")
-    return lines.join(own_shuffle(price), "PRODUCT_ID").join(shop["product"].select("PRODUCT_ID", "TAX_CLASS_ID"), "PRODUCT_ID")
+    return lines.join(own_shuffle(price), "PRODUCT_ID", "left").join(
+        shop["product"].select("PRODUCT_ID", "TAX_CLASS_ID"), "PRODUCT_ID", "left"
+    )
 
 
 def _shipped_lines(shop: Shop) -> DataFrame:
@@ -257,13 +259,14 @@ def c12_carts(shop):
 
 def _order_extras(shop: Shop) -> DataFrame:
     extra = prices.additional_prices(shop["inventory"], shop["price_list"], shop["product_variant"], AS_OF)
-    return _order_lines(shop).join(extra, "PRODUCT_ID").select(
-        "ORDER_ID", F.col("PRODUCT_PRICE_CODE").alias("CODE"), F.col("PRODUCT_PRICE_TYPE").alias("TYPE"), F.col("FINAL_PRICE").alias("VALUE")
+    lines = shop["cart_line"].select(F.col("CART_ID").alias("ORDER_ID"), "PRODUCT_ID")
+    return lines.join(extra, "PRODUCT_ID").select(
+        "ORDER_ID", "PRODUCT_ID", F.col("PRODUCT_PRICE_CODE").alias("CODE"), F.col("FINAL_PRICE").alias("VALUE")
     )
 
 
 def _order_discounts(shop: Shop) -> DataFrame:
-    return _discounts(shop).select(F.col("CART_ID").alias("ORDER_ID"), F.col("PROMO_CODE").alias("CODE"), "VALUE")
+    return _discounts(shop).select(F.col("CART_ID").alias("ORDER_ID"), "PRODUCT_ID", "VALUE")
 
 
 @query("C13")
@@ -275,19 +278,16 @@ def c13(shop):
 
 @query("C13_cart")
 def c13_cart(shop):
-    """Cart form: available products only, additional one-time prices in the subtotal."""
+    """Cart form: the same calculation, with available products only and nothing shipped yet."""
+    unshipped = shop["shop_order"].withColumn("SHIPPING", F.lit(None).cast("decimal(18,2)"))
     lines = totals.available_lines(_order_lines(shop), shop["product"])
-    rows = totals.order_totals(
-        shop["shop_order"].withColumn("SHIPPING", F.lit(None).cast("decimal(18,2)")),
+    return totals.order_totals(
+        unshipped,
         lines,
-        totals.available_lines(_order_lines(shop), shop["product"])
-        .join(prices.additional_prices(shop["inventory"], shop["price_list"], shop["product_variant"], AS_OF), "PRODUCT_ID")
-        .select("ORDER_ID", F.col("PRODUCT_PRICE_CODE").alias("CODE"), F.col("PRODUCT_PRICE_TYPE").alias("TYPE"), F.col("FINAL_PRICE").alias("VALUE")),
-        _order_discounts(shop).where(F.lit(False)),
-        _taxes(shop).where(F.lit(False)),
-        one_time_in_subtotal=True,
+        totals.available_lines(_order_extras(shop), shop["product"]),
+        totals.available_lines(_order_discounts(shop), shop["product"]),
+        taxes.taxes(unshipped, lines, shop["tax_rate"], _TAX),
     )
-    return rows.where("CODE = 'order.total.total'").select("ORDER_ID", "VALUE")
 
 
 # --------------------------------------------------------------------- categories
