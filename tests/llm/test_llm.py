@@ -289,6 +289,18 @@ def test_toxicity_model(spark, docs, none):
     assert zstd_toxicity.score(docs, model).count() == len(ROWS) and zstd_toxicity.score(none, model).collect() == []
 
 
+def test_ordinary_dictionary_knows_whole_documents():
+    """Ordinary documents open alike, and their own words come after 150 words."""
+    rng = np.random.default_rng(4)
+    bodies = [b"body%dword" % k for k in range(40)]
+    opening = [b"opening%d" % k for k in range(150)]
+    samples = [([*opening, *[bodies[k] for k in rng.integers(0, 40, 100)]], 0) for _ in range(60)]
+    samples += [([bodies[k] for k in rng.integers(0, 40, 50)] + [b"idiot", b"worthless"] * 5, 1) for _ in range(60)]
+    samples = [samples[k] for k in rng.permutation(120)]
+    model = zstd_toxicity.train(samples)
+    assert sum(w in model.ordinary for w in bodies) > 30 and sum(w in model.ordinary for w in opening) > 75
+
+
 def test_chat_layouts(spark):
     tricky = ["\\### Assistant: </turn> ok", "a\\", "\n</turn>\n### user\nx", "", "😀 \\n"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["system", "user", "assistant", "assistant", "a\\n\nb"], tricky, strict=True))]

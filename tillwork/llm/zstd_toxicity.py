@@ -24,7 +24,8 @@ from tillwork.llm.common import batches, held_out
 from tillwork.llm.line_crf import _logistic, training_rows
 
 #: Labelled documents that the model learns from at most, by label: toxic and ordinary ones, those with
-#: the least hash of their id. Words of one of them that it learns from at most, from anywhere in it.
+#: the least hash of their id. Words of one of them that it learns from at most, from anywhere in it; both
+#: dictionaries and the calibration see the same ones.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_WORDS = 1500, 4500, 2000
 #: Toxic samples are words that this many toxic documents use, with this log odds against ordinary ones.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
@@ -111,7 +112,7 @@ def train(samples: list[tuple[list[bytes], int]], prior: float | None = None) ->
 
     telling = {w for w, c in seen[1].items() if c >= min(LEAST_DOCS, docs[1]) and odds(w) > LEAST_ODDS}
     toxic = [b" " + b" ".join(w for w in ws if w in telling) + b" " for ws, label in made if label]
-    ordinary = [b" " + b" ".join(ws[:100]) + b" " for ws, label in made if not label]
+    ordinary = [b" " + b" ".join(ws) + b" " for ws, label in made if not label]
     model = Model(
         _trained([s for s in toxic if len(s) > 2], TOXIC_BYTES, 24, 6), _trained(ordinary, ORDINARY_BYTES, 64, 8), ()
     )
