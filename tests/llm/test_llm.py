@@ -301,6 +301,42 @@ def test_ordinary_dictionary_knows_whole_documents():
     assert sum(w in model.ordinary for w in bodies) > 30 and sum(w in model.ordinary for w in opening) > 75
 
 
+def test_calibration_sees_whole_texts(spark, monkeypatch):
+    """Long documents have all their signs where samples of a few lines or words don't look."""
+    monkeypatch.setattr(zstd_toxicity, "TRAIN_WORDS", 40)
+    seen = {"lines": [], "words": []}
+    texts, labels = labelled(
+        spark, lambda i: f"A plain sentence number {i} stands here.\n" * 150, lambda i: f"$$$ ### {i} $$$\n" * 150, "quality"
+    )
+    for name, module in (("lines", line_crf), ("words", zstd_toxicity)):
+        learn = module._logistic
+        monkeypatch.setattr(module, "_logistic", lambda x, y, learn=learn, to=seen[name]: (to.append((x, y)), learn(x, y))[1])
+    trained = texts.join(labels, "doc_id").where("doc_id is not null").collect()
+    trained = [r for r in trained if zlib.crc32(str(r.doc_id).encode()) % 5]
+    model = line_crf.fit(texts, labels)
+    x, y = seen["lines"][0]
+    own = line_crf.summaries(model, [r.text for r in trained])
+    assert np.allclose(sorted(x[:, 0].tolist()), sorted(own[:, 0].tolist())) and len(x) == len(trained)
+    assert np.allclose(sorted(x[:, 1].tolist()), sorted(own[:, 1].tolist()))
+    toxic = labels.withColumnRenamed("quality", "toxic")
+    zstd_toxicity.fit(texts, toxic)
+    x, y = seen["words"][0]
+    # The summary's last number but one is the logarithm of how many windows there are.
+    counts = {round(math.log1p(len(zstd_toxicity.words(r.text))) / 8, 9) for r in trained}
+    assert {round(v, 9) for v in x[:, -2].tolist()} == counts and {0, 1} == set(y.tolist())
+
+
+def test_lines_are_learnt_in_runs():
+    assert line_crf.runs(1) == [(0, 1)] and line_crf.runs(64) == [(0, 64)]
+    for n in (65, 70, 100, 1000):
+        own = line_crf.runs(n)
+        assert own[0][0] == 0 and sum(own[-1]) == n and sum(k for _, k in own) <= line_crf.TRAIN_LINES
+        assert all(a + k < b for (a, k), (b, _) in zip(own, own[1:], strict=False))
+    model = line_crf.Model(np.zeros(1), np.array([0.0, 2.0]), np.zeros((2, 2)))
+    within, _ = line_crf.marginals(model, np.zeros(4), np.array([2, 2]), opens=np.array([True, False]))
+    assert np.allclose(within, [1 / (1 + math.exp(-2)), 0.5, 0.5, 0.5])
+
+
 def test_chat_layouts(spark):
     tricky = ["\\### Assistant: </turn> ok", "a\\", "\n</turn>\n### user\nx", "", "😀 \\n"]
     rows = [(1, k, r, t) for k, (r, t) in enumerate(zip(["system", "user", "assistant", "assistant", "a\\n\nb"], tricky, strict=True))]

@@ -19,8 +19,9 @@ from pyspark.sql import functions as F
 from tillwork.llm.common import batches, held_out, stage
 
 #: Labelled documents that the model learns from at most, those with the least hash of their id.
-#: Lines of one of them that it learns from at most, evenly spread.
-TRAIN_DOCS, TRAIN_LINES = 4000, 64
+#: Lines of one of them that its chains are learnt from at most: runs of neighbours, evenly spread, the first at
+#: the beginning and the last at the end. The calibration sees all lines of them.
+TRAIN_DOCS, TRAIN_LINES, RUN = 4000, 64, 16
 GOOD = 1
 
 _LETTERS = bytes(range(65, 91)) + bytes(range(97, 123))
@@ -88,10 +89,13 @@ class Model:
     curve: tuple[float, ...] = (1.0, 0.0, 0.0)
 
 
-def marginals(model: Model, scores: np.ndarray, sizes: np.ndarray, pairs: bool = False) -> tuple:
+def marginals(
+    model: Model, scores: np.ndarray, sizes: np.ndarray, pairs: bool = False, opens: np.ndarray | None = None
+) -> tuple:
     """Forward-backward over many chains at once: P(good) by line, and those of neighbours if ``pairs``.
 
     ``scores`` are the lines' scores of "good", chain after chain; ``sizes`` the chains' lengths, all above 0.
+    Chains that aren't in ``opens`` begin within a text, without a start weight.
     """
     order = np.argsort(-sizes, kind="stable")
     begins = (np.cumsum(sizes) - sizes)[order]
@@ -101,7 +105,7 @@ def marginals(model: Model, scores: np.ndarray, sizes: np.ndarray, pairs: bool =
     own = np.zeros((len(scores), 2))
     own[:, 1] = scores
     ahead, back = np.zeros((len(scores), 2)), np.zeros((len(scores), 2))
-    ahead[begins] = model.start + own[begins]
+    ahead[begins] = own[begins] + (model.start if opens is None else model.start * opens[order, None])
     for t in range(1, longest):
         at = begins[: live[t]] + t
         ahead[at] = np.logaddexp(ahead[at - 1, 0, None] + model.moves[0], ahead[at - 1, 1, None] + model.moves[1]) + own[at]
@@ -125,10 +129,13 @@ def marginals(model: Model, scores: np.ndarray, sizes: np.ndarray, pairs: bool =
     return good, pair
 
 
-def _ascent(x: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: int, decay: float) -> Model:
+def _ascent(
+    x: np.ndarray, labels: np.ndarray, sizes: np.ndarray, opens: np.ndarray, rounds: int, decay: float
+) -> Model:
     """Maximum likelihood with a penalty, by Adam on the whole training set."""
     first = np.cumsum(sizes) - sizes
     later = np.setdiff1d(np.arange(len(x)), first)
+    first = first[opens]
     seen_moves = np.zeros((2, 2))
     np.add.at(seen_moves, (labels[later - 1], labels[later]), 1)
     seen_start = np.bincount(labels[first], minlength=2).astype(float)
@@ -137,7 +144,7 @@ def _ascent(x: np.ndarray, labels: np.ndarray, sizes: np.ndarray, rounds: int, d
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
         model = Model(theta[:-6], theta[-6:-4], theta[-4:].reshape(2, 2))
-        good, pair = marginals(model, x @ model.weights, sizes, pairs=True)
+        good, pair = marginals(model, x @ model.weights, sizes, pairs=True, opens=opens)
         starts = np.array([(1 - good[first]).sum(), good[first].sum()])
         gradient = np.concatenate((seen - x.T @ good, seen_start - starts, (seen_moves - pair.sum(0)).ravel()))
         gradient = gradient / len(x) - decay * theta
@@ -164,35 +171,61 @@ def _summary(good: np.ndarray, weight: np.ndarray, sizes: np.ndarray) -> np.ndar
     return np.column_stack((odds(mean), odds(np.minimum.reduceat(good, begins)), np.ones(len(sizes))))
 
 
-def train(features: list[np.ndarray], weights: list[np.ndarray], labels: list[int], rounds: int = 150) -> Model:
-    """Lines of a bad document start as bad. Those that look good are then taken as good, and it learns again."""
+def _flat(y: np.ndarray) -> Model:
+    """Nothing to tell apart: every document gets the share of label 1."""
+    share = (y.sum() + 1) / (len(y) + 2)
+    return Model(np.zeros(FEATURES), np.zeros(2), np.zeros((2, 2)), (0.0, 0.0, float(np.log(share / (1 - share)))))
+
+
+def runs(lines: int) -> list[tuple[int, int]]:
+    """First line and length of the runs that are learnt from: the whole text, or as many as ``TRAIN_LINES`` allows."""
+    if lines <= TRAIN_LINES:
+        return [(0, lines)]
+    begins = np.linspace(0, lines - RUN, TRAIN_LINES // RUN).astype(int).tolist()
+    # Runs that touch or overlap are one.
+    out: list[tuple[int, int]] = []
+    for begin in begins:
+        if out and begin <= sum(out[-1]):
+            out[-1] = (out[-1][0], begin + RUN - out[-1][0])
+        else:
+            out.append((begin, RUN))
+    return out
+
+
+def train(features: list[np.ndarray], chains: list[list[tuple[int, int]]], labels: list[int], rounds: int = 150) -> Model:
+    """The chains' weights, without a curve.
+
+    Lines of a bad document start as bad. Those that look good are then taken as good, and it learns again.
+    """
     y = np.array(labels)
-    if not len(y) or len(np.unique(y)) < 2:  # nothing to tell apart: every document gets the share of label 1
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(FEATURES), np.zeros(2), np.zeros((2, 2)), (0.0, 0.0, float(np.log(share / (1 - share)))))
     x = np.concatenate(features).astype(np.float64)
-    sizes = np.array([len(f) for f in features])
-    line = np.repeat(y, sizes)
-    model = _ascent(x, line, sizes, rounds, 1e-5)
+    lines = np.array([len(f) for f in features])
+    sizes = np.array([n for own in chains for _, n in own])
+    opens = np.array([begin == 0 for own in chains for begin, _ in own])
+    line = np.repeat(y, lines)
+    model = _ascent(x, line, sizes, opens, rounds, 1e-5)
     for _ in range(2):
         alone = 1 / (1 + np.exp(-np.clip(x @ model.weights + model.start[1] - model.start[0], -30, 30)))
-        worst = np.repeat(np.minimum.reduceat(alone, np.cumsum(sizes) - sizes), sizes)
-        line = np.where(np.repeat(y, sizes) == 1, 1, (alone > 0.5) & (alone > worst)).astype(int)
-        model = _ascent(x, line, sizes, rounds, 1e-5)
+        worst = np.repeat(np.minimum.reduceat(alone, np.cumsum(lines) - lines), lines)
+        line = np.where(np.repeat(y, lines) == 1, 1, (alone > 0.5) & (alone > worst)).astype(int)
+        model = _ascent(x, line, sizes, opens, rounds, 1e-5)
+    return model
+
+
+def summaries(model: Model, texts: list[str | None]) -> np.ndarray:
+    """What is calibrated, of whole texts; there has to be one."""
+    rows = [line_features(t) for t in texts]
+    sizes = np.array([len(w) for _, w in rows])
+    x = np.concatenate([f for f, _ in rows]).astype(np.float64)
     good, _ = marginals(model, x @ model.weights, sizes)
-    curve = _logistic(_summary(good, np.concatenate(weights), sizes), y)
-    return Model(model.weights, model.start, model.moves, tuple(curve.tolist()))
+    return _summary(good, np.concatenate([w for _, w in rows]), sizes)
 
 
 def scores(model: Model, texts: list[str | None]) -> np.ndarray:
     """P(label 1) of whole texts."""
     if not texts:
         return np.empty(0)
-    rows = [line_features(t) for t in texts]
-    sizes = np.array([len(w) for _, w in rows])
-    x = np.concatenate([f for f, _ in rows]).astype(np.float64)
-    good, _ = marginals(model, x @ model.weights, sizes)
-    odds = _summary(good, np.concatenate([w for _, w in rows]), sizes) @ np.array(model.curve)
+    odds = summaries(model, texts) @ np.array(model.curve)
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
@@ -219,26 +252,46 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, most: int) ->
 
 def _training_lines(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
-        x, w = [], []
+        x, chains = [], []
         for text in batch["text"].to_pylist():
-            features, weights = line_features(text)
-            if len(weights) > TRAIN_LINES:
-                at = np.linspace(0, len(weights) - 1, TRAIN_LINES).astype(int)
-                features, weights = features[at], weights[at]
-            x.append(features.tobytes())
-            w.append(weights.tobytes())
-        yield pa.record_batch([batch["label"], pa.array(x), pa.array(w)], names=["label", "x", "w"])
+            features, _ = line_features(text)
+            own = runs(len(features))
+            x.append(np.concatenate([features[begin : begin + n] for begin, n in own]).tobytes())
+            chains.append([v for pair in own for v in pair])
+        yield pa.record_batch(
+            [batch["label"], pa.array(x, pa.binary()), pa.array(chains, pa.list_(pa.int32()))],
+            names=["label", "x", "chains"],
+        )
+
+
+def _calibration_rows(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
+    for batch in batches(rows, 2 << 20):
+        found = summaries(model, batch["text"].to_pylist())
+        yield pa.record_batch(
+            [batch["label"], pa.array(found.tolist(), pa.list_(pa.float64()))], names=["label", "x"]
+        )
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """The model of ``labels(doc_id, <label>)``. Features of at most ``TRAIN_DOCS`` documents reach the driver."""
-    rows = training_rows(docs, labels, label, TRAIN_DOCS).orderBy(F.xxhash64("doc_id"), "doc_id")
-    lines = rows.select("label", "text").mapInArrow(_training_lines, "label int, x binary, w binary").collect()
-    return train(
+    """The model of ``labels(doc_id, <label>)``.
+
+    Features of some lines of at most ``TRAIN_DOCS`` documents reach the driver, then three numbers of each whole one.
+    """
+    chosen = stage(training_rows(docs, labels, label, TRAIN_DOCS))
+    rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text")
+    lines = rows.mapInArrow(_training_lines, "label int, x binary, chains array<int>").collect()
+    y = np.array([r.label for r in lines])
+    if len(np.unique(y)) < 2:
+        return _flat(y)
+    model = train(
         [np.frombuffer(r.x, np.float32).reshape(-1, FEATURES) for r in lines],
-        [np.frombuffer(r.w, np.float64) for r in lines],
-        [r.label for r in lines],
+        [list(zip(r.chains[::2], r.chains[1::2], strict=True)) for r in lines],
+        y.tolist(),
     )
+    del lines
+    whole = rows.mapInArrow(partial(_calibration_rows, model=model), "label int, x array<double>").collect()
+    curve = _logistic(np.array([r.x for r in whole]), np.array([r.label for r in whole]))
+    return Model(model.weights, model.start, model.moves, tuple(curve.tolist()))
 
 
 def _score_rows(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -20,12 +20,12 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tillwork.llm.common import batches, held_out
+from tillwork.llm.common import batches, held_out, stage
 from tillwork.llm.line_crf import _logistic, training_rows
 
 #: Labelled documents that the model learns from at most, by label: toxic and ordinary ones, those with
-#: the least hash of their id. Words of one of them that it learns from at most, from anywhere in it; both
-#: dictionaries and the calibration see the same ones.
+#: the least hash of their id. Words of one of them that it learns from at most, from anywhere in it. The calibration
+#: sees all words of the documents that it uses.
 TRAIN_TOXIC, TRAIN_ORDINARY, TRAIN_WORDS = 1500, 4500, 2000
 #: Toxic samples are words that this many toxic documents use, with this log odds against ordinary ones.
 LEAST_DOCS, LEAST_ODDS = 4, 2.5
@@ -90,18 +90,17 @@ def summary(distances: Distances, windows: list[bytes]) -> list[float]:
     return [math.log1p(c) for c in by] + [min(1.0, 20 * c / max(n, 20)) for c in by] + [top / 8, math.log1p(n) / 8, 1.0]
 
 
-def train(samples: list[tuple[list[bytes], int]], prior: float | None = None) -> Model:
-    """The model of ``(words, label)`` samples. Two thirds make the dictionaries, the rest the calibration.
+def _share(labels: list[int], prior: float | None) -> float:
+    share = prior if prior is not None else (sum(labels) + 1) / (len(labels) + 2)
+    return min(max(share, 1e-4), 1 - 1e-4)
 
-    ``prior`` is the share of label 1 among all labelled documents, where the samples have another one.
-    """
-    made, kept = [s for i, s in enumerate(samples) if i % 3], samples[::3]
-    y = np.array([label for _, label in kept])
-    share = prior if prior is not None else (sum(label for _, label in samples) + 1) / (len(samples) + 2)
-    share = min(max(share, 1e-4), 1 - 1e-4)
-    if len(np.unique(y)) < 2 or len({label for _, label in made}) < 2:
-        flat = [0.0] * (2 * len(DISTANCES) + 2) + [math.log(share / (1 - share))]
-        return Model(b"", b"", tuple(flat))
+
+def _flat(share: float) -> Model:
+    return Model(b"", b"", (*[0.0] * (2 * len(DISTANCES) + 2), math.log(share / (1 - share))))
+
+
+def dictionaries(made: list[tuple[list[bytes], int]]) -> Model:
+    """The dictionaries of ``(words, label)`` samples of both labels, without a curve."""
     seen = {0: Counter(), 1: Counter()}
     for ws, label in made:
         seen[label].update(set(ws))
@@ -113,16 +112,34 @@ def train(samples: list[tuple[list[bytes], int]], prior: float | None = None) ->
     telling = {w for w, c in seen[1].items() if c >= min(LEAST_DOCS, docs[1]) and odds(w) > LEAST_ODDS}
     toxic = [b" " + b" ".join(w for w in ws if w in telling) + b" " for ws, label in made if label]
     ordinary = [b" " + b" ".join(ws) + b" " for ws, label in made if not label]
-    model = Model(
+    return Model(
         _trained([s for s in toxic if len(s) > 2], TOXIC_BYTES, 24, 6), _trained(ordinary, ORDINARY_BYTES, 64, 8), ()
     )
-    distances = Distances(model)
-    curve = _logistic(np.array([summary(distances, ws) for ws, _ in kept]), y)
+
+
+def calibrated(model: Model, x: np.ndarray, y: np.ndarray, share: float) -> Model:
+    """``model`` with the curve of summaries and labels, moved to the ``share`` of label 1."""
+    curve = _logistic(x, y)
     inside = y.mean()
     curve[-1] += math.log(share / (1 - share)) - math.log(inside / (1 - inside))
     return Model(model.toxic, model.ordinary, tuple(curve.tolist()))
 
 
+def train(samples: list[tuple[list[bytes], int]], prior: float | None = None) -> Model:
+    """The model of ``(words, label)`` samples. Two thirds make the dictionaries, the rest the calibration.
+
+    ``prior`` is the share of label 1 among all labelled documents, where the samples have another one.
+    """
+    made, kept = [s for i, s in enumerate(samples) if i % 3], samples[::3]
+    y = np.array([label for _, label in kept])
+    share = _share([label for _, label in samples], prior)
+    if len(np.unique(y)) < 2 or len({label for _, label in made}) < 2:
+        return _flat(share)
+    model = dictionaries(made)
+    distances = Distances(model)
+    return calibrated(model, np.array([summary(distances, ws) for ws, _ in kept]), y, share)
+
+
 def scores(model: Model, texts: list[str | None], distances: Distances | None = None) -> np.ndarray:
     """P(label 1) of whole texts."""
     distances = distances or Distances(model)
@@ -130,8 +147,9 @@ def scores(model: Model, texts: list[str | None], distances: Distances | None =
     return 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
 
 
-def _training_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _training_words(rows: Iterator[pa.RecordBatch], kept: frozenset[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches(rows):
+        batch = batch.filter(pa.array([i not in kept for i in batch["doc_id"].to_pylist()], pa.bool_()))
         out = []
         for text in batch["text"].to_pylist():
             ws = words(text)
@@ -141,16 +159,41 @@ def _training_words(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch["label"], pa.array(out, pa.binary())], names=["label", "words"])
 
 
+def _calibration_rows(rows: Iterator[pa.RecordBatch], kept: frozenset[int], model: Model) -> Iterator[pa.RecordBatch]:
+    distances = Distances(model)
+    for batch in batches(rows):
+        batch = batch.filter(pa.array([i in kept for i in batch["doc_id"].to_pylist()], pa.bool_()))
+        found = [summary(distances, words(t)) for t in batch["text"].to_pylist()]
+        yield pa.record_batch([batch["label"], pa.array(found, pa.list_(pa.float64()))], names=["label", "x"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> Model:
-    """The model of ``labels(doc_id, <label>)``; words of a bounded number of documents reach the driver."""
-    samples, count = [], []
+    """The model of ``labels(doc_id, <label>)``.
+
+    Of a bounded number of documents, words of two thirds reach the driver, then 13 numbers of each whole other one.
+    """
+    parts, samples, count = [], [], []
     for value, most in ((1, TRAIN_TOXIC), (0, TRAIN_ORDINARY)):
         own = labels.where(F.col(label) == value)
-        rows = training_rows(docs, own, label, most)
-        found = rows.orderBy(F.xxhash64("doc_id"), "doc_id").select("label", "text")
-        samples += [(r.words.split(), r.label) for r in found.mapInArrow(_training_words, "label int, words binary").collect()]
+        chosen = stage(training_rows(docs, own, label, most))
+        rows = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").select("doc_id", "label", "text")
+        kept = frozenset([r.doc_id for r in rows.select("doc_id").collect()][::3])
+        found = rows.mapInArrow(partial(_training_words, kept=kept), "label int, words binary").collect()
+        samples += [(r.words.split(), r.label) for r in found]
+        parts.append((rows, kept))
         count.append(own.where(~held_out(F.col("doc_id"))).count())
-    return train(samples, (count[0] + 1) / (sum(count) + 2))
+    share = _share([], (count[0] + 1) / (sum(count) + 2))
+    if len({known for _, known in samples}) < 2:
+        return _flat(share)
+    model = dictionaries(samples)
+    del samples
+    x, y = [], []
+    for rows, kept in parts:
+        whole = partial(_calibration_rows, kept=kept, model=model)
+        for r in rows.mapInArrow(whole, "label int, x array<double>").collect():
+            x.append(r.x)
+            y.append(r.label)
+    return calibrated(model, np.array(x), np.array(y), share)
 
 
 def _score_rows(rows: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
