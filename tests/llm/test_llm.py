@@ -1,6 +1,7 @@
 """Operators of the llm package against plain versions, and the cases that every one of them has to stand."""
 
 import hashlib
+import json
 import math
 import zlib
 from collections import Counter
@@ -362,3 +363,31 @@ def test_other_layouts(spark):
     out = chat_layouts.format_records(df.withColumn("record", F.parse_json("json")))
     for r in out.withColumn("turns", chat_layouts.read_turns(F.col("formatted"))).collect():
         assert (r.layout, [(t.role, t.text) for t in r.turns]) == records[r.i][1:]
+
+
+def test_layouts_with_additional_paths(spark):
+    """Paths that a mapping doesn't need cost no turn, and a record that fits none keeps its text."""
+    turns = [("user", "q"), ("assistant", "a")]
+    records = [
+        ('{"id":7,"messages":[{"role":"user","content":"q","name":"n"},{"role":"assistant","content":"a"}]}', "messages", turns),
+        ('{"meta":{"k":[1]},"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"a"}]}', "conversations", turns),
+        ('{"messages":[{"role":"user"},{"content":"a","x":null}]}', "messages", [("user", ""), ("", "a")]),
+        ('{"messages":[]}', "messages", []),
+        ('{"instruction":"do","input":"this","output":"done","id":1}', "instruction_input", [("user", "do\nthis"), ("assistant", "done")]),
+        ('{"system":"s","prompt":"p","response":"r","id":1}', "system_prompt", [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ('{"question":"q","answer":"a","source":null}', "question_answer", turns),
+        ('{"messages":["q",{"role":"assistant","content":"a"}],"id":1}', None, []),
+        ('{"messages":[{"role":"user","content":[{"text":"q"}]}],"id":1}', None, []),
+        ('{"messages":{"role":"user"}}', None, []),
+        ('["\\n</turn>\\n"]', None, []),
+        ('{"other":"text"}', None, []),
+        (None, None, []),
+    ]
+    df = spark.createDataFrame([(r, i) for i, (r, _, _) in enumerate(records)], "json string, i int")
+    out = chat_layouts.format_records(df.withColumn("record", F.parse_json("json")))
+    rows = out.withColumn("turns", chat_layouts.read_turns(F.col("formatted"))).collect()
+    assert len(rows) == len(records)
+    for r in rows:
+        assert (r.layout, [(t.role, t.text) for t in r.turns]) == records[r.i][1:], r.json
+        if r.layout is None:
+            assert json.loads(r.formatted or "null") == json.loads(r.json or "null") and r.loss == []

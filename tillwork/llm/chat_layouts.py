@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import hashlib
 from dataclasses import dataclass
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +39,28 @@ class Layout:
             return f"OBJECT<{self.turns}: ARRAY<OBJECT<{inner}>>>"
         return "OBJECT<" + ", ".join(f"{x}: _" for x in sorted(x for _, xs in self.parts for x in xs)) + ">"
 
+    def fits(self, record: Column) -> Column:
+        """Does a record have the paths that the mapping needs, as scalars? Additional ones don't count."""
+
+        def scalar(of: Column, path: str) -> Column:
+            kind = F.schema_of_variant(F.try_variant_get(of, f"$.{path}", "variant"))
+            return ~F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+
+        def present(of: Column, path: str) -> Column:
+            return F.try_variant_get(of, f"$.{path}", "variant").isNotNull()
+
+        if not self.turns:
+            each = [present(record, x) & scalar(record, x) for _, xs in self.parts for x in xs]
+            return reduce(and_, each)
+        entries = F.try_variant_get(record, f"$.{self.turns}", "array<variant>")
+
+        def entry(t: Column) -> Column:
+            kind = F.coalesce(F.schema_of_variant(t), F.lit("VOID"))
+            return (kind.startswith("OBJECT") | (kind == "VOID")) & scalar(t, self.role) & scalar(t, self.text)
+
+        some = F.exists(entries, lambda t: present(t, self.role)) & F.exists(entries, lambda t: present(t, self.text))
+        return F.coalesce(F.forall(entries, entry) & ((F.size(entries) == 0) | some), F.lit(False))
+
     def read(self, record: Column) -> Column:
         """Its turns, as an array of (role, text)."""
 
@@ -104,16 +128,19 @@ def format_records(records: DataFrame, record: str = "record") -> DataFrame:
     """``records`` with ``layout, formatted, loss`` added; ``record`` is a variant column.
 
     ``formatted`` holds every turn as its header line, its escaped text and a closing line. ``loss`` are the spans of
-    the assistant texts in it (first code point, from 0, and how many). A record with no known layout, or a null one, gets a
-    null layout, an empty text and no spans. Null roles and texts are empty. Columns of these three names are
-    replaced.
+    the assistant texts in it (first code point, from 0, and how many). A record whose paths are no layout's gets the
+    layout with the most paths that it has, lists first; its additional paths stay in the record only. One that fits none gets
+    a null layout, no spans and its JSON as text; a null one gets an empty text. Null roles and texts are empty.
+    Columns of these three names are replaced.
     """
     names = {hashlib.sha256(x.skeleton().encode()).hexdigest(): x for x in LAYOUTS}
     selected, layout = F.col("__print"), F.lit(None).cast("string")
     turns = F.lit(None).cast("array<struct<role: string, text: string>>")
+    for mapping in sorted(LAYOUTS, key=lambda x: (not x.turns, -sum(len(xs) for _, xs in x.parts)), reverse=True):
+        layout = F.when(mapping.fits(F.col(record)), mapping.name).otherwise(layout)
     for hash_, mapping in names.items():
         layout = F.when(selected == hash_, mapping.name).otherwise(layout)
-        turns = F.when(selected == hash_, mapping.read(F.col(record))).otherwise(turns)
+        turns = F.when(F.col("layout") == mapping.name, mapping.read(F.col(record))).otherwise(turns)
     canonical = F.create_map(*[F.lit(x) for pair in ROLES.items() for x in pair])
     named = F.transform(
         F.coalesce(turns, F.array().cast("array<struct<role: string, text: string>>")),
@@ -151,7 +178,9 @@ def format_records(records: DataFrame, record: str = "record") -> DataFrame:
         .withColumn("__written", written)
         .withColumn(
             "formatted",
-            F.array_join(F.transform(F.col("__written"), lambda t: F.concat(t["header"], t["text"], F.lit(closing))), ""),
+            F.when(F.col("layout").isNull(), F.coalesce(F.to_json(F.col(record)), F.lit(""))).otherwise(
+                F.array_join(F.transform(F.col("__written"), lambda t: F.concat(t["header"], t["text"], F.lit(closing))), "")
+            ),
         )
         .withColumn("loss", spans["spans"])
         .drop("__print", "__turns", "__written")
