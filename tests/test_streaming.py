@@ -1,5 +1,7 @@
 """Streams end up where the batch jobs end up."""
 
+import time
+
 from pyspark.sql import functions as F
 
 from tests.compare import spark_rows
@@ -44,6 +46,29 @@ def test_late_events_are_kept(spark, shop, tmp_path):
     assert spark.read.parquet(out).count() == raw.count()
 
 
+def test_repeats_after_the_watermark_are_cleaned_up(spark, shop, tmp_path):
+    """The stream forgets an id and writes it again; the clean-up leaves it once, also when it runs again."""
+    from tillwork.operators.requests import normalize_requests
+
+    requests = shop["raw_requests"].orderBy("event_id").limit(30).localCheckpoint()
+    first, others = requests.limit(20), requests.exceptAll(requests.limit(20))
+    source, out, clean, checkpoint = (str(tmp_path / x) for x in ("raw", "events", "clean", "checkpoint"))
+
+    def arrive(rows):
+        rows.coalesce(1).write.mode("append").parquet(source)
+        raw = normalize_requests(ingest.read_stream(spark, source, RAW_REQUESTS))
+        ingest.write_events(ingest.dedupe_stream(raw, "1 second"), out, checkpoint).awaitTermination()
+
+    expected = spark_rows(normalize_requests(requests))
+    for rows in (first, others.limit(5), others):  # each takes the watermark past what came before
+        arrive(rows)
+        time.sleep(3)
+    arrive(first)
+    assert spark.read.parquet(out).count() > len(expected[1])
+    for _ in range(2):
+        assert spark_rows(ingest.clean_events(spark, out, clean).drop("event_date")) == expected
+
+
 def test_session_parts_equal_the_batch_and_a_replay_changes_nothing(spark, shop, tmp_path):
     events = shop["api_performance"]
     source, parts = str(tmp_path / "events"), str(tmp_path / "parts")

@@ -231,7 +231,7 @@ def _streamed(shop, copies: int = 1) -> Shop:
 def t07(shop):
     work = _work(shop, "events")
     ingest.ingest_requests(_streamed(shop)["raw_requests"], f"{work}/data", f"{work}/checkpoint").awaitTermination()
-    return shop.spark.read.parquet(f"{work}/data").drop("event_date")
+    return ingest.clean_events(shop.spark, f"{work}/data", f"{work}/clean").drop("event_date")
 
 
 @query("T08")
@@ -240,7 +240,7 @@ def t08(shop):
     work = _work(shop, "twice")
     raw = _streamed(shop, copies=2)["raw_requests"]
     ingest.ingest_requests(raw, f"{work}/data", f"{work}/checkpoint").awaitTermination()
-    return shop.spark.read.parquet(f"{work}/data").drop("event_date")
+    return ingest.clean_events(shop.spark, f"{work}/data", f"{work}/clean").drop("event_date")
 
 
 @query("T08_batch")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from tillwork.operators.requests import normalize_requests
+from tillwork.operators.requests import dedupe_events, normalize_requests
 
 # Work off everything there is, in batches, then stop. A service passes
 # {"processingTime": "250 milliseconds"} instead.
@@ -29,7 +29,7 @@ def dedupe_stream(events: DataFrame, within: str = "1 hour") -> DataFrame:
 
     The watermark runs on arrival, not on the event's own time. State is bounded
     by it all the same, and an event that comes late is never dropped for that.
-    A repeat that comes later still is removed by the batch clean-up.
+    A repeat that comes later still is written again; :func:`clean_events` removes it.
     """
     arrived = events.withColumn("arrived_at", F.current_timestamp()).withWatermark("arrived_at", within)
     return arrived.dropDuplicatesWithinWatermark(["event_id"]).drop("arrived_at")
@@ -56,3 +56,21 @@ def write_events(events: DataFrame, path: str, checkpoint: str, trigger: dict |
 def ingest_requests(raw: DataFrame, path: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
     """The whole way from raw requests to the event table as one stream."""
     return write_events(dedupe_stream(normalize_requests(raw)), path, checkpoint, trigger)
+
+
+def clean_events(spark: SparkSession, path: str, target: str) -> DataFrame:
+    """The written events with each event id once, whatever lies between its repeats, as a table of ``target`` by day.
+
+    A job beside the stream: the stream's own files stay as its log names them, and readers take ``target``.
+    Every run looks at all that is written by then and replaces ``target``.
+    """
+    written = spark.read.parquet(path)
+    (
+        dedupe_events(written)
+        .repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(8)))
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "static")
+        .partitionBy("event_date")
+        .parquet(target)
+    )
+    return spark.read.schema(written.schema).parquet(target)
