@@ -13,6 +13,7 @@ import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
 
+import corpus_pipeline
 from tillwork.llm import (
     byte_bpe,
     cap_filters,
@@ -26,7 +27,7 @@ from tillwork.llm import (
     weighted_sampling,
     zstd_toxicity,
 )
-from tillwork.llm.common import prepare
+from tillwork.llm.common import prepare, stage
 from tillwork.llm.components import components
 from tillwork.llm.queries import PACKING, PIECES, RANKS
 
@@ -135,6 +136,67 @@ def test_near_duplicates(docs, none):
     assert sorted(r.doc_id for r in left.collect()) == [1, 2, 3, 4, 6, 8, 9, 10, 11] and left.columns == docs.columns
 
 
+def plain_shingles(t):
+    words = text(t).lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def plain_components(rows):
+    """The least id that each row is linked with, by Jaccard of all pairs."""
+    sets, root = [plain_shingles(t) for _, t in rows], list(range(len(rows)))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = len(sets[a] & sets[b])
+            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+                root[find(a)] = find(b)
+    return {i: min(j for k, (j, _) in enumerate(rows) if find(k) == find(own)) for own, (i, _) in enumerate(rows)}
+
+
+def near_rows():
+    """Pairs just above and just below 0.75, chains, and a group whose members share many bands."""
+    rng = np.random.default_rng(11)
+    fresh = iter(range(10**9))
+
+    def words(n):
+        return [f"w{next(fresh)}" for _ in range(n)]
+
+    texts = []
+    for n in (60, 100, 200):
+        for k in range(n // 10, n // 5):  # k new words at the end change k shingles
+            base = words(n)
+            texts += [base, base[: n - k] + words(k)]
+    chain = words(200)
+    for _ in range(12):
+        texts.append(chain)
+        chain = chain[12:] + words(12)
+    hot = words(120)
+    for _ in range(40):
+        own = list(hot)
+        for at in rng.integers(0, 120, int(rng.integers(0, 7))).tolist():
+            own[at] = words(1)[0]
+        texts.append(own)
+    order = rng.permutation(len(texts)).tolist()
+    return [(i, " ".join(texts[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("leaders", [8, 0])
+def test_near_duplicates_against_all_pairs(spark, leaders, monkeypatch):
+    """Without leaders, the second round has to find every link."""
+    monkeypatch.setattr(circulant_minhash, "LEADERS", leaders)
+    prepare(spark)
+    rows = near_rows()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in circulant_minhash.near_duplicates(df).collect()}
+    want = plain_components(rows)
+    assert got == want and 20 < len(set(want.values())) < len(rows) - 20
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(40)] + [(100, 101), (102, 101), (7, 7), (100, 101)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
@@ -391,3 +453,52 @@ def test_layouts_with_additional_paths(spark):
         assert (r.layout, [(t.role, t.text) for t in r.turns]) == records[r.i][1:], r.json
         if r.layout is None:
             assert json.loads(r.formatted or "null") == json.loads(r.json or "null") and r.loss == []
+
+
+def test_pipeline_stages_against_plain_versions(spark, tmp_path):
+    """Each stage on what the one before leaves, with the columns that it hands on; ``run`` ends where they do."""
+    folder, columns = str(tmp_path), ["doc_id", "text", "lang", "source", "n_chars"]
+    rows, labels = [], []
+    for i in range(120):
+        own = f"Plain words number {i} of é{i * 7} and {i * i} stand here in a sentence."
+        if i % 4 == 0:
+            own += f"\n$$$ ### {i} $$$ %%% ***"
+        if i % 4 == 1:
+            own += " idiot worthless disgusting" * 3
+        if i % 10 == 2:
+            own += " " + SHARED
+        rows.append((i, own, "en", f"s{i % 3}", len(own)))
+        labels.append((i, int(i % 4 != 0), int(i % 4 == 1)))
+    rows += [(200, rows[3][1], "de", "x", 1), (201, None, None, "y", 0), (202, "", "fr", None, 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    given = spark.read.parquet(f"{folder}/labels.parquet")
+
+    def key(r):
+        return tuple(r[c] for c in columns)
+
+    docs = stage(prepare(spark).read.parquet(f"{folder}/documents.parquet"))
+    for name, step in corpus_pipeline.STAGES:
+        before = sorted(docs.collect(), key=lambda r: r.doc_id)
+        after = step(spark, docs, folder)
+        if name == "quality":
+            model = line_crf.fit(docs, given)
+            want = [key(r) for r in before if line_crf.scores(model, [r.text])[0] >= 0.3]
+        elif name == "toxicity":
+            model = zstd_toxicity.fit(docs, given)
+            want = [key(r) for r in before if zstd_toxicity.scores(model, [r.text])[0] < 0.5]
+        elif name == "near_duplicates":
+            root = plain_components([(r.doc_id, r.text) for r in before])
+            want = [key(r) for r in before if root[r.doc_id] == r.doc_id]
+        elif name == "repeated_passages":
+            left = [b.decode("utf-8", "ignore") for b in plain_removal([r.text for r in before])]
+            want = [(r.doc_id, t, r.lang, r.source, len(t)) for r, t in zip(before, left, strict=True)]
+        else:
+            break
+        docs = stage(after)
+        assert sorted((key(r) for r in docs.collect()), key=lambda r: r[0]) == want, name
+        assert docs.columns == columns
+        assert name == "repeated_passages" and want != [key(r) for r in before] or 0 < len(want) < len(before), name
+    tokenizer = Tokenizer.from_file(PACKING[0])
+    want = {r.doc_id: len(tokenizer.encode(text(r.text), add_special_tokens=False).ids) + 1 for r in docs.collect()}
+    assert {r.doc_id: r.doc_tokens for r in corpus_pipeline.run(spark, folder).collect()} == want
