@@ -18,6 +18,7 @@ from tillwork.llm import (
     suffix_dedup,
     unigram_counts,
     weighted_sampling,
+    word_bpe,
     zstd_toxicity,
 )
 from tillwork.llm.common import table
@@ -63,6 +64,7 @@ def op10_circulant_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
 #: The tokenizer of the packing operator, the same vocabulary as ranks, and the ranks' pattern.
 PACKING = (public_tokenizers.path("byte_bpe_50k.json"), RANKS, public_tokenizers.PATTERN)
 
@@ -92,6 +94,16 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    encoded = word_bpe.encode(table(spark, folder, "documents"), WORDS)
+    return word_bpe.decode(encoded, WORDS).select(
+        "doc_id",
+        F.expr("cast(octet_length(ids) div 4 as bigint)").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_crf": op1_line_crf,
     "op2_weighted_sampling": op2_weighted_sampling,
@@ -103,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_packing": op9_packing,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op13_word_bpe": op13_word_bpe,
 }
 
 SQL: dict[str, str] = {"op7_chat_layouts": chat_layouts.SQL}
