@@ -15,6 +15,7 @@ from tillwork.llm import (
     circulant_minhash,
     line_crf,
     packing,
+    periodic_runs,
     suffix_dedup,
     unigram_counts,
     weighted_sampling,
@@ -94,6 +95,21 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    found = periodic_runs.collapse(periodic_runs.repeat_tails(table(spark, folder, "documents")))
+    best = periodic_runs.longest(F.col("runs"))
+    return found.select("doc_id", "runs", "collapsed", best.alias("best")).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("best.start")).alias("start"),
+        F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"),
+        F.expr("1000 * best.length div -best.period").alias("exponent_milli"),
+        F.sha2(periodic_runs.listed(F.col("runs")).cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_word_bpe(spark: SparkSession, folder: str) -> DataFrame:
     encoded = word_bpe.encode(table(spark, folder, "documents"), WORDS)
     return word_bpe.decode(encoded, WORDS).select(
@@ -115,6 +131,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_packing": op9_packing,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_word_bpe": op13_word_bpe,
 }
 
