@@ -16,6 +16,7 @@ from tillwork.llm import (
     line_crf,
     packing,
     periodic_runs,
+    prefix_trie,
     suffix_dedup,
     unigram_counts,
     weighted_sampling,
@@ -95,6 +96,11 @@ def op3_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    convs = prefix_trie.sequences(table(spark, folder, "conversations"))
+    return prefix_trie.trie(prefix_trie.branch_off(convs))
+
+
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
     found = periodic_runs.collapse(periodic_runs.repeat_tails(table(spark, folder, "documents")))
     best = periodic_runs.longest(F.col("runs"))
@@ -131,8 +137,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_cap_filters": op8_cap_filters,
     "op9_packing": op9_packing,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_prefix_trie": op11_prefix_trie,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_word_bpe": op13_word_bpe,
 }
 
-SQL: dict[str, str] = {"op7_chat_layouts": chat_layouts.SQL}
+SQL: dict[str, str] = {"op7_chat_layouts": chat_layouts.SQL, "op11_prefix_trie": prefix_trie.SQL}
