@@ -80,6 +80,7 @@ SQL = {
     "B03_stream": """SELECT session_id, first_event AS first_event_ts, cart_ts AS first_cart_ts, checkout_ts AS first_checkout_ts,
                             requests AS request_count, seconds AS duration_seconds FROM timed""",
     "M08_stream": m.SQL["M08"],
+    "M08_windows": m.SQL["M08"],
     "R02": m.SQL["M08"],
     "R03": """SELECT max(event_timestamp) AS latest_data_used_at,
                      ROUND(greatest(0, (epoch_us(TIMESTAMP '2024-02-15') - epoch_us(max(event_timestamp))) / 1000000), 3) AS data_latency_seconds
@@ -87,6 +88,8 @@ SQL = {
     "R04": "SELECT 'newest' AS candidate, count(*) AS row_count, max(event_timestamp) AS latest FROM api_performance",
 }
 
+SQL["B03_stream_compacted"] = SQL["B03_stream"]
+
 _GROUPS = {
     "operational_dashboard": {
         "M01": "average_session_duration", "M02": "cart_to_sale_conversion_rate", "M03": "average_session_value_session_ltv",

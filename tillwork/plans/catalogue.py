@@ -253,7 +253,9 @@ def t08_batch(shop):
 def b03_stream(shop):
     work = _work(shop, "sessions")
     events = _streamed(shop)["api_performance"]
-    rollups.write_parts(events, rollups.session_part, f"{work}/parts", f"{work}/checkpoint").awaitTermination()
+    rollups.write_parts(
+        events, rollups.session_part, f"{work}/parts", f"{work}/checkpoint", merge=rollups.merge_sessions
+    ).awaitTermination()
     return rollups.read_sessions(shop.spark, f"{work}/parts").select(
         "session_id", "first_event_ts", "first_cart_ts", "first_checkout_ts", "request_count", "duration_seconds"
     )
@@ -263,10 +265,41 @@ def b03_stream(shop):
 def m08_stream(shop):
     work = _work(shop, "sales")
     events = _streamed(shop)["api_performance"]
-    rollups.write_parts(events, rollups.sales_part, f"{work}/parts", f"{work}/checkpoint").awaitTermination()
+    rollups.write_parts(
+        events, rollups.sales_part, f"{work}/parts", f"{work}/checkpoint", merge=rollups.merge_sales
+    ).awaitTermination()
     return rollups.read_revenue_by_hour(shop.spark, f"{work}/parts", shop)
 
 
+@query("B03_stream_compacted")
+def b03_stream_compacted(shop):
+    """Sessions from a stream whose batches are merged two by two on the way."""
+    work = _work(shop, "compacted")
+    events = shop["api_performance"]
+    events.repartition(5).write.parquet(f"{work}/events")
+    rollups.write_parts(
+        ingest.read_stream(shop.spark, f"{work}/events", events.schema, max_files=1),
+        rollups.session_part, f"{work}/parts", f"{work}/checkpoint", merge=rollups.merge_sessions, fan=2,
+    ).awaitTermination()
+    return rollups.read_sessions(shop.spark, f"{work}/parts").select(
+        "session_id", "first_event_ts", "first_cart_ts", "first_checkout_ts", "request_count", "duration_seconds"
+    )
+
+
+@query("M08_windows")
+def m08_windows(shop):
+    """Hours of event time, each given once when its end has passed; a heartbeat ends the last one."""
+    work = _work(shop, "windows")
+    rollups.cart_snapshot(shop.relations).write.parquet(f"{work}/carts")
+    events = shop["api_performance"]
+    last = events.agg(F.max("event_timestamp")).first()[0]
+    rollups.heartbeat(events, last + dt.timedelta(days=3)).write.parquet(f"{work}/clock")
+    stream = _streamed(shop)["api_performance"].unionByName(ingest.read_stream(shop.spark, f"{work}/clock", events.schema))
+    windows = rollups.revenue_windows(stream, shop.spark.read.parquet(f"{work}/carts"), "1 day")
+    rollups.write_windows(windows, f"{work}/hours", f"{work}/checkpoint").awaitTermination()
+    return rollups.read_windows(shop.spark, f"{work}/hours")
+
+
 # ------------------------------------------------------------------- metric runs
 
 _RUN_AT = dt.datetime(2024, 2, 15)

@@ -2,18 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from tillwork.operators.requests import dedupe_events, normalize_requests
+from tillwork.sources.mirror import MirroredTable, StreamBatch
 
 # Work off everything there is, in batches, then stop. A service passes
 # {"processingTime": "250 milliseconds"} instead.
 DRAIN = {"availableNow": True}
 
 
+def _id() -> Column:
+    """An event's id as the index has it; no id is a value of its own."""
+    return F.coalesce(F.concat(F.lit("="), "event_id"), F.lit("")).alias("id")
+
+
+
 def read_stream(
     spark: SparkSession, path: str, schema: T.StructType, format: str = "parquet", max_files: int | None = None
 ) -> DataFrame:
@@ -58,19 +65,44 @@ def ingest_requests(raw: DataFrame, path: str, checkpoint: str, trigger: dict |
     return write_events(dedupe_stream(normalize_requests(raw)), path, checkpoint, trigger)
 
 
-def clean_events(spark: SparkSession, path: str, target: str) -> DataFrame:
+def clean_events(spark: SparkSession, path: str, target: str, buckets: int | None = None) -> DataFrame:
     """The written events with each event id once, whatever lies between its repeats, as a table of ``target`` by day.
 
-    A job beside the stream: the stream's own files stay as its log names them, and readers take ``target``.
-    Every run looks at all that is written by then and replaces ``target``.
+    A job beside the stream: the stream's own files stay as its log names them, and readers take this table. A run looks
+    at the files that came since the last one. Their ids are looked up in an index, a table of ids in buckets by hash, of
+    which only the buckets that they fall into are read; new events and then new ids are appended. Both tables know which
+    batches they took in, so a run that broke off goes on where it was, and readers see whole batches. ``buckets`` is the
+    number of buckets of the index. An event without an id is one event with the others that have none.
     """
+    events = MirroredTable(spark, f"{target}/events", by=["event_date"])
+    index = MirroredTable(spark, f"{target}/ids", buckets)
     written = spark.read.parquet(path)
+    if not events.exists():
+        events.replace(written.where("1 = 0"))
+        index.replace(written.where("1 = 0").select(_id()), "id")
+
+    def take(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        try:
+            seen = StreamBatch.of(batch, batch_id, "clean")
+            if not events.taken(seen):
+                known = index.read(index.buckets_of(batch.select(_id())))
+                fresh = dedupe_events(batch).withColumn("id", _id()).join(known, "id", "left_anti").drop("id")
+                events.append(fresh.repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(8))), batch=seen)
+            if not index.taken(seen):
+                index.append(events.part_of(seen).select(_id()), batch=seen)
+            for table in (events, index):
+                if table.compact():
+                    table.vacuum()
+        finally:
+            batch.unpersist()
+
     (
-        dedupe_events(written)
-        .repartition("event_date", F.pmod(F.xxhash64("event_id"), F.lit(8)))
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "static")
-        .partitionBy("event_date")
-        .parquet(target)
+        read_stream(spark, path, written.schema)
+        .writeStream.foreachBatch(take)
+        .option("checkpointLocation", f"{target}/checkpoint")
+        .trigger(**DRAIN)
+        .start()
+        .awaitTermination()
     )
-    return spark.read.schema(written.schema).parquet(target)
+    return events.read()
