@@ -400,6 +400,31 @@ SQL["C27_first_per_code"] = """
 SQL["C27_province"] = """
     SELECT ORDER_ID, DELIVERY_COUNTRY AS COUNTRY, DELIVERY_ZONE AS ZONE, DELIVERY_STATE AS STATE FROM shop_order
     WHERE (DELIVERY_ZONE IS NULL OR DELIVERY_ZONE = 'Z2') AND (DELIVERY_STATE IS NULL OR DELIVERY_STATE = 'P1') AND coalesce(DELIVERY_ZONE, DELIVERY_STATE) IS NOT NULL"""
+SQL["C27_stores"] = """
+    WITH RECURSIVE base AS (
+      SELECT ORDER_ID, cls, CAST(sum(amount) AS DECIMAL(28,2)) AS amount FROM (
+        SELECT l.ORDER_ID, coalesce(TAX_CLASS_ID, o.MERCHANT_ID) AS cls, coalesce(ITEM_PRICE * QUANTITY, 0) AS amount
+        FROM oline l JOIN shop_order o ON o.ORDER_ID = l.ORDER_ID
+        UNION ALL SELECT ORDER_ID, MERCHANT_ID, CASE WHEN SHIPPING > 0 THEN SHIPPING + CASE WHEN HANDLING > 0 THEN HANDLING ELSE 0 END ELSE 0 END
+        FROM shop_order) GROUP BY ORDER_ID, cls),
+    rate AS (
+      SELECT 1 AS m, * FROM tax_rate
+      UNION ALL SELECT 2, * REPLACE (CAST(RATE + 1 AS DECIMAL(7,4)) AS RATE) FROM tax_rate WHERE TAX_RATE_ID % 3 <> 0),
+    place AS (
+      SELECT ORDER_ID, MERCHANT_ID AS m, CASE MERCHANT_ID WHEN 1 THEN DELIVERY_COUNTRY ELSE 'N4' END AS c,
+             CASE MERCHANT_ID WHEN 1 THEN DELIVERY_ZONE ELSE 'Z2' END AS z, CASE MERCHANT_ID WHEN 1 THEN DELIVERY_STATE END AS s FROM shop_order),
+    plan AS (
+      SELECT b.*, t.RATE, t.TAX_CODE, t.PIGGYBACK, row_number() OVER (PARTITION BY b.ORDER_ID, b.cls ORDER BY t.PRIORITY, t.TAX_RATE_ID) AS n
+      FROM base b JOIN place p ON p.ORDER_ID = b.ORDER_ID
+      JOIN rate t ON t.m = p.m AND t.COUNTRY = p.c AND CASE WHEN p.z IS NOT NULL THEN t.ZONE = p.z OR t.ZONE IS NULL ELSE t.STATE = p.s END),
+    step AS (
+      SELECT ORDER_ID, cls, n, TAX_CODE, amount AS start, CAST(ROUND(CAST(amount AS DECIMAL(20,2)) * RATE * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(28,2)) AS tax
+      FROM plan WHERE n = 1
+      UNION ALL
+      SELECT p.ORDER_ID, p.cls, p.n, p.TAX_CODE, CASE WHEN p.PIGGYBACK AND s.start + s.tax > 0 THEN CAST(s.start + s.tax AS DECIMAL(28,2)) ELSE s.start END,
+             CAST(ROUND(CAST(CASE WHEN p.PIGGYBACK AND s.start + s.tax > 0 THEN s.start + s.tax ELSE s.start END AS DECIMAL(20,2)) * p.RATE * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(28,2))
+      FROM step s JOIN plan p ON p.ORDER_ID = s.ORDER_ID AND p.cls = s.cls AND p.n = s.n + 1)
+    SELECT ORDER_ID, TAX_CODE, CAST(sum(tax) AS DOUBLE) AS VALUE FROM step GROUP BY 1, 2"""
 SQL["C28"] = f"SELECT CART_ID, PRODUCT_ID, PROMO_CODE, {d('VALUE')} FROM cutline"
 SQL["C29"] = "SELECT PRODUCT_ID, sum(RATING) / count(RATING) AS REVIEW_AVG, count(*) AS REVIEW_COUNT FROM review_latest GROUP BY 1"
 SQL["C29_by_customer"] = "SELECT CUSTOMER_ID, sum(RATING) / count(RATING) AS REVIEW_AVG, count(*) AS REVIEW_COUNT FROM review_latest GROUP BY 1"
@@ -464,9 +489,14 @@ SQL["C35"] = f"""
     LEFT JOIN va ON va.PRODUCT_ID = p.PRODUCT_ID LEFT JOIN im ON im.PRODUCT_ID = p.PRODUCT_ID LEFT JOIN rv ON rv.PRODUCT_ID = p.PRODUCT_ID"""
 SQL["C36_terms"] = "SELECT 'default' AS store, language, id, term FROM name_term"
 SQL["C36"] = "SELECT request_id, id, matched_terms FROM hit_rows"
+SQL["C36_page"] = """
+    SELECT request_id, id, matched_terms, place FROM (
+      SELECT *, row_number() OVER (PARTITION BY request_id ORDER BY matched_terms DESC, id) - 1 AS place FROM hit_rows)
+    WHERE place >= length(request_id) % 3 * 4 AND place < length(request_id) % 3 * 4 + 3 + length(request_id) % 9"""
 SQL["C36_suggest"] = """
     SELECT DISTINCT a.text AS request_id, n.NAME AS suggestion FROM ask_text a JOIN product_description n ON n.LANGUAGE = 'en'
       AND contains(lower(n.NAME), lower(a.text)) AND regexp_matches(lower(n.NAME), '(^|[^a-z0-9])' || split_part(lower(a.text), ' ', 1))"""
+SQL["C36_suggest_some"] = f"SELECT * FROM ({SQL['C36_suggest']}) QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY suggestion) <= 15"
 SQL["C37"] = """
     SELECT h.request_id, c.CATEGORY_ID, count(*) AS hit_count FROM hit_rows h JOIN (SELECT DISTINCT PRODUCT_ID, CATEGORY_ID FROM product_category) c ON c.PRODUCT_ID = h.id
     GROUP BY 1, 2"""

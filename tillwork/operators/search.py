@@ -6,11 +6,17 @@ from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tillwork.functions.values import money_text
+from tillwork.operators.skew import own_shuffle
 
 # Lengths of the word beginnings that are indexed.
 SHORTEST_TERM, LONGEST_TERM = 3, 10
+# Fixed value: suggestions per request.
+MOST_SUGGESTIONS = 15
+#: Hits of a request that doesn't say how many, and names per term beyond which a term is dealt to several tasks.
+DEFAULT_COUNT, NAMES_PER_PART = 20, 100_000
 _NO_WORD = "[^\\p{L}\\p{Nd}]+"
 
 
@@ -103,22 +109,63 @@ def search_terms(documents: DataFrame) -> DataFrame:
     return documents.select("store", "language", "id", F.explode(_beginnings(F.col("name"))).alias("term"))
 
 
+def matched_terms(terms: DataFrame, requests: DataFrame, most: int = NAMES_PER_PART) -> DataFrame:
+    """(request_id, id, term): the request's terms that a name has, by an equi join on the term.
+
+    A term of more than ``most`` names is dealt to parts by product, and asked for in each of them, so no task holds all
+    names of a common beginning. Which terms are that common is counted on the map side first.
+    """
+    key = ["store", "language", "term"]
+    common = (
+        terms.groupBy(*key)
+        .agg(F.count(F.lit(1)).alias("n"))
+        .where(F.col("n") > most)
+        .select(*key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
+    )
+    part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part")
+    dealt = terms.join(own_shuffle(common), key, "left").select(*key, "id", part)
+    asked = requests.select("request_id", "store", "language", F.explode(_beginnings(F.col("text"))).alias("term"))
+    in_parts = asked.join(common, key, "left").select(
+        "request_id", *key, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
+    )
+    return in_parts.join(dealt, [*key, "part"]).select("request_id", "id", "term")
+
+
 def keyword_search(terms: DataFrame, requests: DataFrame) -> DataFrame:
     """Products per request with the number of its terms they match.
 
     ``requests`` has ``request_id``, ``store``, ``language`` and ``text``; its text
-    is taken apart like the names. An equi join on the term.
+    is taken apart like the names.
     """
-    asked = requests.select("request_id", "store", "language", F.explode(_beginnings(F.col("text"))).alias("term"))
-    matched = asked.join(terms, ["store", "language", "term"])
-    return matched.groupBy("request_id", "id").agg(F.count(F.lit(1)).alias("matched_terms"))
+    return matched_terms(terms, requests).groupBy("request_id", "id").agg(F.count(F.lit(1)).alias("matched_terms"))
+
+
+def search_page(terms: DataFrame, requests: DataFrame) -> DataFrame:
+    """The hits of each request from its ``start`` on (from 0), ``count`` of them, best first.
+
+    Hits that match more of the request's terms come first, then those of the smaller id; ``place`` counts them from 0.
+    Without a count there are ``DEFAULT_COUNT``, without a start it is 0; a count below 1 or a start below 0 gives
+    nothing and the beginning. Each task cuts a request's hits down to the last place that any request asks for before
+    they are brought together.
+    """
+    start = F.greatest(F.coalesce("start", F.lit(0)), F.lit(0)).cast("long")
+    wanted = requests.withColumn("start", start).withColumn("stop", start + F.coalesce("count", F.lit(DEFAULT_COUNT)))
+    deepest = requests.agg(F.max(start + F.coalesce("count", F.lit(DEFAULT_COUNT)))).first()[0] or 0
+    best_first = Window.partitionBy("request_id").orderBy(F.desc("matched_terms"), "id")
+    ranked = keyword_search(terms, requests).withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= deepest)
+    return (
+        ranked.join(wanted.select("request_id", "start", "stop"), "request_id")
+        .where("rank > start and rank <= stop")
+        .select("request_id", "id", "matched_terms", (F.col("rank") - 1).alias("place"))
+    )
 
 
-def suggest(documents: DataFrame, terms: DataFrame, requests: DataFrame) -> DataFrame:
+def suggest(documents: DataFrame, terms: DataFrame, requests: DataFrame, limit: int | None = None) -> DataFrame:
     """Names that hold the request's text with its first word beginning a word, each once per request.
 
     The first word, as far as it is indexed, finds the candidates by an equi join;
-    the whole text is then compared.
+    the whole text is then compared. With a ``limit`` a request gets that many, by name; each task
+    cuts them down before they are brought together.
     """
     typed = F.lower(F.trim("text"))
     first_word = F.get(F.filter(F.split(typed, _NO_WORD), lambda w: F.length(w) > 0), F.lit(0))
@@ -128,7 +175,11 @@ def suggest(documents: DataFrame, terms: DataFrame, requests: DataFrame) -> Data
     hits = asked.join(terms, ["store", "language", "term"]).select("request_id", "typed", "language", "id")
     names = documents.select("id", "language", F.col("name").alias("suggestion"))
     found = hits.join(names, ["id", "language"]).where(F.lower("suggestion").contains(F.col("typed")))
-    return found.select("request_id", "suggestion").distinct()
+    names = found.select("request_id", "suggestion").distinct()
+    if limit is None:
+        return names
+    by_name = Window.partitionBy("request_id").orderBy("suggestion")
+    return names.withColumn("_rank", F.row_number().over(by_name)).where(F.col("_rank") <= limit).drop("_rank")
 
 
 def category_search_facets(hits: DataFrame, memberships: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,41 +26,64 @@ class TaxSettings:
     store_state: str | None = None
 
 
+#: The columns of a table of rules: one row per ``MERCHANT_ID``, the fields of :class:`TaxSettings` in capitals.
+RULES = tuple(f.name.upper() for f in fields(TaxSettings))
+
+
+def _fixed(s: TaxSettings) -> dict[str, Column]:
+    return {f.name: F.lit(getattr(s, f.name)) for f in fields(s)}
+
+
+def _address(orders: DataFrame, rule: dict[str, Column], *carried: str) -> DataFrame:
+    """Country, zone and state that decide an order's tax; ``rule`` has a column for each setting."""
+    own = {part: rule[f"store_{part.lower()}"].cast("string") for part in ("COUNTRY", "ZONE", "STATE")}
+    picked = {
+        part: F.when(rule["basis"] == "STORE", own[part])
+        .when(rule["basis"] == "SHIPPING", F.col(f"DELIVERY_{part}"))
+        .otherwise(F.col(f"BILLING_{part}") if f"BILLING_{part}" in orders.columns else F.lit(None))
+        for part in ("COUNTRY", "ZONE", "STATE")
+    }
+    zone, state = picked["ZONE"], blank_to_null(picked["STATE"])
+    in_zone = (zone.isNull() | (zone == rule["store_zone"])) & (state.isNull() | (state == rule["store_zone_name"]))
+    in_state = state.isNull() | (state == rule["store_state"])
+    inside = F.when(rule["store_zone"].isNotNull(), in_zone).when(blank_to_null(own["STATE"]).isNotNull(), in_state).otherwise(True)
+    owed = orders.where(rule["collect_outside_province"] | F.coalesce(inside, F.lit(False)))
+    at_store = rule["collect_at_store_address"]
+    found = {"COUNTRY": picked["COUNTRY"], "ZONE": zone, "STATE": state}
+    places = [F.when(at_store, own[part]).otherwise(column).alias(part) for part, column in found.items()]
+    return owed.select("ORDER_ID", *places, *carried).where("ZONE IS NOT NULL OR STATE IS NOT NULL")
+
+
 def tax_address(orders: DataFrame, s: TaxSettings) -> DataFrame:
     """Country, zone and state that decide the tax; orders that owe none are left out."""
-    store = [F.lit(s.store_country), F.lit(s.store_zone), F.lit(s.store_state)]
-    if s.basis == "STORE":
-        country, zone, state = store
-    else:
-        prefix = "DELIVERY" if s.basis == "SHIPPING" else "BILLING"
-        country, zone, state = (F.col(f"{prefix}_{part}") for part in ("COUNTRY", "ZONE", "STATE"))
-    rows = orders.select("ORDER_ID", country.alias("COUNTRY"), zone.alias("ZONE"), blank_to_null(state).alias("STATE"))
-    if not s.collect_outside_province:
-        if s.store_zone is not None:
-            rows = rows.where(F.col("ZONE").isNull() | (F.col("ZONE") == s.store_zone))
-            rows = rows.where(F.col("STATE").isNull() | (F.col("STATE") == F.lit(s.store_zone_name)))
-        elif s.store_state:
-            rows = rows.where(F.col("STATE").isNull() | (F.col("STATE") == s.store_state))
-    if s.collect_at_store_address:
-        rows = rows.select("ORDER_ID", *[c.cast("string").alias(n) for c, n in zip(store, ("COUNTRY", "ZONE", "STATE"))])
-    return rows.where("ZONE IS NOT NULL OR STATE IS NOT NULL")
+    return _address(orders, _fixed(s))
 
 
-def taxable_amounts(orders: DataFrame, lines: DataFrame, s: TaxSettings) -> DataFrame:
-    """Amount per order and tax class; shipping and handling go to the default class.
-
-    A line without a price counts as 0.
-    """
-    default = F.lit(s.default_class).cast("bigint")
+def _amounts(orders: DataFrame, lines: DataFrame) -> DataFrame:
+    """Amount per order and tax class; a null class is the default one, which shipping and handling go to."""
     charged = F.coalesce(F.col("SHIPPING") > 0, F.lit(False))
     handling = F.when(F.col("HANDLING") > 0, F.col("HANDLING")).otherwise(F.lit(0))
     shipping = F.when(charged, F.col("SHIPPING") + handling).otherwise(F.lit(0))
-    of_orders = orders.select("ORDER_ID", default.alias("TAX_CLASS_ID"), shipping.cast(AMOUNT).alias("amount"))
+    none = F.lit(None).cast("bigint")
+    of_orders = orders.select("ORDER_ID", none.alias("TAX_CLASS_ID"), shipping.cast(AMOUNT).alias("amount"))
     of_lines = lines.select(
-        "ORDER_ID", F.coalesce("TAX_CLASS_ID", default).alias("TAX_CLASS_ID"),
+        "ORDER_ID", F.col("TAX_CLASS_ID").cast("bigint").alias("TAX_CLASS_ID"),
         F.coalesce(F.col("ITEM_PRICE") * F.col("QUANTITY"), F.lit(0)).cast(AMOUNT).alias("amount"),
     )
-    return of_lines.unionByName(of_orders).groupBy("ORDER_ID", "TAX_CLASS_ID").agg(F.sum("amount").cast(AMOUNT).alias("amount"))
+    return of_lines.unionByName(of_orders)
+
+
+def _per_class(amounts: DataFrame) -> DataFrame:
+    return amounts.groupBy("ORDER_ID", "TAX_CLASS_ID").agg(F.sum("amount").cast(AMOUNT).alias("amount"))
+
+
+def taxable_amounts(orders: DataFrame, lines: DataFrame, s: TaxSettings) -> DataFrame:
+    """Amount per order and tax class; shipping and handling go to the default class.
+
+    A line without a price counts as 0.
+    """
+    default = F.lit(s.default_class).cast("bigint")
+    return _per_class(_amounts(orders, lines).withColumn("TAX_CLASS_ID", F.coalesce("TAX_CLASS_ID", default)))
 
 
 def _rates_by(rates: DataFrame, keys: list[str], name: str) -> DataFrame:
@@ -99,16 +122,34 @@ def taxes(orders: DataFrame, lines: DataFrame, rates: DataFrame, s: TaxSettings
     other by those of its zone and those without a zone. Amounts of the same code
     add up; ``first_per_code`` keeps only the first one.
     """
-    amounts = taxable_amounts(orders, lines, s)
-    rates = rates.select("TAX_RATE_ID", "PRIORITY", "RATE", "PIGGYBACK", "TAX_CODE", "COUNTRY", "ZONE", "STATE")
-    of_zone = _rates_by(rates.where("ZONE IS NOT NULL"), ["COUNTRY", "ZONE"], "of_zone")
-    of_country = _rates_by(rates.where("ZONE IS NULL"), ["COUNTRY"], "of_country")
-    of_state = _rates_by(rates.where("STATE IS NOT NULL"), ["COUNTRY", "STATE"], "of_state")
+    return _charged(tax_address(orders, s), taxable_amounts(orders, lines, s), rates, [], first_per_code)
+
+
+def store_taxes(orders: DataFrame, lines: DataFrame, rates: DataFrame, rules: DataFrame, first_per_code: bool = False) -> DataFrame:
+    """The taxes of orders of many stores, each by the rules and rates of its own.
+
+    ``rules`` has a row per ``MERCHANT_ID`` with the columns ``RULES``, and ``rates`` a ``MERCHANT_ID``; both are as small
+    as there are stores and places. An order of a store without rules owes none. Everything else is as in :func:`taxes`.
+    """
+    placed = orders.join(rules.select("MERCHANT_ID", *RULES), "MERCHANT_ID")
+    rule = {name.lower(): F.col(name) for name in RULES}
+    amounts = _per_class(_amounts(orders, lines)).join(
+        placed.select("ORDER_ID", F.col("DEFAULT_CLASS").cast("bigint").alias("DEFAULT_CLASS")), "ORDER_ID"
+    )
+    # Lines of the default class and those without any, brought together where they already are.
+    by_class = _per_class(amounts.withColumn("TAX_CLASS_ID", F.coalesce("TAX_CLASS_ID", "DEFAULT_CLASS")))
+    return _charged(_address(placed, rule, "MERCHANT_ID"), by_class, rates, ["MERCHANT_ID"], first_per_code)
+
+
+def _charged(places: DataFrame, amounts: DataFrame, rates: DataFrame, store: list[str], first_per_code: bool) -> DataFrame:
+    rates = rates.select(*store, "TAX_RATE_ID", "PRIORITY", "RATE", "PIGGYBACK", "TAX_CODE", "COUNTRY", "ZONE", "STATE")
+    of_zone = _rates_by(rates.where("ZONE IS NOT NULL"), [*store, "COUNTRY", "ZONE"], "of_zone")
+    of_country = _rates_by(rates.where("ZONE IS NULL"), [*store, "COUNTRY"], "of_country")
+    of_state = _rates_by(rates.where("STATE IS NOT NULL"), [*store, "COUNTRY", "STATE"], "of_state")
     placed = (
-        tax_address(orders, s)
-        .join(of_zone, ["COUNTRY", "ZONE"], "left")
-        .join(of_country, ["COUNTRY"], "left")
-        .join(of_state, ["COUNTRY", "STATE"], "left")
+        places.join(of_zone, [*store, "COUNTRY", "ZONE"], "left")
+        .join(of_country, [*store, "COUNTRY"], "left")
+        .join(of_state, [*store, "COUNTRY", "STATE"], "left")
     )
     none = F.array().cast(of_zone.schema["of_zone"].dataType)
     by_zone = F.concat(F.coalesce("of_zone", none), F.coalesce("of_country", none))

@@ -484,6 +484,21 @@ def c27_province(shop):
     return taxes.tax_address(shop["shop_order"], settings)
 
 
+@query("C27_stores")
+def c27_stores(shop):
+    """Two stores: one taxes by delivery, the other by its own address, with higher rates and another default class."""
+    rules = shop.spark.sql("""
+        SELECT * FROM VALUES
+          (1, 'SHIPPING', true, false, 1, 'N1', CAST(NULL AS STRING), CAST(NULL AS STRING), CAST(NULL AS STRING)),
+          (2, 'STORE', true, false, 2, 'N4', 'Z2', 'P1', CAST(NULL AS STRING))
+        AS rules(MERCHANT_ID, BASIS, COLLECT_OUTSIDE_PROVINCE, COLLECT_AT_STORE_ADDRESS, DEFAULT_CLASS,
+                 STORE_COUNTRY, STORE_ZONE, STORE_ZONE_NAME, STORE_STATE)""")
+    rates = shop["tax_rate"]
+    of_other = rates.where("TAX_RATE_ID % 3 <> 0").withColumn("RATE", (F.col("RATE") + 1).cast("decimal(7,4)"))
+    by_store = rates.withColumn("MERCHANT_ID", F.lit(1)).unionByName(of_other.withColumn("MERCHANT_ID", F.lit(2)))
+    return taxes.store_taxes(shop["shop_order"], _order_lines(shop), by_store, rules)
+
+
 @query("C28")
 def c28(shop):
     return _discounts(shop)
@@ -614,6 +629,20 @@ def c36(shop):
     return search.keyword_search(search.search_terms(_plain_documents(shop)), _requests(shop))
 
 
+@query("C36_page")
+def c36_page(shop):
+    """Every request asks for some hits from some place on, by the length of its text."""
+    size = F.length("text")
+    asked = _requests(shop).withColumn("count", 3 + size % 9).withColumn("start", size % 3 * 4)
+    return search.search_page(search.search_terms(_plain_documents(shop)), asked)
+
+
+@query("C36_suggest_some")
+def c36_suggest_some(shop):
+    documents = _plain_documents(shop)
+    return search.suggest(documents, search.search_terms(documents), _requests(shop), search.MOST_SUGGESTIONS)
+
+
 @query("C36_suggest")
 def c36_suggest(shop):
     documents = _plain_documents(shop)
