@@ -113,3 +113,36 @@ SQL["R01"] = " UNION ALL ".join(
     for group, ids in _GROUPS.items()
     for id, slug in ids.items()
 )
+
+SQL["R05"] = " UNION ALL ".join(
+    f"SELECT '{group}' AS group_name, '{id}' AS metric, count(*) AS row_count FROM ({m.SQL[id].strip()})"
+    for group, ids in _GROUPS.items()
+    for id in ids
+)
+
+#: The numbers of each metric of a group.
+_NUMBERS = {
+    "M01": "average_session_minutes",
+    "M02": "sessions_with_cart sessions_with_sale cart_to_sale_conversion_rate_pct",
+    "M03": "total_sessions converted_sessions avg_session_value_converted_only avg_session_value_all_sessions",
+    "M04": "carts avg_item_count_in_cart weighted_avg_items_in_cart",
+    "M05": "avg_item_sold_price",
+    "M06": "total_sessions sale_sessions conversion_rate",
+    "M07": "total_sessions sessions_with_cart sessions_with_checkout visit_to_cart_rate_pct cart_to_checkout_rate_pct visit_to_checkout_rate_pct",
+    "M08": "sale_sessions sold_carts revenue avg_cart_value",
+    "M09": "sessions converted_sessions conversion_rate_pct avg_session_value_all_sessions avg_session_value_converted_only avg_session_duration_minutes",
+    "M10": "PRODUCT_ID units_sold product_revenue sold_carts_containing_product",
+    "M11": "carts sold_carts failed_carts cart_conversion_rate_pct",
+    "M12": "successful_sessions total_successful_carts avg_successful_carts_per_successful_session min_successful_carts_per_successful_session max_successful_carts_per_successful_session",
+    "M13": "carts total_cart_value avg_cart_value median_cart_value",
+    "M14": "sessions avg_session_duration_minutes median_session_duration_minutes p95_session_duration_minutes",
+    "M15": "sessions avg_requests_per_session median_requests_per_session p95_requests_per_session",
+    "M16": "request_count sessions_using_endpoint",
+    "M17": "sessions share_of_sessions_pct",
+    "M18": "abandoned_sessions share_of_abandoned_sessions_pct",
+}
+SQL["R01_values"] = " UNION ALL ".join(
+    f"SELECT '{id}' AS metric, '{number}' AS number, ROUND(sum(CAST({number} AS DOUBLE)), 2) AS total FROM ({m.SQL[id].strip()})"
+    for id, numbers in _NUMBERS.items()
+    for number in numbers.split()
+)

@@ -13,7 +13,7 @@ AS_OF = dt.datetime(2024, 2, 15, 12, 0, 0)
 
 
 def test_run_writes_rows_and_record(spark, shop, tmp_path):
-    results = runs.run_group(shop, "operational_dashboard", str(tmp_path), AS_OF, volume_tables=["events", "orders"])
+    results = runs.run_group(shop, "operational_dashboard", str(tmp_path), AS_OF)
     assert [r.metric for r in results] == runs.GROUPS["operational_dashboard"]
     revenue = results[-1]
     assert revenue.path.endswith("/operational_dashboard/q08_revenue_by_hour/20240215T120000Z")
@@ -58,3 +58,23 @@ def test_choice_of_the_event_table(spark):
     assert choose({"a": undated.limit(1), "b": undated, "c": undated}, "x") == "b"
     assert choose({"a": missing, "b": events()}, "x") == "x"
     assert choose({"a": missing}, "x") == "x"
+
+
+def test_the_volume_is_what_tasks_read(spark, shop, tmp_path):
+    """Only the columns that a query needs are read, and only jobs within the block count."""
+    spark.range(50_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(str(tmp_path / "rows"))
+    rows = spark.read.parquet(str(tmp_path / "rows"))
+    with runs.ReadBytes(spark) as narrow:
+        rows.agg(F.max("id")).collect()
+    with runs.ReadBytes(spark) as wide:
+        rows.write.parquet(str(tmp_path / "wide"))
+        with runs.ReadBytes(spark) as nothing:
+            spark.range(3).count()
+    rows.agg(F.max("text")).collect()
+    assert 0 < narrow.total < wide.total and nothing.total == 0
+    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+
+
+def test_every_metric_of_a_run_has_its_volume(shop, tmp_path):
+    results = runs.run_group(shop, "daily_reporting", str(tmp_path), AS_OF)
+    assert all(r.metadata["data_volume_bytes"] > 0 for r in results)

@@ -5,9 +5,11 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
-from collections.abc import Callable, Mapping, Sequence
+import uuid
+from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -83,13 +85,46 @@ def choose_event_table(candidates: Mapping[str, DataFrame | Callable[[], DataFra
     return best[0].candidate if best else configured
 
 
-def scanned_bytes(df: DataFrame) -> int | None:
-    """Size of the files the query reads. Only their lengths are looked up."""
-    files = [name for name in df.inputFiles() if not name.startswith("memory")]
-    if not files:
-        return None
-    listed = df.sparkSession.read.format("binaryFile").load(files)
-    return listed.agg(F.sum("length")).first()[0]
+class ReadBytes:
+    """Counts the bytes that the tasks of the jobs within a ``with`` block read, as their input metrics say.
+
+    These are bytes of files after column and partition pruning, and of relations held from an earlier job. The jobs are
+    told apart by a job group; nothing is listed or counted on the driver but one number per stage. The log of finished
+    stages is Spark's own and forgets old ones, so ``total`` is fixed when the block ends.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._context = spark.sparkContext
+        self._group = f"read-bytes-{uuid.uuid4().hex}"
+        self.total: int | None = None
+
+    def __enter__(self) -> ReadBytes:
+        self._outer = [self._context.getLocalProperty(name) for name in _GROUP]
+        self._context.setJobGroup(self._group, self._outer[1] or "")
+        return self
+
+    def __exit__(self, *failed) -> None:
+        for name, value in zip(_GROUP, self._outer, strict=True):
+            self._context.setLocalProperty(name, value)
+        if not any(failed):
+            self.total = self._read()
+
+    def _read(self) -> int:
+        inner = self._context._jsc.sc()
+        inner.listenerBus().waitUntilEmpty()
+        tracker, store = self._context.statusTracker(), inner.statusStore()
+        jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(self._group)]
+        stages = {stage for job in jobs if job for stage in job.stageIds}
+        total = 0
+        for stage in stages:
+            try:
+                total += store.lastStageAttempt(stage).inputBytes()
+            except Py4JJavaError:  # a stage that was skipped, as its output was there
+                continue
+        return total
+
+
+_GROUP = ("spark.jobGroup.id", "spark.job.description")
 
 
 @dataclass(frozen=True)
@@ -101,28 +136,24 @@ class Result:
     metadata: dict
 
 
-def write_result(
-    df: DataFrame,
-    path: str,
-    metadata: Mapping,
-    volume_bytes: int | None = None,
-) -> dict:
+def write_result(df: DataFrame, path: str, metadata: Mapping) -> dict:
     """Write a metric as CSV and its run record as JSON next to it.
 
-    The row count is observed while the rows are written, not counted again.
+    The row count is observed while the rows are written, not counted again, and the data volume is what the tasks read
+    while doing so.
     """
     spark = df.sparkSession
     observation = Observation()
     started = time.perf_counter()
-    df.observe(observation, F.count(F.lit(1)).alias("row_count")).write.mode("overwrite").option("header", True).csv(
-        f"{path}/data"
-    )
+    with ReadBytes(spark) as read:
+        observed = df.observe(observation, F.count(F.lit(1)).alias("row_count"))
+        observed.write.mode("overwrite").option("header", True).csv(f"{path}/data")
     record = {
         **metadata,
         "row_count": observation.get["row_count"],
         "duration_seconds": round(time.perf_counter() - started, 3),
-        "data_volume_bytes": volume_bytes,
-        "data_volume_megabytes": None if volume_bytes is None else round(volume_bytes / (1024 * 1024), 3),
+        "data_volume_bytes": read.total,
+        "data_volume_megabytes": round(read.total / (1024 * 1024), 3),
     }
     size = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/data").agg(F.sum("length"))
     record["result_size_bytes"] = size.first()[0]
@@ -141,11 +172,10 @@ def run_group(
     out: str,
     as_of: dt.datetime,
     id_map: Mapping[str, str] | None = None,
-    volume_tables: Sequence[str] = (),
 ) -> list[Result]:
     """Run the metrics of a group one after the other on shared relations.
 
-    ``volume_tables`` names the tables whose file sizes are reported as input.
+    A metric's data volume has the relations it is the first to build, and those held for it as they are held.
     """
     ids = check_coverage(group, id_map)
     run_key = as_of.strftime("%Y%m%dT%H%M%SZ")
@@ -154,7 +184,6 @@ def run_group(
     try:
         newest = relations.sessions.agg(F.max("last_event_ts")).first()[0]
         latency = None if newest is None else max(0.0, (as_of.replace(tzinfo=None) - newest).total_seconds())
-        volumes = [scanned_bytes(tables[name]) for name in volume_tables]
         for number, id in zip(GROUPS[group], ids):
             slug = METRICS[id].name
             path = f"{out.rstrip('/')}/{group}/q{number[1:]}_{slug}/{run_key}"
@@ -171,7 +200,6 @@ def run_group(
                     "query_id": int(number[1:]),
                     "slug": slug,
                 },
-                sum(v for v in volumes if v is not None) if volumes else None,
             )
             results.append(Result(id, slug, record["row_count"], path, record))
     finally:
