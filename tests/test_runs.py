@@ -60,19 +60,20 @@ def test_choice_of_the_event_table(spark):
     assert choose({"a": missing}, "x") == "x"
 
 
-def test_the_volume_is_what_tasks_read(spark, shop, tmp_path):
-    """Only the columns that a query needs are read, and only jobs within the block count."""
-    spark.range(50_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(str(tmp_path / "rows"))
-    rows = spark.read.parquet(str(tmp_path / "rows"))
-    with runs.ReadBytes(spark) as narrow:
-        rows.agg(F.max("id")).collect()
-    with runs.ReadBytes(spark) as wide:
-        rows.write.parquet(str(tmp_path / "wide"))
-        with runs.ReadBytes(spark) as nothing:
-            spark.range(3).count()
-    rows.agg(F.max("text")).collect()
-    assert 0 < narrow.total < wide.total and nothing.total == 0
-    assert spark.sparkContext.getLocalProperty("spark.jobGroup.id") is None
+def test_the_volume_is_that_of_the_scanned_files(spark, tmp_path):
+    path = tmp_path / "rows"
+    spark.range(5000).select("id", (F.col("id") % 2).alias("part")).write.partitionBy("part").parquet(str(path))
+    sizes = {n: sum(f.stat().st_size for f in path.glob(f"part={n}/*.parquet")) for n in (0, 1)}
+    rows = spark.read.parquet(str(path))
+    assert runs.scanned_bytes(rows.groupBy("part").count()) == sizes[0] + sizes[1]
+    assert runs.scanned_bytes(rows.where("part = 1").orderBy("id")) == sizes[1]
+    assert runs.scanned_bytes(rows.where("part = 1").join(rows.where("part = 0"), "id")) == sizes[0] + sizes[1]
+    held = rows.where("part = 0").persist()
+    try:
+        assert runs.scanned_bytes(held.groupBy("id").count()) == sizes[0]
+    finally:
+        held.unpersist()
+    assert runs.scanned_bytes(spark.range(9)) == 0
 
 
 def test_every_metric_of_a_run_has_its_volume(shop, tmp_path):

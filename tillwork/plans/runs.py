@@ -5,11 +5,9 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
-import uuid
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass
 
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,46 +83,26 @@ def choose_event_table(candidates: Mapping[str, DataFrame | Callable[[], DataFra
     return best[0].candidate if best else configured
 
 
-class ReadBytes:
-    """Counts the bytes that the tasks of the jobs within a ``with`` block read, as their input metrics say.
+def scanned_bytes(df: DataFrame) -> int:
+    """Bytes of the files that the scans of a query's plan select, after partition pruning.
 
-    These are bytes of files after column and partition pruning, and of relations held from an earlier job. The jobs are
-    told apart by a job group; nothing is listed or counted on the driver but one number per stage. The log of finished
-    stages is Spark's own and forgets old ones, so ``total`` is fixed when the block ends.
+    The scans look their files up anyway, so none is listed a second time, and none by name on the driver. A table that
+    is scanned twice counts twice, and a held relation with the files it was made of. Sources that aren't files count 0.
     """
-
-    def __init__(self, spark: SparkSession):
-        self._context = spark.sparkContext
-        self._group = f"read-bytes-{uuid.uuid4().hex}"
-        self.total: int | None = None
-
-    def __enter__(self) -> ReadBytes:
-        self._outer = [self._context.getLocalProperty(name) for name in _GROUP]
-        self._context.setJobGroup(self._group, self._outer[1] or "")
-        return self
-
-    def __exit__(self, *failed) -> None:
-        for name, value in zip(_GROUP, self._outer, strict=True):
-            self._context.setLocalProperty(name, value)
-        if not any(failed):
-            self.total = self._read()
-
-    def _read(self) -> int:
-        inner = self._context._jsc.sc()
-        inner.listenerBus().waitUntilEmpty()
-        tracker, store = self._context.statusTracker(), inner.statusStore()
-        jobs = [tracker.getJobInfo(job) for job in tracker.getJobIdsForGroup(self._group)]
-        stages = {stage for job in jobs if job for stage in job.stageIds}
-        total = 0
-        for stage in stages:
-            try:
-                total += store.lastStageAttempt(stage).inputBytes()
-            except Py4JJavaError:  # a stage that was skipped, as its output was there
-                continue
-        return total
-
-
-_GROUP = ("spark.jobGroup.id", "spark.job.description")
+    total, plans = 0, [df._jdf.queryExecution().sparkPlan()]
+    while plans:
+        plan = plans.pop()
+        leaves = plan.collectLeaves()
+        for i in range(leaves.size()):
+            leaf = leaves.apply(i)
+            kind = leaf.getClass().getSimpleName()
+            if kind == "FileSourceScanExec":
+                total += leaf.selectedPartitions().totalFileSize()
+            elif kind == "InMemoryTableScanExec":
+                plans.append(leaf.relation().cacheBuilder().cachedPlan())
+            elif kind == "AdaptiveSparkPlanExec":
+                plans.append(leaf.inputPlan())
+    return total
 
 
 @dataclass(frozen=True)
@@ -139,21 +117,20 @@ class Result:
 def write_result(df: DataFrame, path: str, metadata: Mapping) -> dict:
     """Write a metric as CSV and its run record as JSON next to it.
 
-    The row count is observed while the rows are written, not counted again, and the data volume is what the tasks read
-    while doing so.
+    The row count is observed while the rows are written, not counted again; the data volume comes from the plan's scans.
     """
     spark = df.sparkSession
     observation = Observation()
     started = time.perf_counter()
-    with ReadBytes(spark) as read:
-        observed = df.observe(observation, F.count(F.lit(1)).alias("row_count"))
-        observed.write.mode("overwrite").option("header", True).csv(f"{path}/data")
+    observed = df.observe(observation, F.count(F.lit(1)).alias("row_count"))
+    observed.write.mode("overwrite").option("header", True).csv(f"{path}/data")
+    volume = scanned_bytes(df)
     record = {
         **metadata,
         "row_count": observation.get["row_count"],
         "duration_seconds": round(time.perf_counter() - started, 3),
-        "data_volume_bytes": read.total,
-        "data_volume_megabytes": round(read.total / (1024 * 1024), 3),
+        "data_volume_bytes": volume,
+        "data_volume_megabytes": round(volume / (1024 * 1024), 3),
     }
     size = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(f"{path}/data").agg(F.sum("length"))
     record["result_size_bytes"] = size.first()[0]
@@ -175,7 +152,7 @@ def run_group(
 ) -> list[Result]:
     """Run the metrics of a group one after the other on shared relations.
 
-    A metric's data volume has the relations it is the first to build, and those held for it as they are held.
+    A metric's data volume has all files behind it, also those of relations that are held for several metrics.
     """
     ids = check_coverage(group, id_map)
     run_key = as_of.strftime("%Y%m%dT%H%M%SZ")
