@@ -132,6 +132,8 @@ def test_adapt_types(spark):
     df = spark.sql("SELECT 0.1D AS d, CAST(0.1 AS FLOAT) AS f, array(1, 2) AS a, 'x' AS s")
     row = mirror.adapt_types(df).first()
     assert (row.d, str(row.f), row.a, row.s) == (0.1, "0.100000000", "[1,2]", "x")
+    odd = spark.sql("SELECT CAST('NaN' AS FLOAT) AS a, CAST('Infinity' AS FLOAT) AS b, CAST(1e37 AS FLOAT) AS c")
+    assert tuple(mirror.adapt_types(odd).first()) == (None, None, None)
     assert mirror.adapt_types(df, float_as_decimal=None, array_as_json=False).schema == df.schema
 
 

@@ -138,3 +138,16 @@ def test_a_session_with_a_third_of_all_events(spark):
     hot = sessions.where("session_id = ''").first()
     assert hot.request_count == rows // 3 and hot.first_endpoint == "GET /p/0"
     assert sessions.agg(F.sum("request_count")).first()[0] == rows
+
+
+def test_weights_are_summed_without_a_row_per_unit(shop):
+    for name in ("C20", "C22"):
+        assert "UNIT#" not in plan(QUERIES[name](shop)), name
+    assert "UNIT#" in plan(QUERIES["C24"](shop))
+
+
+def test_session_value_needs_no_join_of_all_sessions(shop):
+    """The value of sales is a subquery of one row; the sessions themselves are only counted."""
+    text = plan(METRICS["M03"](shop))
+    outer = text.split("Subquery")[0]
+    assert "SortMergeJoin" not in outer and "BroadcastHashJoin" not in outer

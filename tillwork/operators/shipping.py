@@ -25,13 +25,21 @@ def has_postal_code(name: str = "POSTAL_CODE") -> Column:
     return blank_to_null(name).isNotNull()
 
 
+def _units(parcels: DataFrame) -> tuple[DataFrame, Column]:
+    """Parcels with how often each is there: once, or as its ``QUANTITY`` says, so lines needn't be made into units."""
+    if "QUANTITY" in parcels.columns:
+        return parcels.where("QUANTITY >= 1"), F.col("QUANTITY").cast("int")
+    return parcels, F.lit(1)
+
+
 def weight_quotes(orders: DataFrame, parcels: DataFrame, regions: DataFrame, tiers: DataFrame) -> DataFrame:
-    """Price by total weight: the first tier of the region that carries it.
+    """Price by total weight: the first tier of the region that carries it. ``parcels`` may be lines with a ``QUANTITY``.
 
     A region's tiers are a short list kept by the shop; they travel as one array,
     so orders are not multiplied and not grouped again.
     """
-    weight = parcels.groupBy("ORDER_ID").agg(F.sum("WEIGHT").alias("weight"))
+    parcels, units = _units(parcels)
+    weight = parcels.groupBy("ORDER_ID").agg(F.sum(F.col("WEIGHT") * units).alias("weight"))
     tier = F.struct("POSITION", "MAX_WEIGHT", "PRICE")
     lists = tiers.groupBy("REGION").agg(F.array_sort(F.collect_list(tier)).alias("tiers"))
     by_country = regions.join(lists, "REGION").select(F.col("COUNTRY").alias("DELIVERY_COUNTRY"), "REGION", "tiers")
@@ -82,9 +90,15 @@ def rule_quotes(orders: DataFrame, pickup_price: float | None = None) -> DataFra
 
 
 def carrier_choice(orders: DataFrame, parcels: DataFrame) -> DataFrame:
-    """Carrier by total weight and longest side, both cut to whole units; null leaves it as it was."""
+    """Carrier by total weight and longest side, both cut to whole units; null leaves it as it was.
+
+    ``parcels`` may be lines with a ``QUANTITY``.
+    """
+    parcels, units = _units(parcels)
     size = F.greatest("HEIGHT", "LENGTH", "WIDTH")
-    totals = parcels.groupBy("ORDER_ID").agg(F.sum("WEIGHT").cast("bigint").alias("weight"), F.max(size).cast("bigint").alias("size"))
+    totals = parcels.groupBy("ORDER_ID").agg(
+        F.sum(F.col("WEIGHT") * units).cast("bigint").alias("weight"), F.max(size).cast("bigint").alias("size")
+    )
     weight, size = F.coalesce("weight", F.lit(0)), F.coalesce("size", F.lit(0))
     home = F.col("DELIVERY_COUNTRY") == CARRIER_COUNTRY
     province = F.coalesce("DELIVERY_ZONE", "DELIVERY_STATE") == CARRIER_PROVINCE

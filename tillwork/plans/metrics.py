@@ -209,15 +209,14 @@ def cart_abandonment(r: Relations) -> DataFrame:
 
 @metric("M03", "average_session_value_session_ltv")
 def average_session_value_session_ltv(r: Relations) -> DataFrame:
-    sessions = r.sessions.select("session_id")
+    """Counts of sessions and sums of their values come from one row each; sessions and values don't meet."""
+    bought = r.session_values.where("session_id IS NOT NULL").agg(
+        F.struct(F.count("session_value").alias("sessions"), F.sum("session_value").alias("value")).alias("bought")
+    )
     return (
-        sessions.join(r.session_values, "session_id", "left")
-        .agg(
-            F.count("session_id").alias("total_sessions"),
-            F.count("session_value").alias("converted_sessions"),
-            F.sum("session_value").alias("value"),
-            F.count(F.lit(1)).alias("rows"),
-        )
+        r.sessions.agg(F.count("session_id").alias("total_sessions"), F.count(F.lit(1)).alias("rows"))
+        .withColumn("bought", bought.scalar())
+        .select("total_sessions", "rows", F.col("bought.sessions").alias("converted_sessions"), F.col("bought.value").alias("value"))
         .select(
             "total_sessions",
             "converted_sessions",

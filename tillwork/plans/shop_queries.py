@@ -360,7 +360,7 @@ def c19(shop):
 
 @query("C20")
 def c20(shop):
-    return shipping.weight_quotes(shop["shop_order"], _parcels(shop), shop["shipping_region"], shop["shipping_weight_tier"])
+    return shipping.weight_quotes(shop["shop_order"], _measured(shop), shop["shipping_region"], shop["shipping_weight_tier"])
 
 
 _PICKUP = 1.5
@@ -384,7 +384,7 @@ def _carrier_orders(shop: Shop) -> DataFrame:
 
 @query("C22")
 def c22(shop):
-    return shipping.carrier_choice(_carrier_orders(shop), _parcels(shop))
+    return shipping.carrier_choice(_carrier_orders(shop), _measured(shop))
 
 
 @query("C23")
@@ -402,7 +402,7 @@ def c23(shop):
 
 def _options(shop: Shop) -> DataFrame:
     rules = shipping.rule_quotes(shop["shop_order"], _PICKUP)
-    weighed = shipping.weight_quotes(shop["shop_order"], _parcels(shop), shop["shipping_region"], shop["shipping_weight_tier"])
+    weighed = shipping.weight_quotes(shop["shop_order"], _measured(shop), shop["shipping_region"], shop["shipping_weight_tier"])
 
     def option(rows, code, position, price):
         return rows.where(F.col(price).isNotNull()).select(

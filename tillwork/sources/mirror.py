@@ -173,13 +173,16 @@ def merge_upsert(target: DataFrame, batch: DataFrame, key: str, cursor: str) ->
 
 
 def adapt_types(df: DataFrame, float_as_decimal: tuple[int, int] | None = (38, 9), array_as_json: bool = True) -> DataFrame:
-    """Doubles stay doubles, floats become decimals, arrays become JSON text."""
+    """Doubles stay doubles, floats become decimals, arrays become JSON text.
+
+    A float that no such decimal is (not a number, infinite, too large) becomes null.
+    """
     columns = []
     for item in df.schema.fields:
         column = F.col(item.name)
         if isinstance(item.dataType, T.FloatType) and float_as_decimal:
             # By way of text: the decimal is the number as printed.
-            column = column.cast("string").cast(T.DecimalType(*float_as_decimal))
+            column = column.cast("string").try_cast(T.DecimalType(*float_as_decimal))
         elif isinstance(item.dataType, T.ArrayType) and array_as_json:
             column = F.to_json(column)
         columns.append(column.alias(item.name))
