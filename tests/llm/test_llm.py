@@ -106,6 +106,15 @@ def test_repeated_passages(docs, none, crowd, monkeypatch):
     assert suffix_dedup.remove_repeats(none).collect() == []
 
 
+def test_many_rows_with_one_id_and_text(spark):
+    """The work grows with the rows, not with their square: each row's hits are gathered once."""
+    prepare(spark)
+    text = " ".join(f"w{i * i}" for i in range(350))
+    docs = spark.range(2000).select(F.lit(5).cast("long").alias("doc_id"), F.lit(text).alias("text"))
+    got = suffix_dedup.remove_repeats(docs).groupBy("doc_id", "n_bytes", "n_removed", F.size("spans").alias("n")).count().collect()
+    assert [tuple(r) for r in got] == [(5, len(text), len(text), 1, 2000)]
+
+
 @pytest.mark.parametrize("crowd", [1000, 1])
 def test_a_passage_in_many_places(spark, crowd, monkeypatch):
     """Parts of one passage, of any length, between texts that differ: every window is judged alone."""

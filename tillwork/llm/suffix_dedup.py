@@ -416,7 +416,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
             )
         )
     )
-    gathered = hits.groupBy(*key).agg(F.collect_list("hit").alias("hits"))
+    # Rows with one id and text bring the same hits; each is gathered once.
+    gathered = hits.groupBy(*key).agg(F.collect_set("hit").alias("hits"))
     both = docs.join(
         gathered.select(F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"), "hits"),
         F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("text_hash") == F.col("hash")),
