@@ -25,8 +25,11 @@ WORDS, SIMILAR = 5, 75
 #: At similarity 0.75 a pair shares none of 48 bands of 5 rows in 2 of a million cases.
 BANDS, ROWS = 48, 5
 BLOCK = 1 << 15
-#: Leaders that a class is compared with at first. It decides what is tried early, not what is tried.
+#: Leaders of each kind that a class is compared with at first. It decides what is tried early, not what is tried.
 LEADERS = 8
+#: Coordinates of the long signatures, one bit each, and how many may differ in a pair that is compared in full. At
+#: similarity 0.75 240 are expected; more than 315 differ in 2 of ten million cases.
+LONG, DIFFER = 1920, 315
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -65,15 +68,24 @@ def _least(sets: list[np.ndarray], coordinates: int) -> np.ndarray:
     return out
 
 
-def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+def band_keys(signature: np.ndarray) -> np.ndarray:
     """One 64-bit key per set and band."""
-    signature = _least(sets, BANDS * ROWS).reshape(len(sets), BANDS, ROWS).astype(U64)
-    keys = np.broadcast_to(np.arange(BANDS, dtype=U64), (len(sets), BANDS)).copy()
+    rows = signature.reshape(len(signature), BANDS, ROWS).astype(U64)
+    keys = np.broadcast_to(np.arange(BANDS, dtype=U64), (len(rows), BANDS)).copy()
     for r in range(ROWS):
-        keys = mix64(keys * U64(0x9E3779B97F4A7C15) + signature[:, :, r])
+        keys = mix64(keys * U64(0x9E3779B97F4A7C15) + rows[:, :, r])
     return keys
 
 
+def _long_signatures(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``node, text`` to ``node, bits``: the lowest bit of each coordinate of a long signature."""
+    for batch in batches(rows):
+        sets = [shingles(t) for t in batch["text"].to_pylist()]
+        bits = (_least(sets, LONG) & np.uint32(1)).astype(np.uint8)
+        packed = signed(np.packbits(bits, axis=1).view(U64))
+        yield pa.record_batch([batch["node"], pa.array(list(packed), pa.list_(pa.int64()))], names=["node", "bits"])
+
+
 _SKETCH = pa.schema(
     [
         ("doc_id", pa.int64()),
@@ -91,7 +103,8 @@ def _sketch(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         full = [i for i, s in enumerate(sets) if len(s)]
         bands: list = [None] * len(sets)
         if full:
-            for i, keys in zip(full, signed(band_keys([sets[i] for i in full])), strict=True):
+            signature = _least([sets[i] for i in full], BANDS * ROWS)
+            for i, keys in zip(full, signed(band_keys(signature)), strict=True):
                 bands[i] = keys
         yield pa.record_batch(
             [
@@ -135,6 +148,46 @@ def _confirm(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     return both.mapInArrow(partial(_similar, percent=SIMILAR), "a long, b long")
 
 
+def _rest(docs: DataFrame, classes: DataFrame, sketches: DataFrame, members: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs ``a, b`` that share a band, lie in different components so far, and may still be similar.
+
+    In each band, the classes outside the component that most of it belongs to meet all others, so a band that
+    is one component but for a few classes costs these few times its size. Sizes and long signatures are compared
+    inside the join, and only pairs that pass both become rows, in the first band that they share.
+    """
+    known = members.select("key", "node", "n_shingles").join(roots, "node", "left").withColumn(
+        "root", F.coalesce("root", "node")
+    )
+    parts = known.groupBy("key", "root").count().groupBy("key").agg(
+        F.max_by("root", F.struct("count", "root")).alias("main"), F.count(F.lit(1)).alias("roots")
+    )
+    met = stage(known.join(own_shuffle(parts.where("roots > 1").select("key", "main")), "key"))
+    # Small texts, much work: a number of tasks of its own, as partitions would be merged by their bytes.
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = _texts(docs, classes, met.select("node")).repartition(tasks, "node")
+    bits = texts.mapInArrow(_long_signatures, "node long, bits array<long>")
+    signatures = stage(bits.join(sketches.select(F.col("row").alias("node"), "bands"), "node"))
+    open_ = met.join(own_shuffle(signatures), "node")
+    x, y = open_.where("root <> main").alias("x"), open_.alias("y")
+    shared = F.array_position(F.zip_with("x.bands", "y.bands", lambda a, b: a == b), True).cast("int")
+    apart = F.aggregate(
+        F.zip_with("x.bits", "y.bits", lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda n, d: n + d
+    )
+    return (
+        x.join(
+            y,
+            (F.col("x.key") == F.col("y.key"))
+            & (F.col("x.root") != F.col("y.root"))
+            & ((F.col("y.root") == F.col("y.main")) | (F.col("x.node") < F.col("y.node")))
+            & (100 * F.least("x.n_shingles", "y.n_shingles") >= SIMILAR * F.greatest("x.n_shingles", "y.n_shingles"))
+            & (F.try_element_at("x.bands", shared) == F.col("x.key"))
+            & (apart <= DIFFER),
+        )
+        .select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+        .distinct()
+    )
+
+
 def _resolved(docs: DataFrame) -> DataFrame:
     """``doc_id, text_key, n_shingles, digest, root, component_id`` of each row; root is null for empty sets."""
     docs = docs.select(
@@ -142,7 +195,8 @@ def _resolved(docs: DataFrame) -> DataFrame:
     ).withColumn("text_key", F.xxhash64("text"))
     sketches = stage(
         docs.mapInArrow(
-            _sketch, "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>"
+            _sketch,
+            "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>",
         ).withColumn("row", F.monotonically_increasing_id())
     )
     classes = stage(
@@ -162,11 +216,22 @@ def _resolved(docs: DataFrame) -> DataFrame:
     shared = in_bands.groupBy("key").agg(
         F.min_by("node", F.xxhash64("node", "key")).alias("leader"), F.count(F.lit(1)).alias("members")
     )
-    members = stage(in_bands.join(own_shuffle(shared.where("members > 1").select("key", "leader")), "key"))
-    votes = Window.partitionBy("node").orderBy(F.desc("count"), "leader")
+    members = stage(in_bands.join(own_shuffle(shared.where("members > 1")), "key"))
+    # A second one is the class that meets most others: the text that a group's copies were made of, if it is there.
+    met = members.groupBy("node").agg(F.sum("members").alias("met"))
+    central = (
+        members.select("key", "node")
+        .join(own_shuffle(met), "node")
+        .groupBy("key")
+        .agg(F.max_by("node", F.struct("met", "node")).alias("leader"))
+    )
+    by_chance = members.select("key", "node", "leader", F.lit(False).alias("central"))
+    by_meeting = members.select("key", "node").join(own_shuffle(central), "key")
+    votes = Window.partitionBy("node", "central").orderBy(F.desc("count"), "leader")
     led = (
-        members.where("node <> leader")
-        .groupBy("node", "leader")
+        by_chance.unionByName(by_meeting.withColumn("central", F.lit(True)))
+        .where("node <> leader")
+        .groupBy("node", "leader", "central")
         .count()
         .withColumn("choice", F.row_number().over(votes))
         .where(F.col("choice") <= LEADERS)
@@ -176,23 +241,8 @@ def _resolved(docs: DataFrame) -> DataFrame:
     first = stage(_confirm(docs, classes, stage(led)))
     roots = stage(components(first))
 
-    known = members.join(roots, "node", "left").select(
-        "key", "node", "n_shingles", F.coalesce("root", "node").alias("root")
-    )
-    mixed = known.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
-    open_ = stage(known.join(own_shuffle(mixed.select("key")), "key"))
-    x, y = open_.alias("x"), open_.alias("y")
-    rest = (
-        x.join(
-            y,
-            (F.col("x.key") == F.col("y.key"))
-            & (F.col("x.root") < F.col("y.root"))
-            & (100 * F.least("x.n_shingles", "y.n_shingles") >= SIMILAR * F.greatest("x.n_shingles", "y.n_shingles")),
-        )
-        .select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        .distinct()
-    )
-    second = _confirm(docs, classes, stage(rest))
+    rest = stage(_rest(docs, classes, sketches, members, roots))
+    second = _confirm(docs, classes, rest)
     # The roots of the first round stand for their components.
     joined = second.join(roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a", "left").join(
         roots.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b", "left"
@@ -220,7 +270,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.
     Equal sets are one class before anything is compared, so a group of copies costs one row. A class
     is first compared with some of its bands' leaders; then every pair that shares a band, could still
-    be similar by the sizes of its sets and isn't connected yet is compared, so
+    be similar by the sizes of its sets and by its signatures and isn't connected yet is compared, so
     no link between components is lost. Rows may repeat: ``component_id`` is the smallest id that is not null
     in the component. A row without an id has that of its component too (null if there is none), and is
     kept only if there is none. An empty table gives no rows.
