@@ -270,8 +270,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     Null and empty texts, and texts without words, have an empty set and are linked with nothing.
     Equal sets are one class before anything is compared, so a group of copies costs one row. A class
     is first compared with some of its bands' leaders; then every pair that shares a band, could still
-    be similar by the sizes of its sets and by its signatures and isn't connected yet is compared, so
-    no link between components is lost. Rows may repeat: ``component_id`` is the smallest id that is not null
+    be similar by the sizes of its sets and by its signatures and isn't connected yet is compared. A link
+    between components is lost only with the odds that ``BANDS`` and ``DIFFER`` state. Rows may repeat: ``component_id`` is the smallest id that is not null
     in the component. A row without an id has that of its component too (null if there is none), and is
     kept only if there is none. An empty table gives no rows.
     """
