@@ -12,6 +12,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models, pre_tokenizers
+from xxhash import xxh3_64_intdigest
 
 import corpus_pipeline
 from tillwork.llm import (
@@ -27,7 +28,7 @@ from tillwork.llm import (
     weighted_sampling,
     zstd_toxicity,
 )
-from tillwork.llm.common import prepare, stage
+from tillwork.llm.common import mix64, prepare, stage
 from tillwork.llm.components import components
 from tillwork.llm.queries import PACKING, PIECES, RANKS
 
@@ -270,6 +271,57 @@ def test_fingerprints(docs, none):
     assert weighted_sampling.fingerprints(none).collect() == []
 
 
+def plain_sample(weights: Counter) -> np.ndarray:
+    """Term by term, without a cache, in the formulas of the module's text."""
+    out = np.zeros(weighted_sampling.COORDINATES, np.uint16)
+    best = [(math.inf, 0, 0)] * len(out)
+    for term, weight in weights.items():
+        seed = xxh3_64_intdigest(term)
+        made = np.empty((4, 1, len(out)), np.float32)
+        weighted_sampling.variables(np.array([seed], np.uint64), made)
+        r, b, c, at_one = made[:, 0]
+        t = np.floor(np.log(np.float32(weight)) / r + b)
+        value = at_one if weight == 1 else c - r * (t - b) - r
+        best = [min(x, (float(v), seed, int(k))) for x, v, k in zip(best, value, t, strict=True)]
+    if weights:
+        seeds, scales = np.array([x[1] for x in best], np.uint64), np.array([x[2] for x in best]).astype(np.uint64)
+        mixed = mix64(seeds + scales * np.uint64(0x9E3779B97F4A7C15) + weighted_sampling._SPREAD)
+        out = (mixed >> np.uint64(48)).astype(np.uint16)
+    return out
+
+
+def test_fingerprints_over_several_tasks_are_plain_samples(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 500)) for i in range(300)] + [(300, None), (301, "")]
+    before = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = {r.doc_id: r for r in weighted_sampling.fingerprints(docs).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    order = sorted(rows, key=lambda r: -r[0])
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1], strict=True):
+        changed = weighted_sampling.edited(text(t), text(after))
+        own, other, following = (plain_sample(weighted_sampling.terms(text(x))) for x in (t, changed, after))
+        r = got[i]
+        assert (r.fingerprint, r.edited_fingerprint) == (own.tobytes().hex(), other.tobytes().hex())
+        assert (r.near_edited, r.near_next) == ((own == other).mean(), (own == following).mean())
+    assert len(got) == len(rows)
+
+
+def test_samples_do_not_depend_on_what_is_remembered():
+    rng = np.random.default_rng(9)
+    sampler = weighted_sampling.Sampler(256)
+    for _ in range(60):
+        a = Counter(b"w%d" % x for x in rng.zipf(1.2, 90) % 1000)
+        b = Counter(b"w%d" % x for x in rng.zipf(1.2, 90) % 1000) + Counter(list(a)[:20])
+        got = sampler.sample_both(a, b)
+        assert (got[0] == plain_sample(a)).all() and (got[1] == plain_sample(b)).all()
+
+
 def test_collisions_are_generalised_jaccard():
     a = Counter({b"w%d" % i: 1 + i % 5 for i in range(200)})
     b = Counter({b"w%d" % i: 1 + i % 3 for i in range(50, 260)})

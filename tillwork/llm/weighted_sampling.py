@@ -23,36 +23,47 @@ from tillwork.llm.common import U64, batches, mix64, stage
 
 #: Coordinates, and bits that are kept of each; two different samples look alike in one of 65,536 cases.
 COORDINATES = 128
-#: Terms whose variables a worker remembers, at most.
-CACHE = 30_000
+#: Terms whose variables a worker remembers, at most; they take 2 KiB each.
+CACHE = 50_000
+#: Terms whose variables are made at once, so that they stay in a core's cache.
+BLOCK = 128
 _SPREAD = mix64(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
-
-
-def _uniform(seed: np.ndarray, which: int) -> np.ndarray:
-    """Numbers between 0 and 1 for each term and coordinate, from both halves of the term's hash."""
-    spread = (mix64(_SPREAD + U64(which)) >> U64(32)).astype(np.uint32)
-    x = seed.astype(np.uint32)[:, None] ^ spread
-    x *= np.uint32(0x7FEB352D)
-    x ^= x >> np.uint32(15)
-    x += (seed >> U64(32)).astype(np.uint32)[:, None]
-    x *= np.uint32(0x846CA68B)
-    x ^= x >> np.uint32(16)
-    x *= np.uint32(0x7FEB352D)
-    x >>= np.uint32(8)
-    out = x.astype(np.float32)
-    out += np.float32(0.5)
-    out *= np.float32(2**-24)
-    return out
-
-
-def variables(seed: np.ndarray) -> np.ndarray:
-    """``[r, b, ln c, ln a at weight 1]`` x terms x coordinates."""
-    out = np.empty((4, len(seed), COORDINATES), np.float32)
-    out[0] = -np.log(_uniform(seed, 1) * _uniform(seed, 2))
-    out[1] = _uniform(seed, 3)
-    out[2] = np.log(-np.log(_uniform(seed, 4) * _uniform(seed, 5)))
-    out[3] = out[2] - out[0] * (1 - out[1])
-    return out
+_SPREADS = [(mix64(_SPREAD + U64(which)) >> U64(32)).astype(np.uint32) for which in range(6)]
+
+
+def _uniform(low: np.ndarray, high: np.ndarray, which: int, x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1 for each term and coordinate, from both halves of the term's hash; ``x, y`` are scratch."""
+    np.bitwise_xor(low, _SPREADS[which], out=x)
+    np.multiply(x, np.uint32(0x7FEB352D), out=x)
+    np.right_shift(x, np.uint32(15), out=y)
+    np.bitwise_xor(x, y, out=x)
+    np.add(x, high, out=x)
+    np.multiply(x, np.uint32(0x846CA68B), out=x)
+    np.right_shift(x, np.uint32(16), out=y)
+    np.bitwise_xor(x, y, out=x)
+    np.multiply(x, np.uint32(0x7FEB352D), out=x)
+    np.right_shift(x, np.uint32(8), out=x)
+    np.add(x.view(np.int32), np.float32(0.5), out=out, dtype=np.float32, casting="unsafe")
+    return np.multiply(out, np.float32(2**-24), out=out)
+
+
+def variables(seed: np.ndarray, out: np.ndarray) -> None:
+    """``[r, b, ln c, ln a at weight 1]`` x terms x coordinates, into ``out``."""
+    x, y = np.empty((2, min(BLOCK, len(seed)), COORDINATES), np.uint32)
+    z = np.empty(x.shape, np.float32)
+    low, high = seed.astype(np.uint32)[:, None], (seed >> U64(32)).astype(np.uint32)[:, None]
+    for start in range(0, len(seed), BLOCK):
+        n = min(BLOCK, len(seed) - start)
+        r, b, c, a = (out[i, start : start + n] for i in range(4))
+        given = low[start : start + n], high[start : start + n]
+        for to, one, two in ((r, 1, 2), (c, 4, 5)):
+            _uniform(*given, one, x[:n], y[:n], to)
+            np.multiply(to, _uniform(*given, two, x[:n], y[:n], z[:n]), out=to)
+            np.negative(np.log(to, out=to), out=to)
+        np.log(c, out=c)
+        _uniform(*given, 3, x[:n], y[:n], b)
+        np.multiply(r, np.subtract(1, b, out=a), out=a)
+        np.subtract(c, a, out=a)
 
 
 class Sampler:
@@ -62,47 +73,61 @@ class Sampler:
         self.cache = cache
         self.place: dict[bytes, int] = {}
         self.seeds = np.empty(cache, U64)
+        self.uses = np.zeros(cache, np.int64)
         self.known = np.empty((4, cache, COORDINATES), np.float32)
 
+    def _make_room(self, wanted: int) -> None:
+        """Forget the half of the terms that was used least, or all where that half is too small for ``wanted`` terms."""
+        stay = np.empty(0, np.int64)
+        if self.cache // 2 + wanted <= self.cache:
+            stay = np.sort(np.argsort(-self.uses[: len(self.place)], kind="stable")[: self.cache // 2])
+        moved = dict(zip(stay.tolist(), range(len(stay)), strict=True))
+        self.place = {t: moved[i] for t, i in self.place.items() if i in moved}
+        self.seeds[: len(stay)] = self.seeds[stay]
+        self.uses[: len(stay)] = self.uses[stay] >> 1
+        for kind in self.known:
+            kind[: len(stay)] = kind[stay]
+
     def _variables(self, terms: list[bytes]) -> np.ndarray:
         """Where the variables of ``terms`` are. No more terms than the cache holds."""
-        at = [self.place.get(t, -1) for t in terms]
-        if -1 in at:
-            new = [t for t, i in zip(terms, at, strict=True) if i < 0]
+        at = list(map(self.place.get, terms))
+        if None in at:
+            new = [t for t, i in zip(terms, at, strict=True) if i is None]
             if len(self.place) + len(new) > self.cache:
-                self.place.clear()
-                new = terms
+                self._make_room(len(terms))
+                new = [t for t in terms if t not in self.place]
             first = len(self.place)
             seeds = np.fromiter(map(xxh3_64_intdigest, new), U64, len(new))
             self.seeds[first : first + len(new)] = seeds
-            for start in range(0, len(new), 512):
-                part = seeds[start : start + 512]
-                self.known[:, first + start : first + start + len(part)] = variables(part)
+            self.uses[first : first + len(new)] = 0
+            variables(seeds, self.known[:, first : first + len(new)])
             self.place.update(zip(new, range(first, first + len(new)), strict=True))
-            at = [self.place[t] for t in terms]
-        return np.array(at)
-
-    def sample(self, weights: dict[bytes, int]) -> np.ndarray:
-        """Sixteen bits for each coordinate; all zero without terms."""
-        least = np.full(COORDINATES, np.inf, np.float32)
-        chosen, scale = np.zeros(COORDINATES, U64), np.zeros(COORDINATES, np.int64)
-        if not weights:
-            return np.zeros(COORDINATES, np.uint16)
-        terms = list(weights)
+            at = list(map(self.place.get, terms))
+        at = np.array(at)
+        self.uses[at] += 1
+        return at
+
+    def _least(self, weights: dict[bytes, int], before: tuple | None = None) -> tuple:
+        """For each coordinate the least value, its term's hash and its t, of ``weights`` and what ``before`` found."""
+        if before is None:
+            before = np.full(COORDINATES, np.inf, np.float32), np.zeros(COORDINATES, U64), np.zeros(COORDINATES, np.int64)
+        least, chosen, scale = before
+        terms, counts = list(weights), np.fromiter(weights.values(), np.float32, len(weights))
         for start in range(0, len(terms), min(2048, self.cache)):
             part = terms[start : start + min(2048, self.cache)]
             at = self._variables(part)
-            weight = np.fromiter((weights[t] for t in part), np.float32, len(part))
+            weight = counts[start : start + len(part)]
             for some in (np.flatnonzero(weight == 1), np.flatnonzero(weight != 1)):
                 if not len(some):
                     continue
                 rows = at[some]
                 if weight[some[0]] == 1:
-                    value, t = self.known[3, rows], None
+                    value, t = self.known[3].take(rows, 0), None
                 else:
-                    r, b = self.known[0, rows], self.known[1, rows]
+                    r, b, value = (self.known[i].take(rows, 0) for i in range(3))
                     t = np.floor(np.log(weight[some])[:, None] / r + b)
-                    value = self.known[2, rows] - r * (t - b) - r
+                    value -= r * (t - b)
+                    value -= r
                 best = value.argmin(0)
                 found = value[best, np.arange(COORDINATES)]
                 seeds = self.seeds[rows[best]]
@@ -111,8 +136,26 @@ class Sampler:
                 least = np.where(better, found, least)
                 chosen = np.where(better, seeds, chosen)
                 scale = np.where(better, 0 if t is None else t[best, np.arange(COORDINATES)].astype(np.int64), scale)
-        mixed = mix64(chosen + scale.astype(U64) * U64(0x9E3779B97F4A7C15) + _SPREAD)
-        return (mixed >> U64(48)).astype(np.uint16)
+        return least, chosen, scale
+
+    def sample(self, weights: dict[bytes, int]) -> np.ndarray:
+        """Sixteen bits for each coordinate; all zero without terms."""
+        return _bits(self._least(weights)) if weights else np.zeros(COORDINATES, np.uint16)
+
+    def sample_both(self, one: dict[bytes, int], two: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`sample` of each; terms of equal weight in both are looked through once."""
+        both = {t: w for t, w in one.items() if two.get(t) == w}
+        if not both:
+            return self.sample(one), self.sample(two)
+        shared = self._least(both)
+        rest = ({t: w for t, w in x.items() if t not in both} for x in (one, two))
+        return tuple(_bits(self._least(x, shared)) for x in rest)
+
+
+def _bits(found: tuple) -> np.ndarray:
+    _, chosen, scale = found
+    mixed = mix64(chosen + scale.astype(U64) * U64(0x9E3779B97F4A7C15) + _SPREAD)
+    return (mixed >> U64(48)).astype(np.uint16)
 
 
 def terms(text: str) -> Counter:
@@ -155,43 +198,54 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
 
-def _finished(sampler: Sampler, doc_id, text: str, own: np.ndarray, following: str, mark: np.ndarray) -> tuple:
-    changed = edited(text, following)
-    other = own if changed == text else sampler.sample(terms(changed))
-    digest = hashlib.sha256(changed.encode("utf-8", "surrogatepass")).digest()
+def _digest(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()
+
+
+def _finished(doc_id, text: str, digest: bytes, own: np.ndarray, other: np.ndarray, mark: np.ndarray) -> tuple:
     near = likeness(own, other), likeness(own, mark)
     return (doc_id, len(text), digest, own.tobytes(), other.tobytes(), *near, None, None, None)
 
 
 def _sorted_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's rows in order, each finished with the one behind it; the ends are for :func:`_edge_rows`."""
-    sampler, part, before = Sampler(), TaskContext.get().partitionId(), None
+    """A task's rows in order, each finished with the one behind it; the ends are for :func:`_edge_rows`.
+
+    A row is sampled with its edited text once the next text is there, and finished once that one is sampled.
+    """
+    sampler, part = Sampler(), TaskContext.get().partitionId()
+    before = waiting = None
     for batch in batches(rows):
         out = []
         for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist(), strict=True):
-            mark = sampler.sample(terms(text))
-            if before is None:
-                out.append((doc_id, None, None, mark.tobytes(), None, None, None, 1, part, text))
-            else:
-                out.append(_finished(sampler, *before, text, mark))
-            before = doc_id, text, mark
+            if before is not None:
+                changed = edited(before[1], text)
+                own, other = sampler.sample_both(terms(before[1]), terms(changed))
+                if waiting is None:
+                    out.append((before[0], None, None, own.tobytes(), None, None, None, 1, part, before[1]))
+                else:
+                    out.append(_finished(*waiting, own))
+                waiting = (*before, _digest(changed), own, other)
+            before = doc_id, text
         if out:
             yield _batch(out)
     if before is not None:
-        doc_id, text, mark = before
-        yield _batch([(doc_id, None, None, mark.tobytes(), None, None, None, 2, part, text)])
+        doc_id, text = before
+        own = sampler.sample(terms(text))
+        first = (doc_id, None, None, own.tobytes(), None, None, None, 1, part, text)
+        last = (doc_id, None, None, own.tobytes(), None, None, None, 2, part, text)
+        yield _batch([first if waiting is None else _finished(*waiting, own), last])
 
 
 def _edge_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sampler = Sampler(2048)
     for batch in batches(rows):
         columns = (batch[c].to_pylist() for c in ("doc_id", "text", "own", "next_text", "next_own"))
-        yield _batch(
-            [
-                _finished(sampler, i, text, np.frombuffer(own, np.uint16), after, np.frombuffer(mark, np.uint16))
-                for i, text, own, after, mark in zip(*columns, strict=True)
-            ]
-        )
+        out = []
+        for doc_id, text, own, after, mark in zip(*columns, strict=True):
+            changed = edited(text, after)
+            marks = np.frombuffer(own, np.uint16), sampler.sample(terms(changed)), np.frombuffer(mark, np.uint16)
+            out.append(_finished(doc_id, text, _digest(changed), *marks))
+        yield _batch(out)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
