@@ -28,40 +28,46 @@ CACHE = 50_000
 #: Terms whose variables are made at once, so that they stay in a core's cache.
 BLOCK = 128
 _SPREAD = mix64(np.arange(1, COORDINATES + 1, dtype=U64) * U64(0xD1342543DE82EF95))
-_SPREADS = [(mix64(_SPREAD + U64(which)) >> U64(32)).astype(np.uint32) for which in range(6)]
+_PLACES = (_SPREAD >> U64(32)).astype(np.uint32)
+#: Tells the five uniform numbers of a term and coordinate apart.
+_KINDS = (mix64(np.arange(1, 6, dtype=U64) * U64(0x9E3779B97F4A7C15)) >> U64(32)).astype(np.uint32)
 
 
-def _uniform(low: np.ndarray, high: np.ndarray, which: int, x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
-    """Numbers between 0 and 1 for each term and coordinate, from both halves of the term's hash; ``x, y`` are scratch."""
-    np.bitwise_xor(low, _SPREADS[which], out=x)
+def _mixed(seed: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """32 bits for each term and coordinate from both halves of the term's hash, into ``x``; ``y`` is scratch."""
+    np.bitwise_xor(seed.astype(np.uint32)[:, None], _PLACES, out=x)
     np.multiply(x, np.uint32(0x7FEB352D), out=x)
     np.right_shift(x, np.uint32(15), out=y)
     np.bitwise_xor(x, y, out=x)
-    np.add(x, high, out=x)
+    np.add(x, (seed >> U64(32)).astype(np.uint32)[:, None], out=x)
+
+
+def _uniform(mixed: np.ndarray, kind: int, x: np.ndarray, y: np.ndarray, out: np.ndarray) -> np.ndarray:
+    """Numbers between 0 and 1, both excluded, in steps of 2^-23; ``x, y`` are scratch."""
+    np.bitwise_xor(mixed, _KINDS[kind], out=x)
     np.multiply(x, np.uint32(0x846CA68B), out=x)
     np.right_shift(x, np.uint32(16), out=y)
     np.bitwise_xor(x, y, out=x)
     np.multiply(x, np.uint32(0x7FEB352D), out=x)
-    np.right_shift(x, np.uint32(8), out=x)
-    np.add(x.view(np.int32), np.float32(0.5), out=out, dtype=np.float32, casting="unsafe")
-    return np.multiply(out, np.float32(2**-24), out=out)
+    np.right_shift(x, np.uint32(9), out=x)
+    np.bitwise_or(x, np.uint32(0x3F800000), out=x)  # the bits of a float from 1 to 2
+    return np.subtract(x.view(np.float32), np.float32(1 - 2**-24), out=out)
 
 
 def variables(seed: np.ndarray, out: np.ndarray) -> None:
     """``[r, b, ln c, ln a at weight 1]`` x terms x coordinates, into ``out``."""
-    x, y = np.empty((2, min(BLOCK, len(seed)), COORDINATES), np.uint32)
+    mixed, x, y = np.empty((3, min(BLOCK, len(seed)), COORDINATES), np.uint32)
     z = np.empty(x.shape, np.float32)
-    low, high = seed.astype(np.uint32)[:, None], (seed >> U64(32)).astype(np.uint32)[:, None]
     for start in range(0, len(seed), BLOCK):
         n = min(BLOCK, len(seed) - start)
         r, b, c, a = (out[i, start : start + n] for i in range(4))
-        given = low[start : start + n], high[start : start + n]
-        for to, one, two in ((r, 1, 2), (c, 4, 5)):
-            _uniform(*given, one, x[:n], y[:n], to)
-            np.multiply(to, _uniform(*given, two, x[:n], y[:n], z[:n]), out=to)
+        _mixed(seed[start : start + n], mixed[:n], y[:n])
+        for to, kind in ((r, 0), (c, 2)):
+            _uniform(mixed[:n], kind, x[:n], y[:n], to)
+            np.multiply(to, _uniform(mixed[:n], kind + 1, x[:n], y[:n], z[:n]), out=to)
             np.negative(np.log(to, out=to), out=to)
         np.log(c, out=c)
-        _uniform(*given, 3, x[:n], y[:n], b)
+        _uniform(mixed[:n], 4, x[:n], y[:n], b)
         np.multiply(r, np.subtract(1, b, out=a), out=a)
         np.subtract(c, a, out=a)
 
