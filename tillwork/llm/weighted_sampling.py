@@ -11,6 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -80,34 +81,42 @@ class Sampler:
         self.place: dict[bytes, int] = {}
         self.seeds = np.empty(cache, U64)
         self.uses = np.zeros(cache, np.int64)
+        self.free = np.arange(cache)
+        self.made = np.empty((4, BLOCK, COORDINATES), np.float32)
         self.known = np.empty((4, cache, COORDINATES), np.float32)
 
     def _make_room(self, wanted: int) -> None:
         """Forget the half of the terms that was used least, or all where that half is too small for ``wanted`` terms."""
-        stay = np.empty(0, np.int64)
-        if self.cache // 2 + wanted <= self.cache:
-            stay = np.sort(np.argsort(-self.uses[: len(self.place)], kind="stable")[: self.cache // 2])
-        moved = dict(zip(stay.tolist(), range(len(stay)), strict=True))
-        self.place = {t: moved[i] for t, i in self.place.items() if i in moved}
-        self.seeds[: len(stay)] = self.seeds[stay]
-        self.uses[: len(stay)] = self.uses[stay] >> 1
-        for kind in self.known:
-            kind[: len(stay)] = kind[stay]
+        if self.cache // 2 + wanted > self.cache:
+            self.place, self.free = {}, np.arange(self.cache)
+            return
+        held = np.fromiter(self.place.values(), np.int64, len(self.place))
+        drop = held[np.argsort(self.uses[held], kind="stable")[: max(0, len(held) - self.cache // 2)]]
+        gone = np.zeros(self.cache, bool)
+        gone[drop] = True
+        self.place = dict(compress(self.place.items(), (~gone[held]).tolist()))
+        self.free = np.concatenate((self.free, np.sort(drop)))
+        self.uses >>= 1
 
     def _variables(self, terms: list[bytes]) -> np.ndarray:
         """Where the variables of ``terms`` are. No more terms than the cache holds."""
         at = list(map(self.place.get, terms))
         if None in at:
             new = [t for t, i in zip(terms, at, strict=True) if i is None]
-            if len(self.place) + len(new) > self.cache:
+            if len(new) > len(self.free):
                 self._make_room(len(terms))
                 new = [t for t in terms if t not in self.place]
-            first = len(self.place)
+            slots, self.free = self.free[: len(new)], self.free[len(new) :]
             seeds = np.fromiter(map(xxh3_64_intdigest, new), U64, len(new))
-            self.seeds[first : first + len(new)] = seeds
-            self.uses[first : first + len(new)] = 0
-            variables(seeds, self.known[:, first : first + len(new)])
-            self.place.update(zip(new, range(first, first + len(new)), strict=True))
+            self.seeds[slots] = seeds
+            self.uses[slots] = 0
+            for start in range(0, len(new), BLOCK):
+                some = slots[start : start + BLOCK]
+                made = self.made[:, : len(some)]
+                variables(seeds[start : start + BLOCK], made)
+                for kind, values in zip(self.known, made, strict=True):
+                    kind[some] = values
+            self.place.update(zip(new, slots.tolist(), strict=True))
             at = list(map(self.place.get, terms))
         at = np.array(at)
         self.uses[at] += 1
