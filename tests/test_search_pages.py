@@ -39,6 +39,18 @@ def test_pages_of_hits(spark):
     }
 
 
+def test_a_task_makes_few_hits_however_small_its_input_is(spark):
+    """40 requests find all of 2,000 names by 3 terms each. Adaptive execution sees a few KB and would join them in one task."""
+    documents = spark.range(2_000).select("id", F.lit("s").alias("store"), F.lit("en").alias("language"), F.concat(F.lit("hando "), "id").alias("name"))
+    asked = spark.range(40).select(F.concat(F.lit("q"), "id").alias("request_id"), F.lit("s").alias("store"), F.lit("en").alias("language"), F.lit("hando").alias("text"))
+    terms = search.search_terms(documents)
+    hits = search.matched_terms(terms, asked, most=2_000)
+    counts = [r["count"] for r in hits.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(counts) == 2_000 * 40 * 3 and max(counts) < sum(counts) / 8
+    found = search.keyword_search(terms, asked)
+    assert found.count() == 2_000 * 40 and found.where("matched_terms <> 3").count() == 0
+
+
 def test_a_common_beginning_is_dealt_to_several_tasks(spark):
     """A third of all names begin alike; without adaptive execution no task gets more than some of them."""
     n = 30_000

@@ -15,7 +15,7 @@ from tillwork.operators.skew import own_shuffle
 SHORTEST_TERM, LONGEST_TERM = 3, 10
 # Fixed value: suggestions per request.
 MOST_SUGGESTIONS = 15
-#: Hits of a request that doesn't say how many, and names per term beyond which a term is dealt to several tasks.
+#: Hits of a request that doesn't say how many, and rows that a term makes beyond which it is dealt to several tasks.
 DEFAULT_COUNT, NAMES_PER_PART = 20, 100_000
 _NO_WORD = "[^\\p{L}\\p{Nd}]+"
 
@@ -112,23 +112,26 @@ def search_terms(documents: DataFrame) -> DataFrame:
 def matched_terms(terms: DataFrame, requests: DataFrame, most: int = NAMES_PER_PART) -> DataFrame:
     """(request_id, id, term): the request's terms that a name has, by an equi join on the term.
 
-    A term of more than ``most`` names is dealt to parts by product, and asked for in each of them, so no task holds all
-    names of a common beginning. Which terms are that common is counted on the map side first.
+    A term makes a row for each of its names and each request that asks for it. One of more than ``most`` rows is dealt to
+    parts by product, and asked for in each of them, and the join has as many tasks as it makes ``most`` rows: the rows it
+    reads are few and short, so sizes of its inputs don't tell how much a task makes. How many rows a term
+    makes is counted on the map side first.
     """
     key = ["store", "language", "term"]
-    common = (
-        terms.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("n"))
-        .where(F.col("n") > most)
-        .select(*key, F.ceil(F.col("n") / most).cast("int").alias("parts"))
-    )
+    asked = requests.select("request_id", "store", "language", F.explode(_beginnings(F.col("text"))).alias("term"))
+    names_of, asked_for = (df.groupBy(*key).agg(F.count(F.lit(1)).alias(n)) for df, n in ((terms, "names"), (asked, "requests")))
+    made = names_of.join(asked_for, key).select(*key, "names", (F.col("names") * F.col("requests")).alias("rows"))
+    tasks = max(1, -(-(made.agg(F.sum("rows")).first()[0] or 0) // most))
+    # No more parts than names: a request is then copied no more often than it makes rows.
+    parts = F.least(F.ceil(F.col("rows") / most), F.col("names")).cast("int")
+    common = made.where(F.col("rows") > most).select(*key, parts.alias("parts"))
     part = F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0)).cast("int").alias("part")
     dealt = terms.join(own_shuffle(common), key, "left").select(*key, "id", part)
-    asked = requests.select("request_id", "store", "language", F.explode(_beginnings(F.col("text"))).alias("term"))
     in_parts = asked.join(common, key, "left").select(
         "request_id", *key, F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part")
     )
-    return in_parts.join(dealt, [*key, "part"]).select("request_id", "id", "term")
+    by = [*key, "part"]
+    return in_parts.repartition(tasks, *by).join(dealt.repartition(tasks, *by), by).select("request_id", "id", "term")
 
 
 def keyword_search(terms: DataFrame, requests: DataFrame) -> DataFrame:
