@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from tillwork.operators import relations
 from tillwork.plans.catalogue import QUERIES
 from tillwork.plans.metrics import METRICS
+from tillwork.session import tune
 from tillwork.sources import mirror
 
 
@@ -151,3 +152,19 @@ def test_session_value_needs_no_join_of_all_sessions(shop):
     text = plan(METRICS["M03"](shop))
     outer = text.split("Subquery")[0]
     assert "SortMergeJoin" not in outer and "BroadcastHashJoin" not in outer
+
+
+def test_small_partitions_are_merged_up_to_a_bounded_size(spark):
+    """About 40 MB that are shuffled come to several tasks, also where Spark needs no more of them to keep its cores busy."""
+    tune(spark)
+    settings = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        rows = spark.range(2_500_000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b")).repartition("id")
+        tasks = len(rows.groupBy(F.spark_partition_id()).agg(F.sum("a"), F.sum("b")).collect())
+        assert 3 <= tasks < 20
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -15,6 +15,10 @@ RUNTIME_SETTINGS = {
     # table that can grow.
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A task of several joins sorts its share of the input once for each of them, as
+    # rows far larger than what was shuffled. Small partitions are merged up to
+    # this size, so what such a task holds stays the same for larger input.
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16m",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
