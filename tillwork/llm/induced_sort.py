@@ -86,18 +86,23 @@ def types(text: np.ndarray) -> np.ndarray:
     return out
 
 
-def _ranks(*keys: np.ndarray) -> tuple[np.ndarray, int]:
-    """Dense ranks of rows given by ``keys``, the first one being the most significant."""
-    order = np.lexsort(keys[::-1])
-    new = np.zeros(len(order), bool)
-    for key in keys:
-        new[1:] |= key[order][1:] != key[order][:-1]
-    names = np.cumsum(new)
+def _ranks(key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense ranks of ``key`` and how many there are."""
+    order = np.argsort(key)
+    ordered = key[order]
+    names = np.zeros(len(order), np.int64)
+    np.cumsum(ordered[1:] != ordered[:-1], out=names[1:])
     out = np.empty(len(order), np.int64)
     out[order] = names
     return out, int(names[-1]) + 1 if len(names) else 0
 
 
+def _refined(names: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, int]:
+    """Dense ranks by ``names``, which are dense ranks already, and then by ``key``."""
+    minor, count = _ranks(key)
+    return _ranks(names * count + minor)
+
+
 def _names(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, depth: int) -> tuple[np.ndarray, int]:
     """Dense ranks of the S* substrings, compared by symbol and type, four symbols at a time."""
     stops = np.append(stars[1:], stars[-1])
@@ -113,9 +118,9 @@ def _names(text: np.ndarray, is_s: np.ndarray, stars: np.ndarray, depth: int) ->
             symbol = (text[at].astype(np.int64) << 1) | is_s[at]
             key = (key << (0 if wide else 15)) | np.where(inside, symbol + 1, 0)
         if longer.all():
-            names, count = _ranks(names, key)
+            names, count = _refined(names, key)
         else:
-            names, count = _ranks(names, np.where(longer, key, 0))
+            names, count = _refined(names, np.where(longer, key, 0))
         if count == len(stars):
             break
     return names, count
@@ -127,7 +132,7 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
     while step <= depth:
         after = np.zeros(len(ranks), np.int64)
         after[:-step] = ranks[step:] + 1 if step < len(ranks) else 0
-        ranks, count = _ranks(ranks, after)
+        ranks, count = _ranks(ranks * (len(ranks) + 1) + after)
         if count == len(ranks):
             break
         step *= 2
@@ -137,15 +142,29 @@ def _double(names: np.ndarray, depth: int) -> np.ndarray:
 def _prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
     """Common prefixes of the suffixes at ``a`` and ``b``, up to ``most``."""
     out, live = np.zeros(len(a), np.int16), np.arange(len(a))
-    for k in range(most):
-        i, j = a[live] + k, b[live] + k
+    if text.dtype.itemsize == 2:  # four symbols at a time, as long as all of them agree
+        wide = np.zeros(len(text), np.uint64)
+        for k in range(min(4, len(text))):
+            wide[: len(text) - k] |= text[k:].astype(np.uint64) << np.uint64(16 * k)
+        for k in range(0, most - 3, 4):
+            i, j = a[live] + k, b[live] + k
+            live = live[np.maximum(i, j) + 4 <= len(text)]
+            live = live[wide[a[live] + k] == wide[b[live] + k]]
+            if not len(live):
+                break
+            out[live] = k + 4
+        live = np.flatnonzero(out < most)
+    done = out.astype(np.int64)
+    for _ in range(most):
+        i, j = a[live] + done[live], b[live] + done[live]
         inside = (i < len(text)) & (j < len(text))
         live, i, j = live[inside], i[inside], j[inside]
         live = live[text[i] == text[j]]
+        done[live] += 1
+        live = live[done[live] < most]
         if not len(live):
             break
-        out[live] = k + 1
-    return out
+    return done.astype(np.int16)
 
 
 def _runs_min(least: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:

@@ -31,6 +31,8 @@ PIECE = 1 << 20
 SHARD = 2 << 20
 #: Contexts of one anchor beyond which they are cut up and dealt out by their bytes, not sorted in one shard.
 CROWD = 1000
+#: Distances of window and anchor whose windows are asked together whether another context has some of them.
+NEAR = 16
 #: Distances of window and anchor that a part of such a context spans, from one cut to the next.
 WIDTHS = (64, 16, 4, 1)
 
@@ -101,12 +103,27 @@ _ROWS = pa.schema(
         ("first", pa.int32()),
         ("n", pa.int32()),
         ("left", pa.int32()),
+        ("again", pa.list_(pa.int32())),
     ]
 )
-_ROWS_SQL = "doc_id long, text_hash long, anchor long, digest long, first int, n int, left int"
+_ROWS_SQL = "doc_id long, text_hash long, anchor long, digest long, first int, n int, left int, again array<int>"
+
+
+def _once(owner: np.ndarray, anchor: np.ndarray, digest: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The rows in an order that has equal ones together, where each kind begins in it, and how many it has."""
+    key = digest + owner.astype(U64) * _BASE
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    same = key[order][1:] == key[order][:-1]
+    for column in (owner, anchor, digest):
+        same &= column[order][1:] == column[order][:-1]
+    new[1:] = ~same
+    heads = np.flatnonzero(new)
+    return order, heads, np.diff(np.append(heads, len(order)))
 
 
 def _anchor_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts to their contexts; one that a piece of a text holds at several places is one row with all of them."""
     for batch in batches(rows, PIECE):
         ids, hashes = batch["doc_id"], batch["text_hash"]
         pieces, owner, offset = [], [], []
@@ -127,16 +144,22 @@ def _anchor_rows(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             first, count, left, anchor, digest = contexts(np.concatenate(pieces[done:upto]), ends)
             piece = np.searchsorted(ends, first, "right")
             begins = np.append(0, ends[:-1])
-            row = pa.array(np.array(owner[done:upto])[piece], pa.int64())
+            place = (first - begins[piece] + np.array(offset[done:upto])[piece]).astype(np.int32)
+            order, heads, times = _once(piece, anchor, digest)
+            one = order[heads]
+            row = pa.array(np.array(owner[done:upto])[piece[one]], pa.int64())
+            others = pa.array(np.append(0, np.cumsum(times - 1)).astype(np.int32))
+            again = pa.ListArray.from_arrays(others, pa.array(place[np.delete(order, heads)]), mask=pa.array(times == 1))
             yield pa.record_batch(
                 [
                     ids.take(row),
                     hashes.take(row),
-                    pa.array(signed(anchor)),
-                    pa.array(signed(digest)),
-                    pa.array((first - begins[piece] + np.array(offset[done:upto])[piece]).astype(np.int32)),
-                    pa.array(count.astype(np.int32)),
-                    pa.array(left.astype(np.int32)),
+                    pa.array(signed(anchor[one])),
+                    pa.array(signed(digest[one])),
+                    pa.array(place[one]),
+                    pa.array(count[one].astype(np.int32)),
+                    pa.array(left[one].astype(np.int32)),
+                    again,
                 ],
                 schema=_ROWS,
             )
@@ -203,9 +226,46 @@ def repeated_windows(parts: list[bytes], windows: np.ndarray, copies: np.ndarray
     return out
 
 
-def _runs(marks: np.ndarray) -> list[dict]:
+def shared_windows(
+    parts: list[bytes], anchors: np.ndarray, windows: np.ndarray, left: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """From and up to which window each part may share some with another one; equal if it shares none.
+
+    Windows are taken together by their distance to the anchor, ``NEAR`` distances at a time. Those have some bytes
+    in common, their core, and a window of another part that equals one of them lies in a block with the same anchor,
+    distances and core. So only blocks whose core another part has too need to be sorted; equal hashes of cores that differ
+    make some more of them.
+    """
+    sizes = np.array([len(p) for p in parts], np.int64)
+    windows, left = windows.astype(np.int64), left.astype(np.int64)
+    hashes = _Hashes(np.frombuffer(b"".join(parts), np.uint8))
+    anchor_at = np.cumsum(sizes) - sizes + left
+    nearest = left - windows + 1
+    blocks = left // NEAR - nearest // NEAR + 1
+    part = np.repeat(np.arange(len(parts)), blocks)
+    first = np.cumsum(blocks) - blocks
+    block = np.arange(len(part)) - first[part] + (nearest // NEAR)[part]
+    start = anchor_at[part] - block * NEAR
+    core = hashes.part(start, start + LENGTH - NEAR + 1)
+    core += mix64(anchors.astype(np.int64).view(U64)[part] + block.astype(U64))
+    order = np.argsort(core)
+    equal = core[order][1:] == core[order][:-1]
+    shared = np.zeros(len(core), bool)
+    shared[order[1:][equal]] = shared[order[:-1][equal]] = True
+    farthest = np.full(len(parts), -1)
+    np.maximum.at(farthest, part[shared], block[shared])
+    closest = np.full(len(parts), SPREAD)
+    np.minimum.at(closest, part[shared], block[shared])
+    begin = left - np.minimum(left, farthest * NEAR + NEAR - 1)
+    stop = left - np.maximum(nearest, closest * NEAR) + 1
+    none = farthest < 0
+    begin[none] = stop[none] = 0
+    return begin, stop
+
+
+def _runs(marks: np.ndarray, offset: int = 0) -> list[dict]:
     edges = np.flatnonzero(np.diff(np.concatenate(([0], marks.astype(np.int8), [0]))))
-    return [{"s": int(a), "n": int(b - a)} for a, b in edges.reshape(-1, 2)]
+    return [{"s": offset + int(a), "n": int(b - a)} for a, b in edges.reshape(-1, 2)]
 
 
 _RUNS = pa.list_(pa.struct([("s", pa.int32()), ("n", pa.int32())]))
@@ -217,12 +277,21 @@ def _sort_shard(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = [b for b in rows if b.num_rows]
     if not held:
         return
-    columns = {k: np.concatenate([b[k].to_numpy() for b in held]) for k in ("anchor", "digest", "n", "copies")}
+    columns = {k: np.concatenate([b[k].to_numpy() for b in held]) for k in ("anchor", "digest", "n", "left", "copies")}
     parts = [x for b in held for x in b["bytes"].to_pylist()]
     del held
-    found = repeated_windows(parts, columns["n"], columns["copies"])
-    starts = np.append(0, np.cumsum([len(p) + 1 for p in parts])[:-1])
-    runs = [_runs(found[s : s + n]) for s, n in zip(starts.tolist(), columns["n"].tolist(), strict=True)]
+    windows, copies = columns["n"], columns["copies"]
+    begin, stop = shared_windows(parts, columns["anchor"], windows, columns["left"])
+    runs = [[{"s": 0, "n": n}] if c > 1 else [] for n, c in zip(windows.tolist(), copies.tolist(), strict=True)]
+    sorted_ = np.flatnonzero(begin < stop)
+    if len(sorted_):
+        cut = [parts[i][begin[i] : stop[i] + LENGTH - 1] for i in sorted_.tolist()]
+        found = repeated_windows(cut, (stop - begin)[sorted_], copies[sorted_])
+        at = 0
+        for i, part in zip(sorted_.tolist(), cut, strict=True):
+            if copies[i] == 1:  # every window of the others occurs twice anyway
+                runs[i] = _runs(found[at : at + len(part) - LENGTH + 1], int(begin[i]))
+            at += len(part) + 1
     keep = np.array([bool(r) for r in runs])
     yield pa.record_batch(
         [
@@ -319,8 +388,9 @@ def _strip(rows: Iterator[pa.RecordBatch], as_text: bool) -> Iterator[pa.RecordB
             edge = np.zeros(len(raw) + 1, np.int64)
             for hit in hits or ():
                 for run in hit["runs"]:
-                    edge[hit["first"] + run["s"]] += 1
-                    edge[hit["first"] + run["s"] + run["n"] + LENGTH - 1] -= 1
+                    for first in (hit["first"], *(hit["again"] or ())):
+                        edge[first + run["s"]] += 1
+                        edge[first + run["s"] + run["n"] + LENGTH - 1] -= 1
             covered = np.cumsum(edge[:-1]) > 0
             size.append(len(raw))
             gone.append(int(covered.sum()))
@@ -361,14 +431,16 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     ).withColumn("text_hash", F.xxhash64("text"))
     key = ["doc_id", "text_hash"]
     rows = stage(docs.select(*key, "text").mapInArrow(_anchor_rows, _ROWS_SQL))
+    # A text that holds a context often has one row for it, so the joins grow with the texts that hold one.
+    places = 1 + F.coalesce(F.size("again"), F.lit(0))
     anchors = rows.groupBy("anchor").agg(
-        F.count(F.lit(1)).alias("places"), (F.min("digest") != F.max("digest")).alias("differ")
+        F.sum(places).alias("places"), (F.min("digest") != F.max("digest")).alias("differ")
     )
     repeated = stage(rows.join(own_shuffle(anchors.where("places > 1").select("anchor", "differ")), "anchor"))
     differing = (
         repeated.where("differ")
         .groupBy("anchor", "digest", "n")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct(*key, "first", "left")).alias("at"))
+        .agg(F.sum(places).alias("copies"), F.min(F.struct(*key, "first", "left")).alias("at"))
     )
     differing = stage(differing)
     crowds = differing.groupBy("anchor").agg(F.count(F.lit(1)).alias("contexts")).where(F.col("contexts") > CROWD)
@@ -409,10 +481,10 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = (), as_text: bool =
     hits = (
         repeated.where("differ")
         .join(own_shuffle(found), ["anchor", "digest"])
-        .select(*key, F.struct("first", "runs").alias("hit"))
+        .select(*key, F.struct("first", "again", "runs").alias("hit"))
         .unionByName(
             repeated.where("not differ").select(
-                *key, F.struct("first", F.array(F.struct(F.lit(0).alias("s"), "n")).alias("runs")).alias("hit")
+                *key, F.struct("first", "again", F.array(F.struct(F.lit(0).alias("s"), "n")).alias("runs")).alias("hit")
             )
         )
     )
