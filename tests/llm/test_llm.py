@@ -116,6 +116,33 @@ def test_many_rows_with_one_id_and_text(spark):
     assert [tuple(r) for r in got] == [(5, len(text), len(text), 1, 2000)]
 
 
+def test_segments_that_come_often_are_made_once():
+    """Rare segments push out each other, not those that are asked for all the time."""
+    made = Counter()
+
+    def encode(segment):
+        made[segment] += 1
+        return [len(segment), 1 << 31]
+
+    segments = byte_bpe.Segments(encode, 10)
+    for i in range(500):
+        assert segments.text(f"a often r{i}") == np.array([1, 1 << 31, 6, 1 << 31, len(f" r{i}"), 1 << 31], "<u4").tobytes()
+    assert made[" often"] == 1 and len(segments) <= 10 and len(segments.older) <= 10
+
+
+def test_line_ends_are_encoded_from_the_ranks():
+    """A segment with a line end inside is plain; what is plain has the ids of the tokenizers library."""
+    tokenizer = Tokenizer.from_file(PACKING[0])
+    segments = packing.token_segments(*PACKING)
+    assert packing._PLAIN("end.\nNext") and not any(map(packing._PLAIN, "\r\t\x1c\x85\xa0\xadɐ–"))
+    rng = np.random.default_rng(3)
+    plain = [c for c in map(chr, range(0x250)) if packing._PLAIN(c)]
+    pool = plain + ["\n", " ", "'"] * 60 + list("end.Next, Àé1")
+    for n in rng.integers(0, 20, 3000):
+        t = "".join(rng.choice(pool, n))
+        assert np.frombuffer(segments.text(t), "<u4").tolist() == tokenizer.encode(t, add_special_tokens=False).ids
+
+
 def test_a_line_that_every_text_repeats(spark):
     """A context is one row for each text that holds it, however often: joins grow with the texts, not with the places."""
     prepare(spark)

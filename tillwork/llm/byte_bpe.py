@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import re
+import struct
 from collections.abc import Callable, Iterator
 from functools import lru_cache, partial
 
@@ -39,18 +40,27 @@ def ranks(path: str) -> dict[bytes, int]:
 
 
 class Segments(dict):
-    """Ids (little-endian unsigned 32-bit) of `" " + segment`, made when first asked for."""
+    """Ids (little-endian unsigned 32-bit) of `" " + segment`, made when first asked for.
 
-    def __init__(self, encode: Callable[[str], list[int]]):
-        self.encode = encode
+    Where ``room`` segments are held, they become the older ones and those before them are forgotten; an older one
+    that is asked for again is held anew. So a segment that comes often is made once.
+    """
+
+    def __init__(self, encode: Callable[[str], list[int]], room: int = CACHE // 2):
+        self.encode, self.room = encode, room
+        self.older: dict[str, bytes] = {}
 
     def ids(self, segment: str) -> bytes:
-        return np.array(self.encode(segment), "<u4").tobytes()
+        ids = self.encode(segment)
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def __missing__(self, segment: str) -> bytes:
-        found = self.ids(" " + segment)
+        found = self.older.get(segment)
+        if found is None:
+            found = self.ids(" " + segment)
         if len(segment) <= LONGEST:
-            if len(self) >= CACHE:
+            if len(self) >= self.room:
+                self.older = dict(self)
                 self.clear()
             self[segment] = found
         return found

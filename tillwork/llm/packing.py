@@ -9,6 +9,7 @@ documents of a class take the places of its patterns by their rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache, partial
@@ -28,6 +29,10 @@ SEQUENCE, GRAIN, END = 2048, 8, 1
 #: Column generation stops when no pattern could save more than this share of the sequences.
 GAP = 1e-3
 SPECIAL = "<|endoftext|>"
+#: Segments that a worker remembers, and as many older ones.
+ROOM = 300_000
+#: Characters that both libraries see alike: line ends, printable ones up to U+024F.
+_PLAIN = re.compile("[\n -~\u00a1-\u00ac\u00ae-\u024f]*").fullmatch
 
 
 @lru_cache(maxsize=4)
@@ -42,11 +47,11 @@ def token_segments(path: str, rank_path: str, pattern: str) -> Segments:
     quick = _segments(rank_path, pattern).encode
 
     def ids(segment: str) -> list[int]:
-        if max(segment, default="") < "ɐ" and SPECIAL not in segment and segment.lstrip(" \n").isprintable():
+        if _PLAIN(segment) and SPECIAL not in segment:
             return quick(segment)
         return tokenizer.encode(segment, add_special_tokens=False).ids
 
-    return Segments(ids)
+    return Segments(ids, ROOM)
 
 
 def solve(counts: np.ndarray, room: int, gap: float = GAP) -> list[tuple[dict[int, int], float]]:
