@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.handmade import at, tables
+from tillwork.operators.relations import Relations
 from tillwork.plans import runs
 from tillwork.plans.metrics import METRICS
 
@@ -30,6 +31,26 @@ def test_the_other_reading_of_two_numbers(shop, tmp_path):
     assert results[3].path.split("/")[-2] == "q06_cart_abandonment"
 
 
+def test_groups_share_what_they_hold(spark, tmp_path, monkeypatch):
+    """All groups work the sessions, sold lines and their values out once, and nothing stays held afterwards."""
+    held = []
+    hold = Relations._hold
+
+    def seen(self, df):
+        df = hold(self, df)
+        held.append((tuple(df.columns), df))
+        return df
+
+    monkeypatch.setattr(Relations, "_hold", seen)
+    source = tables(spark, [("a", 0, "GET /x"), ("a", 30, "POST /api/v1/cart"), ("b", 5, "GET /y")])
+    results = runs.run_all(source, str(tmp_path), AS_OF)
+    assert [r.metric for r in results] == [m for group in runs.GROUPS.values() for m in group]
+    columns = [c for c, _ in held]
+    assert len(columns) == len(set(columns))
+    assert sum("request_count" in c for c in columns) == 1 and ("SHP_CART_ID", "PRODUCT_ID", "QUANTITY") in columns
+    assert not any(df.is_cached for _, df in held)
+
+
 def test_coverage_is_checked_first():
     with pytest.raises(runs.MissingMetric, match="lacks M08"):
         runs.check_coverage("operational_dashboard", known={id: None for id in METRICS if id != "M08"})

@@ -184,7 +184,12 @@ class Relations:
         no shuffle, and a cart of very many lines is small before it is priced.
         """
         lines = self.items.join(self.sold_carts, "SHP_CART_ID", "left_semi")
-        return lines.groupBy("SHP_CART_ID", "PRODUCT_ID").agg(F.sum(units()).alias("QUANTITY"))
+        return self._hold(lines.groupBy("SHP_CART_ID", "PRODUCT_ID").agg(F.sum(units()).alias("QUANTITY")))
+
+    @cached_property
+    def sold_line_values(self) -> DataFrame:
+        """Value of every sold cart that has lines."""
+        return self._hold(cart_values(self.sold_lines, self.prices))
 
     @cached_property
     def cart_values(self) -> DataFrame:
@@ -196,8 +201,7 @@ class Relations:
         A cart's value is worked out once however often it was sold, and only
         lines of sold carts are priced.
         """
-        values = cart_values(self.sold_lines, self.prices)
-        return sales.join(own_shuffle(values), "SHP_CART_ID", "left").withColumn(
+        return sales.join(own_shuffle(self.sold_line_values), "SHP_CART_ID", "left").withColumn(
             "cart_value", F.coalesce("cart_value", F.lit(0))
         )
 
@@ -213,7 +217,7 @@ class Relations:
 
     @cached_property
     def session_values(self) -> DataFrame:
-        return self.session_cart_values.groupBy("session_id").agg(F.sum("cart_value").alias("session_value"))
+        return self._hold(self.session_cart_values.groupBy("session_id").agg(F.sum("cart_value").alias("session_value")))
 
     @cached_property
     def cart_stats(self) -> DataFrame:

@@ -311,7 +311,7 @@ _RUN_AT = dt.datetime(2024, 2, 15)
 def r01(shop):
     """All groups run; one row per metric with the rows it gave."""
     work = _work(shop, "runs")
-    results = [r for group in runs.GROUPS for r in runs.run_group(shop, group, work, _RUN_AT)]
+    results = runs.run_all(shop, work, _RUN_AT)
     rows = [(r.metadata["group"], r.metric, r.slug, r.row_count) for r in results]
     return shop.spark.createDataFrame(rows, "group_name STRING, metric STRING, slug STRING, row_count BIGINT")
 
@@ -321,15 +321,14 @@ def r01_values(shop):
     """All groups run and their written results read back: the sum of each number of each metric."""
     work = _work(shop, "values")
     sums = None
-    for group in runs.GROUPS:
-        for result in runs.run_group(shop, group, work, _RUN_AT):
-            schema = METRICS[result.metric](shop.relations).schema
-            written = shop.spark.read.schema(schema).option("header", True).csv(f"{result.path}/data")
-            numbers = [f.name for f in schema if isinstance(f.dataType, T.NumericType)]
-            total = written.agg(*[F.sum(F.col(n).cast("double")).alias(n) for n in numbers])
-            pairs = F.explode(F.create_map(*[c for n in numbers for c in (F.lit(n), F.round(n, 2))])).alias("number", "total")
-            one = total.select(F.lit(result.metric).alias("metric"), pairs)
-            sums = one if sums is None else sums.unionByName(one)
+    for result in runs.run_all(shop, work, _RUN_AT):
+        schema = METRICS[result.metric](shop.relations).schema
+        written = shop.spark.read.schema(schema).option("header", True).csv(f"{result.path}/data")
+        numbers = [f.name for f in schema if isinstance(f.dataType, T.NumericType)]
+        total = written.agg(*[F.sum(F.col(n).cast("double")).alias(n) for n in numbers])
+        pairs = F.explode(F.create_map(*[c for n in numbers for c in (F.lit(n), F.round(n, 2))])).alias("number", "total")
+        one = total.select(F.lit(result.metric).alias("metric"), pairs)
+        sums = one if sums is None else sums.unionByName(one)
     return sums
 
 

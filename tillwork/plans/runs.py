@@ -144,7 +144,7 @@ def read_record(spark: SparkSession, path: str) -> dict:
 
 
 def run_group(
-    tables: Mapping[str, DataFrame],
+    tables: Mapping[str, DataFrame] | Relations,
     group: str,
     out: str,
     as_of: dt.datetime,
@@ -152,11 +152,12 @@ def run_group(
 ) -> list[Result]:
     """Run the metrics of a group one after the other on shared relations.
 
-    A metric's data volume has all files behind it, also those of relations that are held for several metrics.
+    A metric's data volume has all files behind it, also those of relations that are held for several metrics. Several
+    groups share what is held if they are given the same ``Relations``; whoever made these releases them.
     """
     ids = check_coverage(group, id_map)
     run_key = as_of.strftime("%Y%m%dT%H%M%SZ")
-    relations = Relations(tables, keep=True)
+    relations = tables if isinstance(tables, Relations) else Relations(tables, keep=True)
     results = []
     try:
         newest = relations.sessions.agg(F.max("last_event_ts")).first()[0]
@@ -180,5 +181,15 @@ def run_group(
             )
             results.append(Result(id, slug, record["row_count"], path, record))
     finally:
-        relations.release()
+        if relations is not tables:
+            relations.release()
     return results
+
+
+def run_all(tables: Mapping[str, DataFrame], out: str, as_of: dt.datetime) -> list[Result]:
+    """Run all groups one after the other; what they share is worked out once."""
+    relations = Relations(tables, keep=True)
+    try:
+        return [result for group in GROUPS for result in run_group(relations, group, out, as_of)]
+    finally:
+        relations.release()
